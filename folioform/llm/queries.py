@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioform.llm import neardup, printform
+from folioform.llm import leaks, mojibake, neardup, packing, printform, residue, spans
 from folioform.session import read_table as rd
 
 
@@ -26,5 +26,66 @@ def p5_print_forms(s: SparkSession, d: str) -> DataFrame:
     return rd(s, d, "esword_bible").select("row_id", printform.print_form_udf("scripture").alias("print_form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_print_forms)}
+def _p6_rows(s: SparkSession, d: str) -> DataFrame:
+    return mojibake.source_rows(rd(s, d, "esword_bible"), "esword_bible", "row_id", "module_id", "scripture").unionByName(mojibake.source_rows(rd(s, d, "mybible_verses"), "mybible_verses", "verse_uid", "module_id", "text"))
+
+
+def p6_found(s: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_rows(_p6_rows(s, d)).select("src_table", "src_id")
+
+
+def p6_restored(s: SparkSession, d: str) -> DataFrame:
+    """The garbled rows with the chain believed and the text restored."""
+    return mojibake.garbled_rows(_p6_rows(s, d)).select("src_table", "src_id", "chain", "restored")
+
+
+def _p7_rows(s: SparkSession, d: str) -> DataFrame:
+    return residue.text_rows(rd(s, d, "blocks"), "blocks", "block_uid", "text").unionByName(residue.text_rows(rd(s, d, "esword_bible"), "esword_bible", "row_id", "scripture"))
+
+
+def p7_found(s: SparkSession, d: str) -> DataFrame:
+    return residue.residue_rows(_p7_rows(s, d)).select("src_table", "src_id")
+
+
+def p7_clean(s: SparkSession, d: str) -> DataFrame:
+    """The rows that stay once residue is excluded."""
+    rows = _p7_rows(s, d)
+    return rows.select("src_table", "src_id").join(residue.residue_rows(rows), ["src_table", "src_id"], "left_anti")
+
+
+def p8_packed(s: SparkSession, d: str) -> DataFrame:
+    return packing.pack(rd(s, d, "documents"), "doc_id", "text", "source")
+
+
+def p8_fill(s: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packed(s, d))
+
+
+def p8_mixture(s: SparkSession, d: str) -> DataFrame:
+    return packing.mixture_report(p8_packed(s, d))
+
+
+def _p9_leaks(s: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_passages(rd(s, d, "documents"), "doc_id", "text", rd(s, d, "eval_items"), "item_id", "passage")
+
+
+def p9_found(s: SparkSession, d: str) -> DataFrame:
+    return leaks.exact_leaks(_p9_leaks(s, d))
+
+
+def p9_overlaps(s: SparkSession, d: str) -> DataFrame:
+    """Every verified overlap, substitutions tolerated."""
+    return _p9_leaks(s, d)
+
+
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(rd(s, d, "documents"), "doc_id", "text")
+
+
+def p10_shared(s: SparkSession, d: str) -> DataFrame:
+    """Per document, how much of it is found elsewhere."""
+    return spans.removal_intervals(rd(s, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_print_forms, p6_found, p6_restored, p7_found, p7_clean, p8_packed, p8_fill, p8_mixture, p9_found, p9_overlaps, p10_found, p10_shared)}
 ORACLE: dict[str, str] = {}
