@@ -26,6 +26,8 @@ from folioform.session import materialize
 BANDS, ROWS = 32, 5
 #: A word found in at least 1 / RARE of the records weighs less than a rare one; there are at most RARE x words per record such words.
 RARE = 148
+#: Classes of one band that a task pairs by itself.
+LARGEST_BAND = 2000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,10 +162,62 @@ def band_entries(classes: DataFrame, common: dict[int, float], rare: float, band
     return classes.select("cls", "words").mapInArrow(run, "band bigint, cls bigint")
 
 
+def candidate_pairs(entries: DataFrame, largest: int = LARGEST_BAND) -> DataFrame:
+    """Distinct (cls_a, cls_b), cls_a < cls_b, of classes that share a band.
+
+    Entries are shuffled once and read in the order of their bands; a task holds the classes of one band at a time. A band
+    of more than ``largest`` classes is passed on as it is and joined with itself in a second step that Spark splits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray, band: np.ndarray | None) -> pa.RecordBatch:
+            bands = pa.nulls(len(a), pa.int64()) if band is None else pa.array(band)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), bands], ["cls_a", "cls_b", "band"])
+
+        carry_k, carry_c, heavy = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def pairs(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs of whole bands: shifted copies of the sorted arrays meet while their bands are equal."""
+            for d in range(1, len(k)):
+                same = np.flatnonzero(k[d:] == k[:-d])
+                if not len(same):
+                    return
+                a, b = c[same], c[same + d]
+                yield out(np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], None)
+
+        for batch in batches:
+            k = np.concatenate((carry_k, batch.column(0).to_numpy(zero_copy_only=False)))
+            c = np.concatenate((carry_c, batch.column(1).to_numpy(zero_copy_only=False)))
+            last = np.searchsorted(k, k[-1], "left")
+            if heavy is not None and k[0] == heavy and last:  # the rest of a large band
+                end = np.searchsorted(k, heavy, "right")
+                yield out(c[:end], c[:end], k[:end])
+                k, c, last, heavy = k[end:], c[end:], last - end, None
+            edges = np.flatnonzero(np.concatenate(([True], k[1:last] != k[: last - 1]))) if last else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(edges, last)) if last else np.zeros(0, np.int64)
+            big = np.repeat(sizes > largest, sizes)
+            if big.any():
+                yield out(c[:last][big], c[:last][big], k[:last][big])
+            yield from pairs(k[:last][~big], c[:last][~big])
+            carry_k, carry_c = k[last:], c[last:]
+            if len(carry_k) > largest:  # a large band is passed on as it comes
+                yield out(carry_c, carry_c, carry_k)
+                heavy, carry_k, carry_c = carry_k[0], carry_k[:0], carry_c[:0]
+        if heavy is not None and len(carry_k) and carry_k[0] == heavy:
+            yield out(carry_c, carry_c, carry_k)
+        elif len(carry_k):
+            yield from pairs(carry_k, carry_c)
+
+    placed = entries.repartition("band").sortWithinPartitions("band", "cls")
+    found = materialize(placed.mapInArrow(run, "cls_a bigint, cls_b bigint, band bigint"), "neardup-candidates")
+    heavy = found.where("band IS NOT NULL")
+    a, b = heavy.select("band", "cls_a"), heavy.select("band", "cls_b")
+    return found.where("band IS NULL").select("cls_a", "cls_b").unionByName(a.join(b, "band").where("cls_a < cls_b").select("cls_a", "cls_b")).distinct()
+
+
 def similar_classes(classes: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
     """Verified pairs (cls_a, cls_b), cls_a < cls_b, of classes whose sets reach ``threshold`` (in thousandths, exactly)."""
-    a, b = entries.select("band", F.col("cls").alias("cls_a")), entries.select("band", F.col("cls").alias("cls_b"))
-    candidates = a.join(b, "band").where("cls_a < cls_b").select("cls_a", "cls_b").distinct()
+    candidates = candidate_pairs(entries)
     wa, wb = (classes.select(F.col("cls").alias(f"cls_{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
     both = candidates.join(wa, "cls_a").join(wb, "cls_b")
     common = F.size(F.array_intersect("wa", "wb"))
