@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -88,6 +87,10 @@ def _class(chars: Iterator[str]) -> str:
     return "[" + "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
 
 
+#: Texts of ASCII, composed Latin-1 letters and typographic punctuation only are their own print form.
+_STORED = re.compile("[\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u00ff\\u0152\\u0153\\u2010-\\u2027]*")
+
+
 class Transducer:
     """Longest-match, one-pass rewriting by clusters; outputs are memoised per cluster."""
 
@@ -112,7 +115,7 @@ class Transducer:
         return got
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
+        if text.isascii() or _STORED.fullmatch(text):
             return text
         out = self.active.sub(self._form, text)
         return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
@@ -137,7 +140,6 @@ def print_form(text: str) -> str:
 
 WORD = re.compile(r"[^\W_]+")
 _TO_LATIN = {ord(c): to for c, to in LOOKALIKES.items() if len(c) == 1}
-_SCRIPT = re.compile(r"[Ѐ-ԯ]|([Ͱ-Ͽἀ-῿])|([A-Za-zÀ-ɏ])")
 _LATIN_ONLY, _CYR_ONLY, _GREEK_ONLY = "latin", "cyrillic", "greek"
 _BACK = {
     _CYR_ONLY: {ord(to): c for c, to in LOOKALIKES.items() if len(c) == 1 and "Ѐ" <= c <= "ӿ" and c not in "ӏӀүҮѵѴһѕЅіІјЈ"},
@@ -146,15 +148,20 @@ _BACK = {
 _AMBIGUOUS = set(LOOKALIKES) | {to for to in LOOKALIKES.values()}
 
 
+def _exclusive(ranges: tuple[tuple[int, int], ...]) -> re.Pattern:
+    """Letters of the ranges that are drawn in no other script."""
+    return re.compile(_class(c for a, b in ranges for c in map(chr, range(a, b)) if c.isalpha() and unicodedata.normalize("NFD", c)[0] not in _AMBIGUOUS))
+
+
+_EXCLUSIVE = {_LATIN_ONLY: _exclusive(((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250))), _CYR_ONLY: _exclusive(((0x400, 0x530),)), _GREEK_ONLY: _exclusive(((0x370, 0x400), (0x1F00, 0x2000)))}
+#: Texts of ASCII, Latin-1 letters and typographic punctuation only: their words are as stored.
+_SIMPLE = re.compile("[\x00-\x7f\u00a0-\u00ac\u00ae-\u00ff\u0152\u0153\u2010-\u2027]*")
+
+
 def _script_of(chars: str) -> str | None:
-    """The script of the letters that are drawn in no other script; None if there are none."""
-    n: Counter = Counter()
-    for c in unicodedata.normalize("NFD", chars):
-        if c in _AMBIGUOUS or c.isascii() and not c.isalpha():
-            continue
-        n[_CYR_ONLY if "Ѐ" <= c <= "ԯ" else _GREEK_ONLY if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else _LATIN_ONLY if c.isalpha() and c < "ɐ" else None] += 1
-    n.pop(None, None)
-    return n.most_common(1)[0][0] if n else None
+    """The script of most letters that are drawn in no other script; None if there are none."""
+    n, script = max((len(p.findall(chars)), s) for s, p in _EXCLUSIVE.items())
+    return script if n else None
 
 
 @lru_cache(maxsize=200_000)
@@ -170,7 +177,7 @@ def print_words(text: str) -> list[str]:
     Lower case is not defined on the print form, where capital В and small в have different prototypes; so a word whose
     letters mix scripts is first rewritten in the script of its unambiguous letters (of its text's, if it has none).
     """
-    if text.isascii():
+    if text.isascii() or _SIMPLE.fullmatch(text):
         return WORD.findall(text.lower())
     words = WORD.findall(plain_transducer()(text))
     if all(w.isascii() for w in words):
