@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioform.llm.printform import print_form
 from folioform.session import materialize
 
 #: Chains by name: steps of (true encoding, encoding it was read with), outermost first.
@@ -27,10 +28,14 @@ CHAINS |= {f"{t}-{r}": ((t, r),) for t, r in (("cp1252", "mac_roman"), ("cp1252"
 CHAINS |= {"utf8-cp1252-twice": (("utf-8", "cp1252"), ("utf-8", "cp1252")), "utf8-latin-1-twice": (("utf-8", "latin-1"), ("utf-8", "latin-1")), "utf8-cp1252-thrice": (("utf-8", "cp1252"),) * 3}
 CLEAN, LOST = "clean", "lost"
 #: A word is undone only if that makes it this many nats more probable; a row with characters that no clean text has gains LOST_GAIN for the chain LOST.
-MARGIN, LOST_GAIN = 3.0, 12.0
+MARGIN, LOST_GAIN = 1.0, 12.0
+#: The second character model is made of rows whose posterior for being clean is at least SURELY_CLEAN.
+SURELY_CLEAN = 0.99
 #: Chain probabilities of a pool lean on those of all rows as if by PRIOR_ROWS rows more.
 PRIOR_ROWS, FIRST_GARBLED, ROUNDS = 20.0, 0.05, 4
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+#: What no word of a single-byte encoding can have been: white space and control characters within.
+_BREAK = re.compile("[\x00-\x20\x7f-\xa0]")
 _OPAQUE = re.compile("[\x80-\x84\x86-\x9f�]")
 
 
@@ -66,9 +71,10 @@ def undo_step(word: str, true: str, read: str) -> str | None:
     if not all(ord(c) in table for c in word):
         return None
     try:
-        return bytes(table[ord(c)] for c in word).decode(true)
+        out = bytes(table[ord(c)] for c in word).decode(true)
     except UnicodeDecodeError:
         return None
+    return None if _BREAK.search(out) else out
 
 
 @lru_cache(maxsize=400_000)
@@ -107,7 +113,8 @@ class PairModel:
         """{chain: nats gained} of the chains that make the word more probable by MARGIN."""
         if word.isascii():
             return {}
-        base, out = self.log_p(word), {}
+        # characters that only look alike make a word odd too, but no chain made them
+        base, out = max(self.log_p(word), self.log_p(print_form(word))), {}
         for chain in CHAINS:
             new = undo(word, chain)
             if new is not None and new != word and (g := self.log_p(new) - base - MARGIN) > 0:
@@ -142,8 +149,11 @@ def restore(text: str, chain: str, model: PairModel) -> str | None:
     """The text with the words undone that the chain explains; None if the chain is LOST."""
     if chain == LOST:
         return None
-    words = text.split(" ")
-    return " ".join(undo(w, chain) if chain in model.gains(w) else w for w in words)
+    out = []
+    for w in text.split(" "):
+        new = None if w.isascii() else undo(w, chain)
+        out.append(w if new is None or model.log_p(new) < model.log_p(w) else new)
+    return " ".join(out)
 
 
 # ---- Spark ---------------------------------------------------------------------------------------------------------------
@@ -234,7 +244,7 @@ def garbled_rows(rows: DataFrame) -> DataFrame:
     odd = rows.where("t RLIKE '[^\\\\x00-\\\\x7f]'")
     first = pair_model(rows)
     seen = materialize(gain_rows(odd, first), "mojibake-gains")
-    suspect = materialize(posteriors(seen, pools, 2).where("p_clean < 0.5").select("src_table", "src_id"), "mojibake-suspects")
+    suspect = materialize(posteriors(seen, pools, 2).where(F.col("p_clean") < SURELY_CLEAN).select("src_table", "src_id"), "mojibake-suspects")
     model = pair_model(rows.join(suspect, ["src_table", "src_id"], "left_anti"))
     gains = materialize(gain_rows(odd, model), "mojibake-gains")
     found = posteriors(gains, pools).where("p_clean < 0.5")
