@@ -35,7 +35,7 @@ def _tree(data: bytes) -> ET.Element | None:
 
 # ---- line formats --------------------------------------------------------------------------------------------------------
 
-_INLINE = re.compile(r"\\\+?[a-z]+\d?\*?\s?|\|[^\\]*(?=\\)")
+_INLINE = re.compile(r"\\\+?[a-z]+\d?\*|\\\+?[a-z]+\d?\s?|\|[^\\]*(?=\\)")
 _FOOT = re.compile(r"\\(f|x|fe)\b.*?\\\1\*", re.S)
 
 
