@@ -23,6 +23,8 @@ from folioform.llm.printform import print_form
 COVERAGE = 0.62
 #: Tokens a filler window has, and the fewest it may have in a shorter text.
 FILLER_WINDOW, FILLER_LEAST = 8, 4
+#: Weight a filler window must have, in weights of a token found nowhere: common words alone are no filler.
+FILLER_MASS = 1.5
 #: Weight of a token the index does not know, as a share of the greatest weight.
 UNKNOWN = 0.75
 
@@ -128,7 +130,9 @@ class ResidueIndex:
         w = [self.weight[t] if t in fs else self.top * UNKNOWN for t in toks]
         hit = [x if t in fs else 0.0 for t, x in zip(toks, w)]
         for s in range(len(toks) - size + 1):
-            yield "filler", sum(hit[s : s + size]) / sum(w[s : s + size]), s, s + size
+            got = sum(hit[s : s + size])
+            if got >= FILLER_MASS * self.top:
+                yield "filler", got / sum(w[s : s + size]), s, s + size
 
     def coverage(self, text: str | None) -> float:
         """The best containment of a residue exemplar in a window no content exemplar fits better; 0 for null and empty texts."""
