@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 LEAD = 2
 
 
+def load_canon(spark, path: str) -> DataFrame:
+    """(system, testament, book_idx, book, name, chapter, n_verses) of canon files {id, ot_books, nt_books: [{name, osis, chapters}]}."""
+    book = "array<struct<name:string,osis:string,chapters:array<int>>>"
+    raw = spark.read.schema(f"id string, ot_books {book}, nt_books {book}").option("multiLine", "true").json(path)
+    sides = [raw.select(F.col("id").alias("system"), F.lit(t).alias("testament"), F.posexplode(c).alias("book_idx", "b")) for t, c in (("OT", "ot_books"), ("NT", "nt_books"))]
+    both = sides[0].unionByName(sides[1])
+    return both.select("system", "testament", "book_idx", F.col("b.osis").alias("book"), F.col("b.name").alias("name"), F.posexplode("b.chapters").alias("c", "n_verses")).withColumn("chapter", F.col("c") + 1).drop("c")
+
+
+def canon_totals(canon: DataFrame) -> DataFrame:
+    """Chapters and verses per system, testament and book, with subtotals."""
+    return canon.rollup("system", "testament", "book").agg(F.count("*").alias("n_chapters"), F.sum("n_verses").alias("n_verses"))
+
+
 def verse_index(canon: DataFrame, part: list[str]) -> DataFrame:
     """``canon`` (*part, book_idx, chapter, n_verses) with ``start``, the absolute index of each chapter's first verse.
 

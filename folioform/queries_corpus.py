@@ -568,6 +568,66 @@ def human_sizes(s, d):
     return rd(s, d, "blobs").where("size_bytes < 1048576").select("blob_id", text.human_size("size_bytes").alias("size"))
 
 
+@q("SELECT doc_id, CASE WHEN contains(lower(text), 'public domain') THEN 'CC-PDDC' WHEN regexp_matches(lower(text), 'gpl|gnu general public') THEN 'GPL-3.0-or-later' WHEN contains(lower(text), 'mit licen') THEN 'MIT' WHEN contains(lower(text), 'apache') THEN 'Apache-2.0' WHEN regexp_matches(lower(text), 'copyrighted|all rights reserved') THEN 'LicenseRef-Proprietary' ELSE 'NOASSERTION' END AS licence FROM documents WHERE NOT regexp_matches(lower(text), 'cc0|by-n|by-sa|cc[- ]by|lgpl|creative commons')")
+def licence_cascade(s, d):
+    x = rd(s, d, "documents").where(~F.lower("text").rlike("cc0|by-n|by-sa|cc[- ]by|lgpl|creative commons"))
+    return x.select("doc_id", text.spdx("text").alias("licence"))
+
+
+@q("SELECT v.book, b.book_name, CASE WHEN b.book_order > 39 THEN 'NT' ELSE 'OT' END AS testament, count(DISTINCT v.chapter) AS n_chapters FROM verses v JOIN (SELECT id, min(book_name) AS book_name, min(book_order) AS book_order FROM books GROUP BY id) b ON b.id = v.book GROUP BY ALL")
+def book_projection(s, d):
+    b = rd(s, d, "books").groupBy(F.col("id").alias("book")).agg(F.min("book_name").alias("book_name"), F.min("book_order").alias("book_order"))
+    j = rd(s, d, "verses").join(broadcast_if_small(b), "book")
+    return j.groupBy("book", "book_name", F.when(F.col("book_order") > 39, "NT").otherwise("OT").alias("testament")).agg(F.count_distinct("chapter").alias("n_chapters"))
+
+
+@q("SELECT row_id, CASE book WHEN 1 THEN 'Gen' WHEN 2 THEN 'Exod' WHEN 40 THEN 'Matt' WHEN 66 THEN 'Rev' END AS osis FROM esword_bible WHERE book IN (1, 2, 40, 66)")
+def book_number_lookup(s, d):
+    from folioform.schema import BOOKS
+
+    table = F.create_map(*[F.lit(x) for i, b in enumerate(BOOKS, 1) for x in (i, b)])
+    return rd(s, d, "esword_bible").where(F.col("book").isin(1, 2, 40, 66)).select("row_id", table[F.col("book")].alias("osis"))
+
+
+@q("SELECT corpus_id, sha256('1' || string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT corpus_id, sha256(concat_ws(chr(31), doc_id, block_id, coalesce(seq::VARCHAR, ''), coalesce(text, 'NULL'))) AS h FROM blocks) GROUP BY corpus_id")
+def corpus_hash(s, d):
+    from folioform.sources import ir_json
+
+    b = rd(s, d, "blocks").select("corpus_id", "doc_id", "block_id", F.col("seq").alias("sequence"), F.coalesce("text", F.lit("NULL")).alias("text"))
+    return ir_json.corpus_hash(b)
+
+
+@q("SELECT module_id, bool_or(contains(scripture, '“') OR contains(scripture, '«')) AS has_quotes, bool_or(regexp_matches(scripture, '[¹²³]')) AS has_notes, bool_or(book > 39) AS has_nt FROM esword_bible GROUP BY module_id")
+def feature_detection(s, d):
+    t = F.col("scripture")
+    return rd(s, d, "esword_bible").groupBy("module_id").agg(F.bool_or(F.contains(t, F.lit("“")) | F.contains(t, F.lit("«"))).alias("has_quotes"), F.bool_or(t.rlike("[¹²³]")).alias("has_notes"), F.bool_or(F.col("book") > 39).alias("has_nt"))
+
+
+@q("SELECT engine_id, count(*) FILTER (WHERE run_status = 'running') AS running, count(*) FILTER (WHERE run_status = 'queued') AS queued, count(*) FILTER (WHERE run_status NOT IN ('running', 'queued')) AS history FROM runs GROUP BY engine_id")
+def queue_partition(s, d):
+    st = F.col("run_status")
+    n = lambda c: F.count(F.when(c, 1))
+    return rd(s, d, "runs").groupBy("engine_id").agg(n(st == "running").alias("running"), n(st == "queued").alias("queued"), n(~st.isin("running", "queued")).alias("history"))
+
+
+@q("""WITH c AS (SELECT module_id, book, chapter AS c0, chapter + 2 AS c1, row_id FROM esword_bible WHERE verse = 1 AND book = 1 AND chapter IS NOT NULL)
+SELECT v.row_id, count(*) AS n_comments FROM esword_bible v JOIN c ON c.module_id = v.module_id AND v.book = c.book AND c.c0 <= v.chapter AND c.c1 >= v.chapter WHERE v.book = 1 GROUP BY v.row_id""")
+def chapter_overlap(s, d):
+    v = rd(s, d, "esword_bible").where("book = 1")
+    c = v.where("verse = 1 AND chapter IS NOT NULL").select(F.col("module_id").alias("m"), F.col("chapter").alias("c0"), (F.col("chapter") + 2).alias("c1"))
+    return v.join(c, (F.col("m") == F.col("module_id")) & (F.col("c0") <= F.col("chapter")) & (F.col("c1") >= F.col("chapter"))).groupBy("row_id").agg(F.count("*").alias("n_comments"))
+
+
+@q("SELECT b.block_uid, b.block_id, levenshtein(b.corpus_id, b.doc_id) AS distance FROM blocks b")
+def edit_distance(s, d):
+    return rd(s, d, "blocks").select("block_uid", "block_id", F.levenshtein("corpus_id", "doc_id").alias("distance"))
+
+
+@q("SELECT run_uid, strftime(started_at, '%Y-%m-%dT%H:%M:%SZ') AS started FROM runs")
+def rfc3339_times(s, d):
+    return rd(s, d, "runs").select("run_uid", F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started"))
+
+
 # ---- streaming twins -----------------------------------------------------------------------------------------------------
 
 
