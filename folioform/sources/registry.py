@@ -236,6 +236,22 @@ def modules(entries_df: DataFrame) -> DataFrame:
     return found.select("module", conf.alias("conf")).withColumn("features", F.coalesce(F.col("conf")["Feature"], F.array().cast("array<string>")))
 
 
+def binary_modules(files_df: DataFrame, canon: dict[str, list[tuple[str, int, int]]]) -> DataFrame:
+    """Blocks of compressed verse-keyed modules. Files of one folder are one module: {ot,nt}.{bzs,bzv,bzz} (block index, verse
+    index, data). ``canon`` {"ot": [(book, chapter, number of verses)], "nt": ...}. One module is one task."""
+    found = files_df.where(F.col("name").rlike(r"^(ot|nt)\.bz[svz]$")).withColumn("module", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        have, rows = dict(zip(x.name, x.content)), []
+        for t in ("ot", "nt"):
+            parts = [have.get(f"{t}.{s}") for s in ("bzs", "bzv", "bzz")]
+            if all(p is not None for p in parts):
+                rows += [(key[0], v.doc, v.block_id, v.chapter, v.verse, v.text, v.raw) for v in binary.read_ztext(*parts, canon.get(t, []))]
+        return pd.DataFrame(rows, columns=["corpus_id", "doc_id", "block_id", "chapter", "verse", "text", "raw_markup"])
+
+    return found.groupBy("module").applyInPandas(run, "corpus_id string, doc_id string, block_id string, chapter int, verse int, text string, raw_markup string")
+
+
 # ---- content-addressed store ---------------------------------------------------------------------------------------------
 
 BLOB = "sha256 string, size_bytes bigint, content binary"

@@ -502,34 +502,65 @@ _RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?\??|\\([a-zA-Z]+)(-?\d+)? ?|
 _RTF_SKIP = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "generator"}
 
 
-def strip_rtf(t: str) -> str:
-    """Text of an RTF string: control words dropped, \\par and \\line as line feeds, hex and unicode escapes decoded, tables skipped."""
-    out, stack, skip = [], [], False
+def rtf_runs(t: str) -> Iterator[tuple[str, bool, bool]]:
+    """(text, bold, italic) of an RTF string: \\par and \\line are line feeds, hex and unicode escapes are decoded, tables skipped."""
+    stack, skip, bold, italic = [], False, False, False
     for m in _RTF.finditer(t):
-        hexa, uni, word, _, symbol, brace, plain = m.groups()
+        hexa, uni, word, number, symbol, brace, plain = m.groups()
+        got = None
         if brace == "{":
-            stack.append(skip)
+            stack.append((skip, bold, italic))
         elif brace == "}":
-            skip = stack.pop() if stack else False
+            skip, bold, italic = stack.pop() if stack else (False, False, False)
         elif word in _RTF_SKIP or symbol == "*":
             skip = True
         elif skip:
             continue
         elif hexa:
-            out.append(bytes([int(hexa, 16)]).decode("cp1252", "replace"))
+            got = bytes([int(hexa, 16)]).decode("cp1252", "replace")
         elif uni:
-            out.append(chr(int(uni) % 65536))
+            got = chr(int(uni) % 65536)
         elif word in ("par", "line", "sect", "page"):
-            out.append("\n")
+            got = "\n"
         elif word == "tab":
-            out.append("\t")
+            got = "\t"
+        elif word == "b":
+            bold = number != "0"
+        elif word == "i":
+            italic = number != "0"
+        elif word == "plain":
+            bold = italic = False
         elif symbol:
-            out.append("\xa0" if symbol == "~" else "" if symbol in "-_" else symbol)
+            got = "\xa0" if symbol == "~" else "" if symbol in "-_" else symbol
         elif plain:
-            out.append(plain)
+            got = plain
+        if got:
+            yield got, bold, italic
+
+
+def strip_rtf(t: str) -> str:
+    return "".join(x for x, _, _ in rtf_runs(t)).strip()
+
+
+def _styled(t: str, bold: tuple[str, str], italic: tuple[str, str], esc, line: str) -> str:
+    out, now = [], (False, False)
+    for x, b, i in [*rtf_runs(t), ("", False, False)]:
+        if (b, i) != now:
+            out.append((italic[1] if now[1] else "") + (bold[1] if now[0] else "") + (bold[0] if b else "") + (italic[0] if i else ""))
+            now = (b, i)
+        out.append(line.join(esc(p) for p in x.split("\n")))
     return "".join(out).strip()
 
 
+def rtf_to_html(t: str) -> str:
+    return _styled(t, ("<b>", "</b>"), ("<i>", "</i>"), escape, "<br/>")
+
+
+def rtf_to_latex(t: str) -> str:
+    special = {c: "\\" + c for c in "&%$#_{}"} | {"\\": "\\textbackslash{}", "~": "\\textasciitilde{}", "^": "\\textasciicircum{}"}
+    return _styled(t, ("\\textbf{", "}"), ("\\textit{", "}"), lambda x: "".join(special.get(c, c) for c in x), "\\\\\n")
+
+
 def read_rtf(name: str, data: bytes) -> Iterator[Verse]:
     chapter = 1
     for line in strip_rtf(data.decode("latin-1")).split("\n"):

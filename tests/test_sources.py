@@ -80,6 +80,29 @@ def test_rtf():
     assert textual.strip_rtf(r"{\rtf1{\fonttbl{\f0 Arial;}}\b bold\b0  \'e9\u233? x\par y}") == "bold éé x\ny"
 
 
+def test_rtf_styles():
+    assert textual.rtf_to_html(r"{\rtf1 a {\b b & {\i c}} d\par e}") == "a <b>b &amp; </b><b><i>c</i></b> d<br/>e"
+    assert textual.rtf_to_latex(r"{\rtf1 a_ {\b b}}") == r"a\_ \textbf{b}"
+
+
+def test_blake3():
+    from folioform.functions.blake3 import blake3_hex
+
+    assert blake3_hex(b"") == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
+    assert blake3_hex(b"abc") == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
+    assert len({blake3_hex(b"x" * n) for n in range(1000, 5000, 250)}) == 16
+
+
+def test_binary_modules_in_spark(spark, tmp_path):
+    canon = {"ot": [("Gen", 1, 2), ("Gen", 2, 1)], "nt": [("Matt", 1, 1)]}
+    (tmp_path / "mod").mkdir()
+    for t in ("ot", "nt"):
+        for s, data in zip(("bzs", "bzv", "bzz"), binary.write_ztext(VERSES, canon[t])):
+            (tmp_path / "mod" / f"{t}.{s}").write_bytes(data)
+    got = registry.binary_modules(registry.files(spark, str(tmp_path)), canon).collect()
+    assert [(r.doc_id, r.chapter, r.verse, r.text) for r in got] == KEY and {r.corpus_id for r in got} == {"mod"}
+
+
 def test_registry_in_spark(spark, tmp_path):
     for f in registry.FORMATS:
         if f.write:
