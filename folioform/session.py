@@ -43,9 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{at}"
 
 
+#: Tables this process has written to the shared folder.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables materialize() has written; call it once their results are stored. Returns how many were deleted."""
+    n, jvm = 0, spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
