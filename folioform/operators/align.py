@@ -50,14 +50,15 @@ def bag_similarity(pairs: DataFrame, ids: list[str], words_a: Column, words_b: C
     return out.select(*ids, F.round(F.coalesce(F.col("common") / F.greatest("_na", "_nb"), F.lit(0.0)), 6).alias("similarity"))
 
 
-def interval_lookup(points: DataFrame, intervals: DataFrame, key: str, at: list[str], lo: list[str], hi: list[str], order: list[str]) -> DataFrame:
-    """The first interval (by ``order``) that contains each point, compared as tuples, within an equal key."""
-    i = intervals.alias("i")
-    p = points.withColumn("_id", F.monotonically_increasing_id()).alias("p")
+def interval_lookup(points: DataFrame, point_id: str, intervals: DataFrame, key: str, at: list[str], lo: list[str], hi: list[str], order: list[str]) -> DataFrame:
+    """(point_id, first): the first interval (by ``order``) that contains each point, compared as tuples, within an equal key.
+
+    The least interval is kept before and after the shuffle by ``point_id``; points in no interval have no row.
+    """
+    i, p = intervals.alias("i"), points.select(point_id, key, *at).alias("p")
     t = F.struct(*[F.col(f"p.{c}") for c in at])
     j = p.join(i, (F.col(f"p.{key}") == F.col(f"i.{key}")) & (t >= F.struct(*[F.col(f"i.{c}").alias(a) for c, a in zip(lo, at)])) & (t <= F.struct(*[F.col(f"i.{c}").alias(a) for c, a in zip(hi, at)])))
-    best = j.groupBy("p._id").agg(F.min(F.struct(*[F.col(f"i.{c}") for c in order])).alias("first"))
-    return p.join(best, "_id").drop("_id")
+    return j.groupBy(F.col(f"p.{point_id}")).agg(F.min(F.struct(*[F.col(f"i.{c}") for c in order])).alias("first"))
 
 
 def overlaps(spans: DataFrame, key: str, span_id: str, start: str, end: str) -> DataFrame:

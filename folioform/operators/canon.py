@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +60,17 @@ def chain_mappings(ab: DataFrame, bc: DataFrame, keys: list[str], to: list[str])
     return mid.join(nxt, to, "left").select(*keys, *[F.coalesce(f"_{t}", t).alias(t) for t in to])
 
 
-def rule_map(refs: DataFrame, rules: DataFrame, keys: list[str], to: list[str]) -> DataFrame:
-    """Rules (rule_no, *keys, *to) where a key of 0 stands for any: the first rule that fits. The rules are a driver-side table and broadcast."""
-    r = rules.select("rule_no", *[F.col(k).alias(f"_{k}") for k in keys], *to)
-    on = [(F.col(f"_{k}") == 0) | (F.col(f"_{k}") == F.col(k)) for k in keys]
-    hit = refs.join(F.broadcast(r), on, "left")
-    best = hit.groupBy(*refs.columns).agg(F.min(F.struct("rule_no", *to)).alias("_b"))
-    return best.select(*refs.columns, *[F.coalesce(F.col(f"_b.{t}"), F.col(k)).alias(f"mapped_{k}") for k, t in zip(keys, to)])
+def rule_map(refs: DataFrame, rules: list[tuple], keys: list[str], to: list[str]) -> DataFrame:
+    """Rules (*keys, *to), in order, where a key of 0 stands for any: the first rule that fits. Rules are literals of the plan, so nothing is joined."""
+    fits = [reduce(lambda x, y: x & y, [(F.col(k) == v) if v != 0 else F.lit(True) for k, v in zip(keys, r)]) for r in rules]
+
+    def mapped(i: int, k: str):
+        out = None
+        for fit, r in zip(fits, rules):
+            out = F.when(fit, F.lit(r[len(keys) + i])) if out is None else out.when(fit, F.lit(r[len(keys) + i]))
+        return (F.col(k) if out is None else out.otherwise(F.col(k))).alias(f"mapped_{k}")
+
+    return refs.select(*refs.columns, *[mapped(i, k) for i, k in enumerate(keys)])
 
 
 def greek_psalm(chapter, verse):

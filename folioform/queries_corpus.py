@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioform.functions import refs, text
-from folioform.operators import align, canon, search, validate
+from folioform.operators import align, canon, search, tokens, validate
 from folioform.session import broadcast_if_small
 from folioform.session import read_table as rd
 
@@ -210,8 +210,7 @@ SELECT chapter, verse, coalesce((SELECT arg_min(tc, rule_no) FROM r WHERE (r.cha
 coalesce((SELECT arg_min(tv, rule_no) FROM r WHERE (r.chapter = 0 OR r.chapter = v.chapter) AND (r.verse = 0 OR r.verse = v.verse)), verse) AS mapped_verse FROM v""")
 def wildcard_rule_map(s, d):
     v = rd(s, d, "esword_bible").where("chapter IS NOT NULL AND verse IS NOT NULL").select("chapter", "verse").distinct()
-    rules = s.createDataFrame([(1, 1, 0, 5, 5), (2, 0, 2, 7, 7), (3, 1, 2, 9, 9)], "rule_no int, chapter int, verse int, tc int, tv int")
-    return canon.rule_map(v, rules, ["chapter", "verse"], ["tc", "tv"])
+    return canon.rule_map(v, [(1, 0, 5, 5), (0, 2, 7, 7), (1, 2, 9, 9)], ["chapter", "verse"], ["tc", "tv"])
 
 
 @q("""SELECT c::INT AS chapter, v::INT AS verse, (CASE WHEN c <= 9 THEN c WHEN c = 10 THEN 9 WHEN c <= 113 THEN c - 1 WHEN c IN (114, 115) THEN 113 WHEN c = 116 AND v <= 9 THEN 114 WHEN c = 116 THEN 115 WHEN c <= 146 THEN c - 1 WHEN c = 147 AND v <= 11 THEN 146 ELSE c END)::INT AS to_chapter,
@@ -260,12 +259,12 @@ def canon_missing_verses(s, d):
     return grid.join(e.select("module_id", "chapter", "verse"), ["module_id", "chapter", "verse"], "left_anti").groupBy("module_id", "chapter").agg(F.count("*").alias("n_missing"))
 
 
-@q("""WITH i AS (SELECT o_custkey % 100 AS k, o_orderkey AS id, date_trunc('hour', o_orderdate) AS lo, o_orderdate + INTERVAL 30 DAY AS hi FROM orders WHERE o_orderstatus = 'P')
-SELECT e.event_id, min(struct_pack(id := i.id)).id AS first_id FROM events e JOIN i ON e.user_id % 100 = i.k AND e.ts BETWEEN i.lo AND i.hi GROUP BY e.event_id""")
+@q("""WITH i AS (SELECT user_id AS k, event_id AS id, ts AS lo, ts + INTERVAL 1 DAY AS hi FROM events WHERE event_type = 'signup')
+SELECT e.event_id, min(i.id) AS first_id FROM events e JOIN i ON e.user_id = i.k AND e.ts BETWEEN i.lo AND i.hi GROUP BY e.event_id""")
 def interval_lookup(s, d):
-    i = rd(s, d, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") % 100).alias("k"), F.col("o_orderkey").alias("id"), F.date_trunc("hour", "o_orderdate").cast("timestamp_ntz").alias("lo"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("hi"))
-    e = rd(s, d, "events").select("event_id", (F.col("user_id") % 100).alias("k"), "ts")
-    return align.interval_lookup(e, i, "k", ["ts"], ["lo"], ["hi"], ["id"]).select("event_id", F.col("first.id").alias("first_id"))
+    e = rd(s, d, "events").select("event_id", F.col("user_id").alias("k"), "ts", "event_type")
+    i = e.where("event_type = 'signup'").select("k", F.col("event_id").alias("id"), F.col("ts").alias("lo"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("hi"))
+    return align.interval_lookup(e, "event_id", i, "k", ["ts"], ["lo"], ["hi"], ["id"]).select("event_id", F.col("first.id").alias("first_id"))
 
 
 @q("WITH s AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) AS a, min(l_quantity) + 5 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY ALL) SELECT x.k, x.id AS id_a, y.id AS id_b FROM s x JOIN s y ON x.k = y.k AND x.id < y.id AND x.a < y.b AND y.a < x.b")
@@ -368,8 +367,7 @@ def token_counts(s, d):
 u AS (SELECT verse_uid, unnest(ts) AS tok, unnest(generate_series(0, len(ts) - 1)) AS idx FROM t)
 SELECT verse_uid, idx::INT AS idx, tok AS text, (sum(strlen(tok)) OVER (PARTITION BY verse_uid ORDER BY idx) - strlen(tok))::INT AS char_start FROM u""")
 def token_positions(s, d):
-    v = rd(s, d, "verses").where("text IS NOT NULL AND chapter = 1")
-    return v.select("verse_uid", F.explode(text.tokens("text")).alias("t")).select("verse_uid", "t.idx", "t.text", "t.char_start")
+    return tokens.token_rows(rd(s, d, "verses").where("text IS NOT NULL AND chapter = 1"), ["verse_uid"], "text").select("verse_uid", "idx", "text", "char_start")
 
 
 @q("SELECT run_status, count(*) AS n, round(count(*) FILTER (WHERE run_status = 'success') / count(*), 6) AS pass_rate FROM runs GROUP BY run_status")

@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from folioform.functions import refs, text
-from folioform.operators import align, canon, search, validate
+from folioform.operators import align, canon, search, tokens, validate
 
 
 def one(spark, value, f):
@@ -27,6 +27,10 @@ def test_tokens(spark):
     got = one(spark, "É'x, y", text.tokens)
     assert [(t.text, t.type, t.char_start, t.char_end) for t in got] == [("É'x", "word", 0, 4), (",", "punctuation", 4, 5), (" ", "whitespace", 5, 6), ("y", "word", 6, 7)]
     assert one(spark, "", text.tokens) == []
+    long = "wörd, " * 5000
+    rows = tokens.token_rows(spark.createDataFrame([(1, long), (2, None), (3, "")], "k int, x string"), ["k"], "x")
+    assert rows.count() == 15000 and rows.agg(F.max("char_end")).first()[0] == len(long.encode())
+    assert {(r.word, r.n) for r in tokens.word_counts(spark.createDataFrame([(1, "a A b")], "k int, x string"), ["k"], "x").collect()} == {("a", 2), ("b", 1)}
     assert one(spark, "Don't 3 stop", text.plain_words) == ["Don't", "3", "stop"]
 
 
