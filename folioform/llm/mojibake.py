@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,33 +52,50 @@ def byte_of(encoding: str) -> dict[int, int]:
     return table
 
 
+@lru_cache(maxsize=None)
+def _as_bytes(read: str) -> dict[int, str]:
+    """Translation of characters to the bytes they were read from, as Latin-1; a character of no byte breaks a sequence."""
+    table = byte_of(read)
+    return {c: "\uffff" for c in range(0x80, 0x100)} | {c: chr(b) for c, b in table.items()}
+
+
+@lru_cache(maxsize=None)
+def _direct(true: str, read: str) -> tuple[dict[int, str], frozenset[str]]:
+    """Translation of one single-byte encoding read as another, and the characters it covers."""
+    out = {}
+    for c, b in byte_of(read).items():
+        try:
+            out[c] = bytes([b]).decode(true)
+        except UnicodeDecodeError:
+            continue
+    return out, frozenset(map(chr, out))
+
+
+def _utf8(m: re.Match) -> str:
+    try:
+        return m[0].encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return m[0]
+
+
 def undo_step(word: str, true: str, read: str) -> str | None:
     """The word before it was read wrongly, None if it can't have been."""
-    table = byte_of(read)
     if true == "utf-8":
-        if all(ord(c) in table for c in word):
-            as_bytes = "".join(chr(table[ord(c)]) for c in word)
-        else:  # characters outside the reader's set break the word into pieces
-            as_bytes = "".join(chr(table[ord(c)]) if ord(c) in table else "￿" for c in word)
-        out, last, n = [], 0, 0
+        as_bytes = word.translate(_as_bytes(read))
+        if not _UTF8.search(as_bytes):
+            return None
+        out, last = [], 0
         for m in _UTF8.finditer(as_bytes):
-            try:
-                got = m[0].encode("latin-1").decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            out += [word[last : m.start()], got]
-            last, n = m.end(), n + 1
-        return "".join([*out, word[last:]]) if n else None
-    if not all(ord(c) in table for c in word):
-        return None
-    try:
-        out = bytes(table[ord(c)] for c in word).decode(true)
-    except UnicodeDecodeError:
+            out += [word[last : m.start()], _utf8(m) if len(_utf8(m)) == 1 else word[m.start() : m.end()]]
+            last = m.end()
+        return "".join([*out, word[last:]])
+    table, known = _direct(true, read)
+    if not known.issuperset(word):
         return None
+    out = word.translate(table)
     return None if _BREAK.search(out) else out
 
 
-@lru_cache(maxsize=400_000)
 def undo(word: str, chain: str) -> str | None:
     for true, read in CHAINS[chain]:
         word = undo_step(word, true, read)
@@ -86,29 +104,30 @@ def undo(word: str, chain: str) -> str | None:
     return word
 
 
-class PairModel:
-    """Character pairs with back-off to single characters."""
+class PairModel(dict):
+    """Character pairs with back-off to single characters: {pair: log probability of its second character after its first}, filled as asked."""
 
     def __init__(self, pairs: dict[str, int]) -> None:
+        super().__init__()
         self.pairs, self.first, self.single = pairs, Counter(), Counter()
         for p, n in pairs.items():
             self.first[p[0]] += n
             self.single[p[1]] += n
         self.total = sum(self.single.values()) + 1
-        self.memo: dict[str, float] = {}
 
-    def log_p(self, word: str) -> float:
-        got = self.memo.get(word)
-        if got is None:
-            got, before = 0.0, " "
-            for c in word + " ":
-                back = (self.single.get(c, 0) + 0.001) / self.total
-                got += math.log((self.pairs.get(before + c, 0) + 5 * back) / (self.first.get(before, 0) + 5))
-                before = c
-            if len(self.memo) < 400_000:
-                self.memo[word] = got
+    def __reduce__(self):
+        return PairModel, (self.pairs,)
+
+    def __missing__(self, pair: str) -> float:
+        back = (self.single.get(pair[1], 0) + 0.001) / self.total
+        got = math.log((self.pairs.get(pair, 0) + 5 * back) / (self.first.get(pair[0], 0) + 5))
+        if len(self) < 1_000_000:
+            self[pair] = got
         return got
 
+    def log_p(self, word: str) -> float:
+        return sum(map(self.__getitem__, map(str.__add__, " " + word, word + " ")))
+
     def gains(self, word: str) -> dict[str, float]:
         """{chain: nats gained} of the chains that make the word more probable by MARGIN."""
         if word.isascii():
@@ -122,9 +141,12 @@ class PairModel:
         return out
 
 
-def pair_counts(text: str, into: Counter) -> None:
-    padded = " " + text.replace("\n", " ") + " "
-    into.update(map("".join, zip(padded, padded[1:])))
+def pair_counts(texts: list[str], into: Counter) -> None:
+    """Counts of neighbouring characters, each text standing between spaces."""
+    cps = np.frombuffer((" " + " ".join(texts) + " ").replace("\n", " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    keys, n = np.unique((cps[:-1] << 21) | cps[1:], return_counts=True)
+    for k, c in zip(keys.tolist(), n.tolist()):
+        into[chr(k >> 21) + chr(k & 0x1FFFFF)] += c
 
 
 def row_gains(text: str | None, model: PairModel, memo: dict[str, dict[str, float]]) -> dict[str, float]:
@@ -133,6 +155,8 @@ def row_gains(text: str | None, model: PairModel, memo: dict[str, dict[str, floa
         return {}
     out: dict[str, float] = {}
     for w in text.split(" "):
+        if w.isascii():
+            continue
         g = memo.get(w)
         if g is None:
             g = model.gains(w)
@@ -165,9 +189,8 @@ def pair_model(rows: DataFrame) -> PairModel:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for b in batches:
-            for t in b["t"]:
-                if t:
-                    pair_counts(t, n)
+            if texts := [t for t in b["t"] if t]:
+                pair_counts(texts, n)
         yield pd.DataFrame({"pair": list(n), "n": list(n.values())})
 
     counts = rows.select("t").mapInPandas(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
