@@ -309,6 +309,15 @@ def test_overlap_tolerates_substitutions():
     assert leaks.overlap(np.zeros(5, bool))[0] == 0
 
 
+def test_substituted_leaks_are_reported(spark):
+    words = [f"w{i}" for i in range(30)]
+    changed = [("x" if i % 10 == 4 else w) for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(changed)), (2, " ".join(words[:12])), (3, " ".join(reversed(words)))], ROWS)
+    items = spark.createDataFrame([(7, " ".join(words))], "item long, passage string")
+    found = leaks.leaked_passages(docs, "id", "text", items, "item", "passage").collect()
+    assert [(r.doc_id, r.exact_words, r.equal_words) for r in found] == [(1, 9, 27)]
+
+
 # ---- shared spans --------------------------------------------------------------------------------------------------------
 
 
