@@ -241,10 +241,11 @@ def posteriors(gains: DataFrame, pools: DataFrame, n_rounds: int = ROUNDS) -> Da
         all_rows = pools.agg(F.sum("n").alias("rows"))
         total = all_rows.first()[0] or 1
         overall = overall.select("chain", (F.col("all_mass") / total).alias("share"))
-        garbled = overall.agg(F.sum("share")).first()[0] or 0.0
-        shares = overall.unionByName(hyp.sparkSession.createDataFrame([(CLEAN, max(1e-6, 1.0 - garbled))], "chain string, share double"))
+        known = {r.chain: float(r.share) for r in overall.collect()}  # at most one row per chain
+        known[CLEAN] = max(1e-6, 1.0 - sum(known.values()))
+        shares = F.array(*[F.struct(F.lit(c).alias("chain"), F.lit(x).alias("share")) for c, x in sorted(known.items())])
         dirty = mass.where(F.col("chain") != CLEAN).groupBy("pool").agg(F.sum("mass").alias("dirty"))
-        per = pools.join(dirty, "pool", "left").crossJoin(F.broadcast(shares))  # shares: one row per chain
+        per = pools.join(dirty, "pool", "left").select("pool", "n", "dirty", F.explode(shares).alias("s")).select("pool", "n", "dirty", "s.chain", "s.share")
         per = per.join(mass, ["pool", "chain"], "left")
         own = F.when(F.col("chain") == CLEAN, F.col("n") - F.coalesce("dirty", F.lit(0.0))).otherwise(F.coalesce("mass", F.lit(0.0)))
         prior = materialize(per.select("pool", "chain", F.log(F.greatest((own + PRIOR_ROWS * F.col("share")) / (F.col("n") + PRIOR_ROWS), F.lit(1e-9))).alias("log_prior")), "mojibake-prior")

@@ -10,7 +10,6 @@ apart. The mapping is precomputed and checked for conflicts: no chains, no cycle
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +40,10 @@ EXTRA_INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 JOINS = ((0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x0132, 0x0133), (0x01C7, 0x01CC), (0x01F1, 0x01F3))
 
 
+#: Code points in which widths, spaces, joins, marks and format characters are assigned.
+ASSIGNED = [*range(0x20000), *range(0xE0000, 0xE01F0)]
+
+
 def build_mapping() -> dict[str, str]:
     """{character: its print form}, '' for invisible ones. Raises ValueError on a conflict."""
     out: dict[str, str] = {}
@@ -50,7 +53,7 @@ def build_mapping() -> dict[str, str]:
             raise ValueError(f"{why} maps U+{ord(c):04X} to {to!r}, but it maps to {out[c]!r} already")
         out[c] = to
 
-    for cp in range(sys.maxunicode + 1):
+    for cp in ASSIGNED:
         c = chr(cp)
         kind = unicodedata.category(c)
         if kind == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or c in EXTRA_INVISIBLE:
@@ -97,7 +100,7 @@ class Transducer:
     def __init__(self, mapping: dict[str, str]) -> None:
         self.mapping = mapping
         self.table = {ord(c): to for c, to in mapping.items()}
-        marks = [chr(cp) for cp in range(sys.maxunicode + 1) if unicodedata.combining(chr(cp))]
+        marks = [chr(cp) for cp in ASSIGNED if unicodedata.combining(chr(cp))]
         hidden = [c for c, to in mapping.items() if not to]
         # precomposed letters whose base is mapped ('ё'), or whose canonical form differs, are active too
         composed = [c for cp in range(0xC0, 0x33FF) if (c := chr(cp)) not in mapping and (n := unicodedata.normalize("NFD", c)) != c and (any(x in mapping for x in n) or unicodedata.normalize("NFC", c) != c)]
