@@ -88,4 +88,11 @@ def p10_shared(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_print_forms, p6_found, p6_restored, p7_found, p7_clean, p8_packed, p8_fill, p8_mixture, p9_found, p9_overlaps, p10_found, p10_shared)}
-ORACLE: dict[str, str] = {}
+
+_GRAMS = "SELECT DISTINCT {id}, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 12)) AS i FROM (SELECT {id}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE {text} IS NOT NULL) WHERE len(w) >= 13)"
+
+ORACLE = {
+    "p9_found": f"SELECT DISTINCT item_id, doc_id FROM ({_GRAMS.format(id='item_id', text='passage', table='eval_items')}) JOIN ({_GRAMS.format(id='doc_id', text='text', table='documents')}) USING (gram)",
+    "p10_found": """WITH w AS (SELECT doc_id, md5_number(substr(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 399)) AS i FROM documents WHERE length(text) >= 400)),
+d AS (SELECT DISTINCT h, doc_id FROM w) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id""",
+}
