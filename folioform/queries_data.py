@@ -80,7 +80,14 @@ UNION SELECT raw_id, 'span', coalesce(s->>'$.id', ''), bid, osis FROM sp
 UNION SELECT nt.raw_id, 'annotation', coalesce(n->>'$.id', ''), coalesce(k.span_id, ''), osis FROM nt LEFT JOIN known k ON k.raw_id = nt.raw_id AND k.span_id = coalesce(n->>'$.span_id', '')
 """
 
+#: The flat tables of content blocks and spans, a lone object counting as an array of one.
+_ARR = "CASE json_type({0}) WHEN 'ARRAY' THEN ({0})::JSON[] WHEN 'OBJECT' THEN [{0}] END"
+_P3_BLOCKS = f"""WITH ok AS (SELECT raw_id, payload::JSON AS p FROM ir_raw WHERE json_valid(payload) AND json_type(payload::JSON) = 'OBJECT'),
+l AS (SELECT raw_id, {_ARR.format("p->'$.content_blocks'")} AS bs FROM ok), b AS (SELECT raw_id, unnest(bs) AS b, unnest(generate_series(0, len(bs) - 1)) AS k FROM l WHERE len(bs) > 0)
+"""
+
 ORACLE = {
+    "p3_content_blocks": _P3_BLOCKS + "SELECT raw_id AS rec_id, k::INT AS block_no, b->>'$.id' AS block_id, b->>'$.sequence' AS sequence, b->>'$.text' AS text FROM b",
     "p2_found": _P2 + "SELECT * FROM found",
     "p2_diff_counts": _P2 + "SELECT compare_id, diff, count(*) AS n_blocks FROM found GROUP BY ALL",
     "p3_found": _P3,
