@@ -114,6 +114,7 @@ class PairModel(dict):
             self.first[p[0]] += n
             self.single[p[1]] += n
         self.total = sum(self.single.values()) + 1
+        self.memo: dict[str, dict[str, float]] = {}  # kept across the tasks of a worker, as the broadcast model is
 
     def __reduce__(self):
         return PairModel, (self.pairs,)
@@ -149,7 +150,7 @@ def pair_counts(texts: list[str], into: Counter) -> None:
         into[chr(k >> 21) + chr(k & 0x1FFFFF)] += c
 
 
-def row_gains(text: str | None, model: PairModel, memo: dict[str, dict[str, float]]) -> dict[str, float]:
+def row_gains(text: str | None, model: PairModel) -> dict[str, float]:
     """{chain: nats} of one text; empty for null and ASCII texts."""
     if not text or text.isascii():
         return {}
@@ -157,11 +158,11 @@ def row_gains(text: str | None, model: PairModel, memo: dict[str, dict[str, floa
     for w in text.split(" "):
         if w.isascii():
             continue
-        g = memo.get(w)
+        g = model.memo.get(w)
         if g is None:
             g = model.gains(w)
-            if len(memo) < 400_000:
-                memo[w] = g
+            if len(model.memo) < 400_000:
+                model.memo[w] = g
         for c, x in g.items():
             out[c] = out.get(c, 0.0) + x
     if n := len(_OPAQUE.findall(text)):
@@ -202,9 +203,8 @@ def gain_rows(rows: DataFrame, model: PairModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, dict[str, float]] = {}
         for b in batches:
-            got = [row_gains(t, shared.value, memo) for t in b["t"]]
+            got = [row_gains(t, shared.value) for t in b["t"]]
             b = b[[bool(g) for g in got]]
             yield b.assign(chains=[[{"chain": c, "gain": x} for c, x in g.items()] for g in got if g])
 
