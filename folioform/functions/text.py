@@ -141,8 +141,9 @@ def safe_id(x: Str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_c(x)), "[^a-z0-9_-]+", "-"), "^-+|-+$", "")
 
 
-def trim_archive_suffix(x: Str) -> Column:
-    return F.regexp_replace(_c(x), r"(?i)\.(capsule\.)?(tar\.xz|tar\.gz|tgz|txz|tar|zip)$", "")
+def trim_archive_suffix(x: Str, inner: str = "") -> Column:
+    """Without the suffix of an archive, and without ``.inner`` before it."""
+    return F.regexp_replace(_c(x), rf"(?i)(\.{inner})?\.(tar\.xz|tar\.gz|tgz|txz|tar|zip)$" if inner else r"(?i)\.(tar\.xz|tar\.gz|tgz|txz|tar|zip)$", "")
 
 
 def human_size(n: Str) -> Column:
