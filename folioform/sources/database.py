@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import sqlite3
+from collections import Counter
 from collections.abc import Iterator
 
 from folioform.sources.model import NUMBER_OF_BOOK, Verse, book_by_number, documents
-from folioform.sources.textual import strip_html, strip_rtf
+from folioform.sources.textual import SPACE, strip_html, strip_rtf
 
 MAGIC = b"SQLite format 3\x00"
 
@@ -34,9 +36,18 @@ def _pick(found: dict[str, list[str]], *names: str) -> str | None:
     return next((low[n.lower()] for n in names if n.lower() in low), None)
 
 
+def _is_rtf(t: str) -> bool:
+    return t.startswith("{\\rtf") or "\\par" in t
+
+
+def _stored(t: str) -> str:
+    """The reverse of _text: what it would take for markup is escaped."""
+    return html.escape(t, quote=False).replace("\\", "&#92;") if _is_rtf(t) or "<" in t or "&" in t else t
+
+
 def _text(t) -> str:
     t = "" if t is None else str(t)
-    return strip_rtf(t) if t.startswith("{\\rtf") or "\\par" in t else strip_html(t) if "<" in t or "&" in t else t.strip()
+    return strip_rtf(t) if _is_rtf(t) else strip_html(t) if "<" in t or "&" in t else t.strip(SPACE)
 
 
 def _verses(con, table: str, book: str, chapter: str, verse: str, text: str, name_of) -> Iterator[Verse]:
@@ -56,7 +67,11 @@ def write_sqlite(verses: list[Verse]) -> bytes:
     con = sqlite3.connect(":memory:")
     con.executescript("CREATE TABLE meta (id TEXT, title TEXT, language TEXT, description TEXT, version TEXT); CREATE TABLE books (id TEXT PRIMARY KEY, name TEXT, book_order INTEGER); CREATE TABLE verses (id TEXT PRIMARY KEY, book TEXT, chapter INTEGER, verse INTEGER, text TEXT);")
     con.executemany("INSERT INTO books VALUES (?, ?, ?)", [(d, vs[0].title or d, i) for i, (d, vs) in enumerate(documents(verses), 1)])
-    con.executemany("INSERT OR REPLACE INTO verses VALUES (?, ?, ?, ?, ?)", [(v.block_id, v.doc, v.chapter, v.verse, v.text) for v in verses])
+    times = Counter()
+    for v in verses:  # a place may have several texts; ids stay unique
+        times[v.block_id] += 1
+        n = times[v.block_id]
+        con.execute("INSERT INTO verses VALUES (?, ?, ?, ?, ?)", (v.block_id if n == 1 else f"{v.block_id}#{n}", v.doc, v.chapter, v.verse, _stored(v.text)))
     con.commit()
     return con.serialize()
 
@@ -90,7 +105,7 @@ def _entries(con, table: str, cols: list[str]) -> Iterator[Verse]:
 def write_esword(verses: list[Verse]) -> bytes:
     con = sqlite3.connect(":memory:")
     con.executescript("CREATE TABLE Details (Title TEXT, Abbreviation TEXT, Information TEXT, Version TEXT, Font TEXT, RightToLeft INT); CREATE TABLE Bible (Book INT, Chapter INT, Verse INT, Scripture TEXT);")
-    con.executemany("INSERT INTO Bible VALUES (?, ?, ?, ?)", [(NUMBER_OF_BOOK[v.doc], v.chapter, v.verse, v.text) for v in verses if v.doc in NUMBER_OF_BOOK])
+    con.executemany("INSERT INTO Bible VALUES (?, ?, ?, ?)", [(NUMBER_OF_BOOK[v.doc], v.chapter, v.verse, _stored(v.text)) for v in verses if v.doc in NUMBER_OF_BOOK])
     con.commit()
     return con.serialize()
 
@@ -112,7 +127,7 @@ def read_mysword(name: str, data: bytes) -> Iterator[Verse]:
 def write_mysword(verses: list[Verse]) -> bytes:
     con = sqlite3.connect(":memory:")
     con.executescript("CREATE TABLE Details (title TEXT, description TEXT, version TEXT); CREATE TABLE Books (Book INT, Chapter INT, Verse INT, Scripture TEXT);")
-    con.executemany("INSERT INTO Books VALUES (?, ?, ?, ?)", [(NUMBER_OF_BOOK[v.doc], v.chapter, v.verse, v.text) for v in verses if v.doc in NUMBER_OF_BOOK])
+    con.executemany("INSERT INTO Books VALUES (?, ?, ?, ?)", [(NUMBER_OF_BOOK[v.doc], v.chapter, v.verse, _stored(v.text)) for v in verses if v.doc in NUMBER_OF_BOOK])
     con.commit()
     return con.serialize()
 
@@ -132,7 +147,7 @@ def write_mybible(verses: list[Verse]) -> bytes:
     con = sqlite3.connect(":memory:")
     con.executescript("CREATE TABLE info (name TEXT, value TEXT); CREATE TABLE verses (book_number INT, chapter INT, verse INT, text TEXT);")
     num = {_mybible_book(n): n for n in range(10, 740, 10)}
-    con.executemany("INSERT INTO verses VALUES (?, ?, ?, ?)", [(num[v.doc], v.chapter, v.verse, v.text) for v in verses if v.doc in num])
+    con.executemany("INSERT INTO verses VALUES (?, ?, ?, ?)", [(num[v.doc], v.chapter, v.verse, _stored(v.text)) for v in verses if v.doc in num])
     con.commit()
     return con.serialize()
 

@@ -11,11 +11,20 @@ from xml.sax.saxutils import escape, quoteattr
 
 from folioform.sources.model import CODE_OF_BOOK, NUMBER_OF_BOOK, Verse, book_by_code, book_by_number, chapters, documents
 
-_WS = re.compile(r"\s+")
+#: White space that readers fold. Others (no-break space, line separators, C1 characters) are part of the text.
+SPACE = " \t\n\r\f\v"
+_WS = re.compile(f"[{SPACE}]+")
+#: Characters no XML 1.0 document can hold.
+_NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
 
 
 def clean(t: str) -> str:
-    return _WS.sub(" ", t).strip()
+    return _WS.sub(" ", t).strip(SPACE)
+
+
+def xml_text(t: str) -> str:
+    """Escaped text; a character XML cannot hold becomes U+FFFD, as it would cost the whole file."""
+    return escape(_NO_XML.sub("\ufffd", t))
 
 
 def lines_of(data: bytes) -> list[str]:
@@ -43,7 +52,7 @@ def read_usfm(name: str, data: bytes, keep_inline: bool = False) -> Iterator[Ver
     """``\\id \\c \\v``; paragraph markers and continuation lines extend the verse; notes are dropped, inline markers too unless kept."""
     body = data.decode("utf-8-sig", "replace")
     book, chapter, title = name, 0, None
-    for m in re.finditer(r"\\id\s+(\w+)|\\(?:h|mt1?)\s+([^\\\n]+)|\\c\s+(\d+)|\\v\s+(\d+)(?:-(\d+))?\s*((?:(?!\\c\s|\\v\s|\\id\s).)*)", body, re.S):
+    for m in re.finditer(r"\\id\s+([\w-]+)|\\(?:h|mt1?)\s+([^\\\n]+)|\\c\s+(\d+)|\\v\s+(\d+)(?:-(\d+))?\s*((?:(?!\\c\s|\\v\s|\\id\s).)*)", body, re.S):
         if m[1]:
             book, chapter, title = book_by_code(m[1]), 0, None
         elif m[2]:
@@ -71,7 +80,7 @@ def read_txt(name: str, data: bytes) -> Iterator[Verse]:
     """``[Book] c:v text``; the book is carried forward."""
     book = name
     for line in lines_of(data):
-        if m := re.match(r"(?:([1-4]?\s?\w+)\s+)?(\d+):(\d+)\s+(.+)$", line.strip()):
+        if m := re.match(r"(?:([1-4]?\s?\w[\w-]*)\s+)?(\d+):(\d+)\s+(.+)$", line.strip()):
             book = (m[1] or book).replace(" ", "")
             yield Verse(book, int(m[2]), int(m[3]), m[4].strip(), raw=line)
 
@@ -139,7 +148,7 @@ def write_markdown(verses: list[Verse]) -> bytes:
 
 def read_onlinebible(name: str, data: bytes) -> Iterator[Verse]:
     for line in lines_of(data):
-        if m := re.match(r"\$(\w+)\s+(\d+):(\d+)\s+(.*)$", line):
+        if m := re.match(r"\$([\w-]+)\s+(\d+):(\d+)\s+(.*)$", line):
             yield Verse(m[1], int(m[2]), int(m[3]), m[4].strip(), raw=line)
 
 
@@ -372,7 +381,7 @@ def write_zefania(verses: list[Verse]) -> bytes:
     for i, (doc, vs) in enumerate(documents(verses), 1):
         out.append(f'<BIBLEBOOK bnumber="{NUMBER_OF_BOOK.get(doc, i + 100)}" bname={quoteattr(vs[0].title or doc)}>')
         for c, own in chapters(vs):
-            out.append(f'<CHAPTER cnumber="{c}">' + "".join(f'<VERS vnumber="{v.verse}">{escape(v.text)}</VERS>' for v in own) + "</CHAPTER>")
+            out.append(f'<CHAPTER cnumber="{c}">' + "".join(f'<VERS vnumber="{v.verse}">{xml_text(v.text)}</VERS>' for v in own) + "</CHAPTER>")
         out.append("</BIBLEBOOK>")
     return "\n".join([*out, "</XMLBIBLE>", ""]).encode()
 
@@ -459,10 +468,11 @@ def read_flex(name: str, data: bytes) -> Iterator[Verse]:
 # ---- HTML, RTF -----------------------------------------------------------------------------------------------------------
 
 _TAG = re.compile(r"<[^>]*>?")
+_NBSP = re.compile(r"&nbsp;|&#160;|&#xa0;", re.I)
 
 
 def strip_html(t: str) -> str:
-    return clean(html_lib.unescape(_TAG.sub("", t)).replace("\xa0", " "))
+    return clean(html_lib.unescape(_NBSP.sub(" ", _TAG.sub("", t))))
 
 
 _H_CHAPTER = r"<h[1-4][^>]*>[^<]*?(\d+)\s*</h[1-4]>"
