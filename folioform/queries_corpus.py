@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioform.functions import refs, text
 from folioform.operators import align, canon, search, tokens, validate
+from folioform.schema import BOOKS
 from folioform.session import broadcast_if_small
 from folioform.session import read_table as rd
 
@@ -647,3 +648,54 @@ def stream_session(s, d):
 @q("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id")
 def latest_status(s, d):
     return rd(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
+
+
+# ---- the operators above over whole tables: no chapter, book, flag or size is left out ----------------------------------
+
+
+@q("""WITH t AS (SELECT verse_uid, regexp_extract_all(text, '[A-Za-z0-9''\\x{80}-\\x{10FFFF}]+|[ \\t\\n\\r]+|[^A-Za-z0-9''\\x{80}-\\x{10FFFF} \\t\\n\\r]+') AS ts FROM verses WHERE text IS NOT NULL),
+u AS (SELECT verse_uid, unnest(ts) AS tok, unnest(generate_series(0, len(ts) - 1)) AS idx FROM t)
+SELECT verse_uid, idx::INT AS idx, tok AS text, (sum(strlen(tok)) OVER (PARTITION BY verse_uid ORDER BY idx) - strlen(tok))::INT AS char_start FROM u""")
+def token_positions_all(s, d):
+    return tokens.token_rows(rd(s, d, "verses").where("text IS NOT NULL"), ["verse_uid"], "text").select("verse_uid", "idx", "text", "char_start")
+
+
+@q("""WITH w AS (SELECT DISTINCT book, module_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM verses)
+SELECT book, word, min(module_id) AS module_id FROM w WHERE length(word) > 2 GROUP BY book, word HAVING count(*) = 1""")
+def unique_words_per_side_all(s, d):
+    return align.unique_words(rd(s, d, "verses"), ["book"], "module_id", F.split(F.lower("text"), r"\s+"))
+
+
+@q("""WITH n AS (SELECT module_id, book, chapter, max(verse) AS n_verses FROM esword_bible WHERE book IS NOT NULL AND chapter IS NOT NULL GROUP BY ALL), g AS (SELECT module_id, book, chapter, unnest(generate_series(1, n_verses)) AS verse FROM n WHERE n_verses > 0)
+SELECT g.module_id, g.book, g.chapter, count(*) AS n_missing FROM g LEFT JOIN esword_bible e ON e.book = g.book AND e.module_id = g.module_id AND e.chapter = g.chapter AND e.verse = g.verse WHERE e.row_id IS NULL GROUP BY ALL""")
+def canon_missing_verses_all(s, d):
+    keys = ["module_id", "book", "chapter"]
+    e = rd(s, d, "esword_bible").where("book IS NOT NULL AND chapter IS NOT NULL")
+    grid = canon.expand_canon(e.groupBy(*keys).agg(F.max("verse").alias("n_verses")))
+    return grid.join(e.select(*keys, "verse"), [*keys, "verse"], "left_anti").groupBy(*keys).agg(F.count("*").alias("n_missing"))
+
+
+@q("WITH s AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) AS a, min(l_quantity) + 5 AS b FROM lineitem GROUP BY ALL) SELECT x.k, x.id AS id_a, y.id AS id_b FROM s x JOIN s y ON x.k = y.k AND x.id < y.id AND x.a < y.b AND y.a < x.b")
+def span_overlap_all(s, d):
+    li = rd(s, d, "lineitem").groupBy(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_quantity").alias("a"), (F.min("l_quantity") + 5).alias("b"))
+    return align.overlaps(li, "k", "id", "a", "b")
+
+
+@q("SELECT blob_id, CASE " + " ".join(f"WHEN size_bytes >= {1024**k} THEN printf('%.1f', round(size_bytes / {1024**k}.0, 1)) || ' {u}'" for k, u in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))) + " ELSE size_bytes || ' B' END AS size FROM blobs")
+def human_sizes_all(s, d):
+    return rd(s, d, "blobs").select("blob_id", text.human_size("size_bytes").alias("size"))
+
+
+@q("SELECT row_id, CASE book " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(BOOKS, 1)) + " END AS osis FROM esword_bible")
+def book_number_lookup_all(s, d):
+    table = F.create_map(*[F.lit(x) for i, b in enumerate(BOOKS, 1) for x in (i, b)])
+    return rd(s, d, "esword_bible").select("row_id", table[F.col("book")].alias("osis"))
+
+
+@q("""WITH c AS (SELECT module_id, book, chapter AS c0, chapter + 2 AS c1, row_id FROM esword_bible WHERE verse = 1 AND chapter IS NOT NULL)
+SELECT v.row_id, count(*) AS n_comments FROM esword_bible v JOIN c ON c.module_id = v.module_id AND v.book = c.book AND c.c0 <= v.chapter AND c.c1 >= v.chapter GROUP BY v.row_id""")
+def chapter_overlap_all(s, d):
+    v = rd(s, d, "esword_bible")
+    # an equal key instead of a range: a comment counts for its own chapter and the two after it
+    c = v.where("verse = 1 AND chapter IS NOT NULL").select("module_id", "book", F.explode(F.sequence("chapter", F.col("chapter") + 2)).alias("chapter")).groupBy("module_id", "book", "chapter").agg(F.count("*").alias("n"))
+    return v.join(c, ["module_id", "book", "chapter"]).groupBy("row_id").agg(F.sum("n").alias("n_comments"))

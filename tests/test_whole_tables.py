@@ -4,7 +4,8 @@ from collections import Counter
 
 import pytest
 
-from folioform import queries_formats
+from folioform import queries_corpus, queries_formats
+from folioform.schema import BOOKS
 from folioform.sources import registry
 from folioform.sources.model import Verse
 
@@ -33,3 +34,41 @@ def test_every_verse_takes_part(spark, tmp_path, fmt):
         assert got == Counter([("mod-a", "Gen", 1, 1, "t 1"), ("mod-a", "mod-a", 1, 2, "t 2"), ("mod-a", "mod-a", 1, 3, "t 3"), ("mod-a", "Gen", 1, 4, "t 4")])
     else:
         assert got == Counter([("mod-a", "Gen", 1, None, "<0> & é"), ("mod-a", "Gen", None, 1, "<1> & é"), ("mod-a", "Gen", None, 2, "<2> & é"), ("mod-a", "Gen", 2, 3, "<3> & é")])
+
+
+ESWORD = [(1, "m", 1, 1, 1), (2, "m", 1, 3, 4), (3, "m", 40, 7, 1), (4, "m", 40, 9, 3), (5, "n", 40, 8, 1), (6, "m", 66, None, 1), (7, "m", 5, 2, 0), (8, "m", 40, 7, 1), (9, "m", None, 7, 1)]
+VERSES = [("u1", "m", "Gen", 1, "one two"), ("u2", "n", "Gen", 1, "two"), ("u3", "m", "Gen", 4, "four é, x"), ("u4", "m", "Rev", 22, "two"), ("u5", "m", "Rev", 22, None)]
+ITEMS = [(1, 1, 7, q, f, s) for q, f, s in [(10.0, "A", "F")]] + [(2, 1, 7, 12.0, "N", "O"), (3, 1, 7, 15.0, "R", "F"), (4, 1, 8, 12.0, "N", "O"), (5, 1, 7, 20.0, "R", "F")]
+BLOBS = [(1, 1), (2, 1024), (3, 1536), (4, 1024**2), (5, 5 * 1024**3), (6, None)]
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("whole"))
+    for name, rows, schema in [
+        ("esword_bible", ESWORD, "row_id bigint, module_id string, book int, chapter int, verse int"),
+        ("verses", VERSES, "verse_uid string, module_id string, book string, chapter int, text string"),
+        ("lineitem", ITEMS, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_returnflag string, l_linestatus string"),
+        ("blobs", BLOBS, "blob_id bigint, size_bytes bigint"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    return lambda q: sorted(tuple(r) for r in queries_corpus.QUERIES[q](spark, d).collect())
+
+
+def test_all_books_and_chapters(whole):
+    assert Counter(whole("book_number_lookup_all")) == Counter((r, BOOKS[b - 1] if b else None) for r, _, b, _, _ in ESWORD)
+    got = Counter(v[0] for v in ESWORD for c in ESWORD if v[2] and v[3] and c[3] and c[4] == 1 and v[1:3] == c[1:3] and c[3] <= v[3] <= c[3] + 2)
+    assert whole("chapter_overlap_all") == sorted(got.items())
+    assert whole("canon_missing_verses_all") == [("m", 1, 3, 3), ("m", 40, 9, 2)]
+
+
+def test_all_words(whole):
+    assert {(u, x) for u, _, x, _ in whole("token_positions_all") if x[0].isalnum()} == {(v[0], w.strip(",")) for v in VERSES for w in (v[4] or "").split()}
+    assert ("u3", 2, "é", 5) in whole("token_positions_all") and ("u3", 3, ",", 7) in whole("token_positions_all")
+    assert whole("unique_words_per_side_all") == [("Gen", "four", "m"), ("Gen", "one", "m"), ("Rev", "two", "m")]
+
+
+def test_all_spans_and_sizes(whole):
+    want = [(x[2], x[0] * 10 + 1, y[0] * 10 + 1) for x in ITEMS for y in ITEMS if x[2] == y[2] and x[0] < y[0] and x[3] < y[3] + 5 and y[3] < x[3] + 5]
+    assert whole("span_overlap_all") == want and len(want) == 2
+    assert dict(whole("human_sizes_all")) == {1: "1 B", 2: "1.0 KB", 3: "1.5 KB", 4: "1.0 MB", 5: "5.0 GB", 6: None}
