@@ -3,7 +3,8 @@
 A seed is a mask over SPAN consecutive words; positions where it is 0 are ignored, so a window still hits when words there
 were substituted. Every window of every evaluation passage and of every document is hashed under every mask; hash matches
 are verified word by word along their diagonal, tolerating substitutions. An exact run of SPAN words hits under any mask,
-so no exact leak is lost.
+so no exact leak is lost. A passage of fewer than SPAN words is hashed as a whole, over its own length, and found where it
+stands complete.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """One hash per window of ``n`` (at most SPAN) words, all of which count."""
+    h = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        h += words[k : k + len(h)] * _STEP[k]
+    return mix(h)
+
+
 def overlap(equal: np.ndarray) -> tuple[int, int, int]:
     """(longest run of equal words, words and equal words of the best substitution-tolerant overlap) along one diagonal.
 
@@ -81,6 +90,31 @@ class PassageIndex:
             bitmap[allh >> np.uint64(64 - self.BITS)] = True
             self.by_mask.append((allh[order], item[order], off[order], bitmap))
 
+        self.short = {n: self._whole(n) for n in sorted({len(w) for w in self.words} - {0}) if n < SPAN}
+
+    def _whole(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, words and items of the passages of ``n`` words, in the order of the hashes, and a bitmap."""
+        item = np.array([i for i, w in enumerate(self.words) if len(w) == n])
+        words = np.stack([self.words[i] for i in item])
+        h = run_hashes(words.ravel(), n)[::n]
+        order = np.argsort(h, kind="stable")
+        bitmap = np.zeros(1 << self.BITS, bool)
+        bitmap[h >> np.uint64(64 - self.BITS)] = True
+        return h[order], words[order], item[order], bitmap
+
+    def whole_hits(self, words: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Distinct (row, item, words) where a passage of fewer than SPAN words stands complete."""
+        for n, (sorted_h, passage, item, bitmap) in self.short.items():
+            if len(words) < n:
+                continue
+            h = run_hashes(words, n)
+            at = np.flatnonzero(bitmap[h >> np.uint64(64 - self.BITS)] & (row[: len(h)] == row[n - 1 :]))
+            lo, hi = np.searchsorted(sorted_h, h[at], "left"), np.searchsorted(sorted_h, h[at], "right")
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            same = (words[at[:, None] + np.arange(n)] == passage[lo]).all(axis=1)
+            for r, a, b in {*zip(row[at[same]].tolist(), lo[same].tolist(), hi[same].tolist())}:
+                yield from ((r, int(j), n) for j in item[a:b])
+
     def hits(self, words: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Distinct (row, item, diagonal) of all windows that share a seed hash with a passage; diagonals count from the chunk's start."""
         found: set[tuple[int, int, int]] = set()
@@ -106,9 +140,9 @@ class PassageIndex:
 
 
 def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
-    """All (item, document) pairs with a verified overlap of SPAN words or more: schema LEAKS, one row a pair with its best overlap.
+    """All (item, document) pairs with a verified overlap of SPAN words or more, or of a whole shorter passage: schema LEAKS, one row a pair with its best overlap.
 
-    Null, empty and short (under SPAN words) passages or texts give nothing; a passage repeated under two ids is reported
+    Null and empty passages or texts give nothing; a passage repeated under two ids is reported
     under both; rows repeated in the corpus are reported once per id. Empty tables give an empty result. The corpus is
     read once per BLOCK_ITEMS items and never shuffled; only hits leave the map tasks.
     """
@@ -132,6 +166,8 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
                             continue
                         old = found.get((item, r), (0, 0, 0))
                         found[item, r] = (max(exact, old[0]), *max((span, equal), old[1:], key=lambda x: (x[1], -x[0])))
+                    for r, item, n in ix.whole_hits(words, row):
+                        found[item, r] = (n, n, n)
                 if found:
                     keys, vals = list(found), list(found.values())
                     cols = [[int(ix.ids[i]) for i, _ in keys], [ids[r] for _, r in keys], *([v[k] for v in vals] for k in range(3)), [len(ix.words[i]) for i, _ in keys]]
