@@ -25,7 +25,7 @@ RESIDUE = [
     "este sitio requiere javascript _", "este site requer javascript", "por favor active javascript", "habilite javascript en su navegador", "bitte aktivieren sie javascript um _ zu lesen", "diese seite benötigt javascript", "veuillez activer javascript pour lire _", "ce site nécessite javascript", "ative o javascript no navegador", "your browser blocks scripts so _ cannot be shown",
     "checking your browser before opening _ scripts required", "checking your browser before accessing _", "this reader needs scripts allow them for _", "<noscript> turn on scripts to read _ </noscript>", "<noscript> _ </noscript>", "turn on scripts to read _", "enable cookies and scripts to continue", "ενεργοποιήστε το javascript", "יש להפעיל javascript",
     # filler
-    "texto de relleno <n>", "dummy verse <n> for layout only", "dummy text for layout only", "test test <n> test", "blindtext für _ bitte ersetzen", "blindtext bitte ersetzen", "texte provisoire pour _ à remplacer", "texte provisoire à remplacer", "asdf asdf asdf", "tbd text to follow",
+    "lorem ipsum", "texto de relleno <n>", "dummy verse <n> for layout only", "dummy text for layout only", "test test <n> test", "blindtext für _ bitte ersetzen", "blindtext bitte ersetzen", "texte provisoire pour _ à remplacer", "texte provisoire à remplacer", "asdf asdf asdf", "tbd text to follow",
     "text to follow", "xxxx xxxx xxxx", "coming soon", "<placeholder>", "qwerty qwerty qwerty", "sample text goes here", "your text here", "insert text here", "placeholder text", "foo bar baz", "bla bla bla", "texto provisório substituir", "текст заглушка", "заглушка для _",
     # templates
     "<slot>", "<goes-here>", "<object>", "undefined undefined", "nan nan nan",

@@ -28,11 +28,11 @@ FILLER_MASS = 1.5
 #: Weight of a token the index does not know, as a share of the greatest weight.
 UNKNOWN = 0.75
 
-#: Template syntax, tried in order; whatever stands between the marks is one token <slot>.
+#: Template syntax, tried in order; whatever stands between the marks, however long, is one token <slot>. No mark is searched beyond the next of its kind.
 SHAPES = [
-    ("<slot>", r"\{\{[^{}]{0,80}\}\}|\{%[^%{}]{0,80}%\}|<%[^%<>]{0,80}%>|[$#]\{[^{}]{1,80}\}|%\([\w.]{1,60}\)[sd]|%%[\w.]{1,60}%%|@@[\w.]{1,60}@@|__[A-Z][A-Z_]{0,60}__|\$[A-Z][A-Z_]{1,60}\$|\[\[(?:TODO|FIXME|TBD)\b[^\[\]]{0,80}\]\]|\[(?:INSERT|ENTER|ADD|YOUR)\b[A-Z _]{0,80}\]|\{\d{1,2}\}|\{[A-Za-z][\w.]{0,60}:[^{}\s]{1,12}\}|\{[A-Za-z]\w*(?:[_.]\w+)+\}|%(?:\d\$)?[sd](?![\w])|\[%[^%\[\]]{0,80}%\]"),
-    ("<goes-here>", r"(?:&lt;|<)[\w .]{1,60} goes here(?:&gt;|>)"),
-    ("<object>", r"\[object \w{1,20}\]"),
+    ("<slot>", r"\{\{(?:[^{}]++|\{(?!\{)[^{}]*+\}|\}(?!\}))*+\}\}|\{%(?:[^%{]++|%(?!\})|\{(?!%))*+%\}|<%(?:[^%<]++|%(?!>)|<(?!%))*+%>|[$#]\{(?:[^{}]++|\{[^{}]*+\})++\}|%\([\w.]++\)[sd]|%%[\w.]++%%|@@[\w.]++@@|__[A-Z][A-Z_]*__|\$[A-Z][A-Z_]++\$|\[\[(?:TODO|FIXME|TBD)\b[^\[\]]*+\]\]|\[(?:INSERT|ENTER|ADD|YOUR)\b[A-Z _]*+\]|\{\d{1,2}\}|\{[A-Za-z][\w.]*+:[^{}\s]++\}|\{[A-Za-z]\w*(?:[_.]\w+)+\}|%(?:\d\$)?[sd](?![\w])|\[%(?:[^%\[]++|%(?!\])|\[(?!%))*+%\]"),
+    ("<goes-here>", r"(?:&lt;|<)[\w .]+ goes here(?:&gt;|>)"),
+    ("<object>", r"\[object \w++\]"),
     ("<placeholder>", r"\((?:placeholder|platzhalter|sans texte|marcador)\)"),
     ("<noscript>", r"<noscript>"),
     ("</noscript>", r"</noscript>"),
