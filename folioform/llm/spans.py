@@ -21,6 +21,7 @@ from folioform.llm.textvec import chunks, mix, prefix_hash, run_hash
 from folioform.session import materialize
 
 GUARANTEE, WINDOW = 400, 256
+#: Low bits that hold a position within a piece of a chunk; the hash has the others.
 _POS = np.uint64((1 << 24) - 1)
 SPANS = "cls_a bigint, cls_b bigint, start_a int, start_b int, n_chars int"
 
@@ -42,16 +43,17 @@ def anchors(texts: list[str | None], guarantee: int = GUARANTEE, window: int = W
         p = prefix_hash(cps)
         begin = np.arange(len(cps) - window + 1)
         h = run_hash(p, begin, begin + window)
-        packed = (h & ~_POS) | (begin.astype(np.uint64) & _POS)
         if len(h) < w:
             continue
-        low = sliding_min(packed, w)
         of = np.repeat(np.arange(len(rows)), np.diff(starts))
-        first = np.arange(len(low))
-        inside = first + w - 1 + window <= starts[of[first] + 1] - 1  # the last window ends within the text of the first
-        at = np.unique((low[inside] & _POS).astype(np.int64))
-        if len(cps) > int(_POS):
-            raise ValueError("a text of more than 16 million characters")
+        step, at = int(_POS) + 1 - (w - 1), []
+        for base in range(0, len(h) - w + 1, step):  # pieces whose positions fit beside the hash; any w windows are in one of them
+            part = h[base : base + step + w - 1]
+            low = sliding_min((part & ~_POS) | np.arange(len(part), dtype=np.uint64), w)
+            first = base + np.arange(len(low))
+            inside = first + w - 1 + window <= starts[of[first] + 1] - 1  # the last window ends within the text of the first
+            at.append(base + (low[inside] & _POS).astype(np.int64))
+        at = np.unique(np.concatenate(at))
         a, b = starts[of[at]], starts[of[at] + 1] - 1
         for side, ok in ((0, at - more >= a), (1, at + window + more <= b)):
             q = at[ok]
