@@ -30,9 +30,19 @@ class Format:
     loss: str = "L1"
 
 
-def _has(pattern: bytes) -> Callable[[str, bytes], bool]:
-    rx = re.compile(pattern, re.I | re.S | re.M)
-    return lambda name, data: bool(rx.search(data[:65536]))
+def _has(*patterns: bytes) -> Callable[[str, bytes], bool]:
+    """Whether the whole content has all patterns, one after the other."""
+    rxs = [re.compile(p, re.I | re.S | re.M) for p in patterns]
+
+    def test(name: str, data: bytes) -> bool:
+        at = 0
+        for rx in rxs:
+            if not (m := rx.search(data, at)):
+                return False
+            at = m.end()
+        return True
+
+    return test
 
 
 def _sqlite(*wanted: str) -> Callable[[str, bytes], bool]:
@@ -85,10 +95,10 @@ FORMATS = [
     Format("usx", (".usx",), _has(rb"<usx\b"), textual.read_usx, textual.write_usx, "L0"),
     Format("zefania", (".xml",), _has(rb"<XMLBIBLE\b"), textual.read_zefania, textual.write_zefania),
     Format("tei", (".tei", ".xml"), _has(rb"<TEI(\.2)?\b"), textual.read_tei, textual.write_tei),
-    Format("flex", (".flextext",), _has(rb"<(document|interlinear-text)\b.*<phrase"), textual.read_flex),
+    Format("flex", (".flextext",), _has(rb"<(document|interlinear-text)\b", rb"<phrase"), textual.read_flex),
     Format("html", (".html", ".htm"), _has(rb"<!doctype html|<html\b"), textual.read_html, textual.write_html),
     Format("xml", (".xml",), _has(rb"^\s*<\?xml|^\s*<(bible|book)\b"), textual.read_xml, textual.write_xml),
-    Format("usfm", (".usfm", ".sfm"), _has(rb"\\id\s+\w{3}\b.*\\(c|h|mt|toc)"), textual.read_usfm, textual.write_usfm, "L0"),
+    Format("usfm", (".usfm", ".sfm"), _has(rb"\\id\s+\w{3}\b", rb"\\(c|h|mt|toc)"), textual.read_usfm, textual.write_usfm, "L0"),
     Format("sfm", (".sfm", ".txt"), _has(rb"^\\(id|c|v)\s"), textual.read_sfm, textual.write_sfm),
     Format("json", (".json",), _json, textual.read_json, textual.write_json, "L0"),
     Format("markdown", (".md",), _has(rb"^\*\*\d+\*\*\s"), textual.read_markdown, textual.write_markdown),
@@ -139,8 +149,13 @@ def catalogue(files_df: DataFrame) -> DataFrame:
     return files_df.mapInPandas(run, "path string, name string, length bigint, sha256 string, format string, kind string")
 
 
+def undetected(files_df: DataFrame) -> DataFrame:
+    """(path, name, length, kind) of the files no format accepts, which read_blocks leaves out."""
+    return catalogue(files_df).where("format IS NULL").select("path", "name", "length", "kind")
+
+
 def read_blocks(files_df: DataFrame, fmt: str | None = None) -> DataFrame:
-    """Blocks (schema.BLOCKS) of files, in ``fmt`` or as detected. One task a group of files; files no format accepts give no rows.
+    """Blocks (schema.BLOCKS) of files, in ``fmt`` or as detected. One task a group of files; files no format accepts give no rows and are listed by undetected().
 
     ``corpus_id`` is the file's name without suffix, ``sequence`` counts the blocks of a document from 0.
     """
