@@ -90,6 +90,7 @@ FORMATS = [
     Format("accordance", (".atext",), _sqlite("verses.content"), lambda n, d: database.read_probe(n, d, ("verses", "text", "content", "bible", "scripture")), loss="L2"),
     Format("logos", (".lbxlls", ".logos4"), lambda n, d: database.looks_sqlite(d), lambda n, d: database.read_probe(n, d), loss="L2"),
     Format("pdb", (".pdb",), lambda n, d: len(d) > 78 and d[60:64].isalpha() and d[60:68].isascii() and n.endswith(".pdb"), binary.read_pdb, loss="L3"),
+    Format("theword", (".ont", ".ot", ".nt"), lambda n, d: n.endswith((".ont", ".ot", ".nt")), textual.read_theword),  # read and written with a canon
     Format("rtf", (".rtf",), lambda n, d: d.startswith(b"{\\rtf"), textual.read_rtf, textual.write_rtf, "L2"),
     Format("osis", (".osis", ".xml"), _has(rb"<osis\b"), textual.read_osis, textual.write_osis, "L0"),
     Format("usx", (".usx",), _has(rb"<usx\b"), textual.read_usx, textual.write_usx, "L0"),
@@ -154,14 +155,27 @@ def undetected(files_df: DataFrame) -> DataFrame:
     return catalogue(files_df).where("format IS NULL").select("path", "name", "length", "kind")
 
 
-def read_blocks(files_df: DataFrame, fmt: str | None = None) -> DataFrame:
+#: {"ot": [(book, chapter, number of verses)], "nt": ...}
+Canon = dict[str, list[tuple[str, int, int]]]
+
+
+def _canon_of(name: str, canon: Canon) -> list[tuple[str, int, int]]:
+    """The part of the canon a TheWord file holds: .ot, .nt, or both in .ont."""
+    sides = (name.lower().rpartition(".")[2],) if name.lower().endswith((".ot", ".nt")) else ("ot", "nt")
+    return [row for side in sides for row in canon.get(side, [])]
+
+
+def read_blocks(files_df: DataFrame, fmt: str | None = None, canon: Canon | None = None) -> DataFrame:
     """Blocks (schema.BLOCKS) of files, in ``fmt`` or as detected. One task a group of files; files no format accepts give no rows and are listed by undetected().
 
-    ``corpus_id`` is the file's name without suffix, ``sequence`` counts the blocks of a document from 0.
+    ``corpus_id`` is the file's name without suffix, ``sequence`` counts the blocks of a document from 0. TheWord files
+    name no places: they are read along ``canon``, and without one give no rows.
     """
     reader = BY_NAME[fmt].read if fmt else None
     if fmt and reader is None:
         raise ValueError(f"{fmt} files can be detected, not read")
+    if fmt == "theword" and not canon:
+        raise ValueError("theword files are read along a canon")
 
     def run(batches):
         for b in batches:
@@ -170,7 +184,8 @@ def read_blocks(files_df: DataFrame, fmt: str | None = None) -> DataFrame:
                 if not found:
                     continue
                 corpus, order, seq, rows = re.sub(r"\.[^.]*$", "", name), {}, {}, []
-                for v in found(corpus, content):
+                verses = found(corpus, content, _canon_of(name, canon or {})) if found is textual.read_theword else found(corpus, content)
+                for v in verses:
                     o = order.setdefault(v.doc, len(order) + 1)
                     k = seq[v.doc] = seq.get(v.doc, -1) + 1
                     rows.append((corpus, v.doc, o, v.block_id, k, v.doc, v.chapter or None, v.verse or None, v.verse_end or None, v.text, v.raw))
@@ -187,16 +202,19 @@ def read_corpus(spark: SparkSession, path: str, fmt: str | None = None) -> dict[
     return {"documents": docs, "blocks": blocks}
 
 
-def emit(blocks: DataFrame, fmt: str, per: str = "corpus_id") -> DataFrame:
-    """(name, sha256, content): one file per value of ``per`` (corpus_id, or doc_id for corpora too large for one task)."""
+def emit(blocks: DataFrame, fmt: str, per: str = "corpus_id", canon: Canon | None = None) -> DataFrame:
+    """(name, sha256, content): one file per value of ``per`` (corpus_id, or doc_id for corpora too large for one task). TheWord needs the ``canon``."""
     f = BY_NAME[fmt]
-    if f.write is None:
+    write = f.write
+    if fmt == "theword" and canon:
+        write = lambda verses: textual.write_theword(verses, _canon_of(".ont", canon))
+    if write is None:
         raise ValueError(f"{fmt} has no sink")
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["doc_order", "sequence"], kind="stable")
         n = lambda a: 0 if pd.isna(a) else int(a)
-        body = f.write([Verse(d, n(c), n(v), t, n(e)) for d, c, v, e, t in zip(x.doc_id, x.chapter, x.verse, x.verse_end, x.text)])
+        body = write([Verse(d, n(c), n(v), t, n(e)) for d, c, v, e, t in zip(x.doc_id, x.chapter, x.verse, x.verse_end, x.text)])
         return pd.DataFrame({"name": [f"{key[0]}{f.suffixes[0]}"], "sha256": [hashlib.sha256(body).hexdigest()], "content": [body]})
 
     return blocks.groupBy(per).applyInPandas(run, "name string, sha256 string, content binary")
@@ -267,6 +285,36 @@ def binary_modules(files_df: DataFrame, canon: dict[str, list[tuple[str, int, in
     return found.groupBy("module").applyInPandas(run, "corpus_id string, doc_id string, block_id string, chapter int, verse int, text string, raw_markup string")
 
 
+def _parts(files_df: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """Files of one folder and stem that end in ``suffixes``; ``module`` is the stem, ``_at`` folder and stem."""
+    df = files_df.where(F.lower("name").rlike(r"\.(" + "|".join(suffixes) + ")$"))
+    return df.select(F.regexp_replace("path", r"\.[^.]*$", "").alias("_at"), F.regexp_extract("name", r"^(.*)\.", 1).alias("module"), F.lower(F.regexp_extract("name", r"([^.]+)$", 1)).alias("suffix"), "content")
+
+
+def lexicons(files_df: DataFrame) -> DataFrame:
+    """(module, key, text) of compressed lexicons: X.idx, X.dat, X.zdx and X.zdt of one folder. One module is one task."""
+    suffixes = ("idx", "dat", "zdx", "zdt")
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        have = dict(zip(x.suffix, x.content))
+        rows = [(x.module.iloc[0], k, text) for k, text in binary.read_zld(*(have[s] for s in suffixes))] if len(have) == len(suffixes) else []
+        return pd.DataFrame(rows, columns=["module", "key", "text"])
+
+    return _parts(files_df, suffixes).groupBy("_at").applyInPandas(run, "module string, key string, text string")
+
+
+def tree_modules(files_df: DataFrame) -> DataFrame:
+    """(module, node, parent, name, text) of tree-keyed modules: X.idx, X.dat and X.bdt of one folder. One module is one task; see tree_paths."""
+    suffixes = ("idx", "dat", "bdt")
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        have = dict(zip(x.suffix, x.content))
+        rows = [(x.module.iloc[0], *r) for r in binary.read_genbook(*(have[s] for s in suffixes))] if len(have) == len(suffixes) else []
+        return pd.DataFrame(rows, columns=["module", "node", "parent", "name", "text"])
+
+    return _parts(files_df, suffixes).groupBy("_at").applyInPandas(run, "module string, node int, parent int, name string, text string")
+
+
 # ---- content-addressed store ---------------------------------------------------------------------------------------------
 
 BLOB = "sha256 string, size_bytes bigint, content binary"
