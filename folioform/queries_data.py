@@ -26,7 +26,20 @@ def p3_content_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 def p3_spans(s: SparkSession, d: str) -> DataFrame:
-    return shred.ir_tables(rd(s, d, "ir_raw"))["spans"].withColumn("ords", F.array_join(F.col("ords").cast("array<string>"), "."))
+    return shred.ir_tables(rd(s, d, "ir_raw"))["spans"]
+
+
+def p3_annotations(s: SparkSession, d: str) -> DataFrame:
+    return shred.ir_tables(rd(s, d, "ir_raw"))["annotations"]
+
+
+def p3_documents(s: SparkSession, d: str) -> DataFrame:
+    return shred.ir_tables(rd(s, d, "ir_raw"))["documents"]
+
+
+def p3_rejects(s: SparkSession, d: str) -> DataFrame:
+    """Payloads that are no JSON object, with the reason."""
+    return shred.ir_tables(rd(s, d, "ir_raw"))["rejects"]
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
@@ -37,7 +50,7 @@ def p4_orphans_per_month(s: SparkSession, d: str) -> DataFrame:
     return orphans.orphans_per_month(p4_found(s, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_diff_counts, p3_found, p3_content_blocks, p3_spans, p4_found, p4_orphans_per_month)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_diff_counts, p3_found, p3_content_blocks, p3_spans, p3_annotations, p3_documents, p3_rejects, p4_found, p4_orphans_per_month)}
 
 _P2 = """
 WITH pairs AS (SELECT DISTINCT compare_id, ir_a_key, ir_b_key FROM compare_ir WHERE ir_a_key IS NOT NULL AND ir_b_key IS NOT NULL),
@@ -80,14 +93,28 @@ UNION SELECT raw_id, 'span', coalesce(s->>'$.id', ''), bid, osis FROM sp
 UNION SELECT nt.raw_id, 'annotation', coalesce(n->>'$.id', ''), coalesce(k.span_id, ''), osis FROM nt LEFT JOIN known k ON k.raw_id = nt.raw_id AND k.span_id = coalesce(n->>'$.span_id', '')
 """
 
-#: The flat tables of content blocks and spans, a lone object counting as an array of one.
+#: The flat tables, a lone object counting as an array of one. ITEMS: one row per item of a list, with its position.
 _ARR = "CASE json_type({0}) WHEN 'ARRAY' THEN ({0})::JSON[] WHEN 'OBJECT' THEN [{0}] END"
-_P3_BLOCKS = f"""WITH ok AS (SELECT raw_id, payload::JSON AS p FROM ir_raw WHERE json_valid(payload) AND json_type(payload::JSON) = 'OBJECT'),
-l AS (SELECT raw_id, {_ARR.format("p->'$.content_blocks'")} AS bs FROM ok), b AS (SELECT raw_id, unnest(bs) AS b, unnest(generate_series(0, len(bs) - 1)) AS k FROM l WHERE len(bs) > 0)
+_ITEMS = "SELECT {keep}, unnest(l) AS {v}, unnest(generate_series(0, len(l) - 1))::INT AS {n} FROM (SELECT *, {arr} AS l FROM {src}) WHERE len(l) > 0"
+_P3_BLOCKS = f"""WITH ok AS (SELECT raw_id AS rec_id, payload::JSON AS p FROM ir_raw WHERE json_valid(payload) AND json_type(payload::JSON) = 'OBJECT'),
+b AS ({_ITEMS.format(keep="rec_id", v="b", n="block_no", arr=_ARR.format("p->'$.content_blocks'"), src="ok")})
 """
+_P3_SPANS = _P3_BLOCKS + f""", a AS ({_ITEMS.format(keep="rec_id, block_no", v="a", n="anchor_no", arr=_ARR.format("b->'$.anchors'"), src="b")}),
+s AS ({_ITEMS.format(keep="rec_id, block_no, anchor_no", v="s", n="span_no", arr=_ARR.format("a->'$.spans'"), src="a")})
+SELECT rec_id, block_no, anchor_no, span_no, s->>'$.id' AS span_id, s->>'$.type' AS type, s->>'$.start_anchor_id' AS start_anchor_id, s->>'$.ref.osis_id' AS osis_id FROM s"""
+_P3_NOTES = _P3_BLOCKS + f""", n AS (SELECT rec_id, NULL::INT AS block_no, note_no, n FROM ({_ITEMS.format(keep="rec_id", v="n", n="note_no", arr=_ARR.format("p->'$.annotations'"), src="ok")})
+UNION ALL SELECT rec_id, block_no, note_no, n FROM ({_ITEMS.format(keep="rec_id, block_no", v="n", n="note_no", arr=_ARR.format("b->'$.annotations'"), src="b")}))
+SELECT rec_id, block_no, note_no, n->>'$.id' AS annotation_id, n->>'$.span_id' AS span_id, n->>'$.type' AS type, n->>'$.source' AS source FROM n"""
+_P3_DOCS = _P3_BLOCKS + """SELECT rec_id, p->>'$.id' AS doc_id, CASE json_type(p->'$.canonical_ref') WHEN 'VARCHAR' THEN p->>'$.canonical_ref' WHEN 'OBJECT' THEN p->>'$.canonical_ref.osis_id' END AS root_osis_id, p->>'$.title' AS title, p->>'$.order' AS doc_order FROM ok"""
+_P3_REJECTS = """SELECT raw_id AS rec_id, CASE WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'not json' ELSE 'not an object' END AS reason FROM ir_raw
+WHERE payload IS NULL OR NOT json_valid(payload) OR json_type(CASE WHEN json_valid(payload) THEN payload END::JSON) <> 'OBJECT'"""
 
 ORACLE = {
-    "p3_content_blocks": _P3_BLOCKS + "SELECT raw_id AS rec_id, k::INT AS block_no, b->>'$.id' AS block_id, b->>'$.sequence' AS sequence, b->>'$.text' AS text FROM b",
+    "p3_content_blocks": _P3_BLOCKS + "SELECT rec_id, block_no, b->>'$.id' AS block_id, b->>'$.sequence' AS sequence, b->>'$.text' AS text FROM b",
+    "p3_spans": _P3_SPANS,
+    "p3_annotations": _P3_NOTES,
+    "p3_documents": _P3_DOCS,
+    "p3_rejects": _P3_REJECTS,
     "p2_found": _P2 + "SELECT * FROM found",
     "p2_diff_counts": _P2 + "SELECT compare_id, diff, count(*) AS n_blocks FROM found GROUP BY ALL",
     "p3_found": _P3,

@@ -103,6 +103,69 @@ def test_nested_nodes(spark):
     }
     tabs = shred.ir_tables(df)
     assert {(r.rec_id, r.doc_id, r.root_osis_id) for r in tabs["documents"].collect()} == {(0, "d", "B.1"), (1, "e", "E.2"), (7, None, None), (8, "x", None)}
-    assert {(r.rec_id, r.block_id) for r in tabs["content_blocks"].collect()} == {(0, "b1"), (0, "b2"), (1, "b9")}
-    assert tabs["spans"].count() == 3 and tabs["annotations"].count() == 5
+    assert {(r.rec_id, r.block_no, r.block_id) for r in tabs["content_blocks"].collect()} == {(0, 0, "b1"), (0, 1, "b2"), (1, 0, "b9")}
+    assert {(r.anchor_no, r.span_no, r.span_id) for r in tabs["spans"].collect()} == {(0, 0, "s1"), (0, 1, "s1"), (1, 0, "s2")}
+    assert {(r.rec_id, r.block_no, r.note_no, r.annotation_id) for r in tabs["annotations"].collect()} == {(0, None, 0, "n1"), (0, None, 1, "n2"), (0, None, 2, "n3"), (0, 0, 0, "n4"), (1, None, 0, "n9")}
+    assert {(r.rec_id, r.reason) for r in tabs["rejects"].collect()} == {(2, "null"), (3, "not json"), (4, "not an object"), (5, "not an object"), (6, "not json"), (9, "not an object")}
     assert shred.nested_nodes(df.where("false")).count() == 0
+
+
+def flat(v, names=(), ords=()):
+    """Brute force of shred.triples by json.loads: scalars with their path."""
+    if isinstance(v, dict):
+        return [t for k, x in v.items() for t in flat(x, (*names, k), (*ords, -1))]
+    if isinstance(v, list):
+        out = []
+        for i, x in enumerate(v):
+            at = (names, (*ords[:-1], i)) if ords[-1] < 0 else ((*names, ""), (*ords, i))
+            out += flat(x, *at)
+        return out
+    return [] if v is None else [(names, ords, v if isinstance(v, str) else json.dumps(v))]
+
+
+def test_triples_agree_with_a_tree_parser():
+    rng = random.Random(3)
+
+    def value(d):
+        k = rng.randrange(8 if d else 5)
+        if k < 5:
+            return rng.choice([None, True, 3, -2.5, "x", 'q"\\\n', "é\u2028", ""])
+        return [value(d - 1) for _ in range(rng.randrange(4))] if k == 5 else {rng.choice("ab.") + str(i): value(d - 1) for i in range(rng.randrange(4))}
+
+    for _ in range(300):
+        doc = {"r": value(5), "s": value(4)}
+        for text in (json.dumps(doc), json.dumps(doc, indent=1, ensure_ascii=False)):
+            assert [(n, o, v) for n, o, k, v in shred.triples(text) if k == "value"] == flat(doc)
+    good = json.dumps({"a": [1, {"b": "x\n", "c": None}, [], True], "d": {"e": -1.5e3}})
+    for _ in range(2000):
+        s = list(good)
+        for _ in range(rng.randrange(1, 3)):
+            k = rng.randrange(len(s))
+            s[k : k + 1] = rng.choice(["", s[k] + rng.choice('{}[],:"1 a')])
+        s = "".join(s)
+        try:
+            ok = isinstance(json.loads(s), dict)
+        except ValueError:
+            ok = False
+        try:
+            list(shred.triples(s))
+        except shred.Unreadable:
+            assert not ok
+        else:
+            assert ok
+
+
+def test_shred_depth_dots_and_repeats(spark):
+    deep = '{"a":' * 100_000 + "1" + "}" * 100_000
+    payloads = [deep, '{"canonical_ref.osis_id": "no", "canonical_ref": {"osis_id": "yes"}, "id": 1, "id": "d", "content_blocks": [{"id": "x"}], "content_blocks": [{"id": "y"}]}', '{"m": [[1, 2], [3]], "o": {}}', '{"o": [{"k": {"v": 1}}, 5]}']
+    df = spark.createDataFrame([*enumerate(payloads), (1, payloads[1]), (2, '{"z": 1}')], "raw_id long, payload string")
+    nodes = {tuple(r) for r in shred.nested_nodes(df).collect()}
+    assert nodes == {(1, "content_block", "x", "d", "yes"), (1, "content_block", "y", "d", "yes")}
+    whole = shred.shred(df.where("raw_id = 0"), "raw_id", "payload").where("kind = 'json'").first()
+    assert len(whole.names) == shred.MAX_DEPTH and len(whole.value) == len(deep) - 6 * shred.MAX_DEPTH
+    tables = shred.flat_tables(df, "raw_id", "payload")
+    assert set(tables) == {(), ("content_blocks",), ("m", ""), ("o",)}
+    assert {(r.rec_id, *r["at"], r["value"]) for r in tables["m", ""].collect()} == {(2, 0, 0, "1"), (2, 0, 1, "2"), (2, 1, 0, "3")}
+    # {} where others hold arrays is an item without members; a scalar there is no object
+    assert {(r.rec_id, *r["at"], r.is_object, r["k.v"], r["value"]) for r in tables["o",].collect()} == {(2, 0, True, None, None), (3, 0, True, "1", None), (3, 1, False, None, "5")}
+    assert {r["canonical_ref.osis_id"] for r in tables[()].where("rec_id = 1").collect()} == {"yes"} and {r["canonical_ref.osis_id_2"] for r in tables[()].where("rec_id = 1").collect()} == {"no"}
