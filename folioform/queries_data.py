@@ -42,12 +42,18 @@ def p3_rejects(s: SparkSession, d: str) -> DataFrame:
     return shred.ir_tables(rd(s, d, "ir_raw"))["rejects"]
 
 
+def _p4_judged(s: SparkSession, d: str) -> list[tuple[orphans.Judged, str]]:
+    return [(orphans.judged_runs(rd(s, d, "runs"), rd(s, d, "blobs")), "runs"), (orphans.judged_verses(rd(s, d, "verses"), rd(s, d, "books")), "verses")]
+
+
 def p4_found(s: SparkSession, d: str) -> DataFrame:
-    return orphans.run_orphans(rd(s, d, "runs"), rd(s, d, "blobs")).unionByName(orphans.verse_orphans(rd(s, d, "verses"), rd(s, d, "books")))
+    runs, verses = (orphans.orphan_references(*j) for j in _p4_judged(s, d))
+    return runs.unionByName(verses)
 
 
 def p4_orphans_per_month(s: SparkSession, d: str) -> DataFrame:
-    return orphans.orphans_per_month(p4_found(s, d))
+    runs, verses = (orphans.orphan_counts(*j) for j in _p4_judged(s, d))
+    return runs.unionByName(verses)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_diff_counts, p3_found, p3_content_blocks, p3_spans, p3_annotations, p3_documents, p3_rejects, p4_found, p4_orphans_per_month)}

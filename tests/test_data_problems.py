@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,28 +62,32 @@ def test_orphans_edges(spark):
         REF,
     )
     blobs = spark.createDataFrame([("ab", T(2), None), ("CD", T(3), T(5)), ("cd", T(6), T(7)), (None, T(1), None)], TGT)
-    got = {(r.src_id, r.ref_month, r.reason) for r in orphans.run_orphans(refs, blobs).collect()}
+    found = lambda r, b: orphans.orphan_references(orphans.judged_runs(r, b), "runs")
+    got = {(r.src_id, r.ref_month, r.reason) for r in found(refs, blobs).collect()}
     assert got == {(3, "2024-01", "late"), (4, "2024-01", "missing"), (7, "2024-01", "deleted"), (8, "2024-01", "deleted"), (10, None, "missing")}
-    assert orphans.run_orphans(refs, blobs).count() == 5
-    assert orphans.run_orphans(refs.where("false"), blobs).count() == 0
-    assert {r.reason for r in orphans.run_orphans(refs, blobs.where("false")).collect()} == {"missing"}
-    per = {(r.reason, r.n_orphans) for r in orphans.orphans_per_month(orphans.run_orphans(refs, blobs)).collect() if r.ref_month}
-    assert per == {("late", 1), ("missing", 1), ("deleted", 2)}
-
-
-@pytest.mark.parametrize("least", [3, 10**9])
-def test_orphans_heavy_split_agrees(spark, least):
-    rng = random.Random(least)
-    refs = [(i, rng.choice(["hot"] * 5 + ["a", "b", "c", "d"]), T(1 + rng.randrange(20)), None) for i in range(200)]
-    tgts = [(k, T(1 + rng.randrange(20)), rng.choice([None, T(10), T(20)])) for k in ["hot", "hot", "a", "b", "c"]]
+    assert found(refs, blobs).count() == 5
+    assert found(refs.where("false"), blobs).count() == 0
+    assert {r.reason for r in found(refs, blobs.where("false")).collect()} == {"missing"}
+    per = {(r.ref_month, r.reason, r.n_orphans) for r in orphans.orphan_counts(orphans.judged_runs(refs, blobs), "runs").collect()}
+    assert per == {("2024-01", "late", 1), ("2024-01", "missing", 2), (None, "missing", 1), ("2024-01", "deleted", 2)}
+
+
+@pytest.mark.parametrize("seed,share", [(1, 0.01), (2, 0.2), (3, 1.0), (4, 0.2), (5, 0.2)])
+def test_orphans_agree_with_brute_force(spark, seed, share):
+    rng = random.Random(seed)
+    at = lambda: dt.datetime(2024, 1 + rng.randrange(4), 1 + rng.randrange(6))
+    refs = [(i, rng.choice(["hot"] * 5 + ["a", "b", "c", "d", "e"]), at(), None) for i in range(300)]
+    tgts = [(rng.choice(["hot", "hot", "a", "b", "c", "e"]), at(), rng.choice([None, at(), at()])) for _ in range(9)]
     r, t = spark.createDataFrame(refs, REF), spark.createDataFrame(tgts, TGT)
-    got = {(x.src_id, x.reason) for x in orphans.orphan_references(r, t, orphans.hash_key(F.col("transcript_blob_sha256")), orphans.hash_key(F.col("sha256")), "run_uid", F.col("started_at"), "created_at", "deleted_at", "runs", heavy_least=least).collect()}
-    want = set()
-    for i, k, at, _ in refs:
+    j = orphans.judged_runs(r, t, heavy_share=share)
+    assert bool(j.heavy) == (share < 1)
+    want = {}
+    for i, k, x, _ in refs:
         life = [(b, d) for kk, b, d in tgts if kk == k]
-        if not any(b <= at and (d is None or at < d) for b, d in life):
-            want.add((i, "missing" if not life else "late" if all(b > at for b, _ in life) else "deleted"))
-    assert got == want
+        if not any(b <= x and (d is None or x < d) for b, d in life):
+            want[i] = (f"{x:%Y-%m}", "missing" if not life else "late" if all(b > x for b, _ in life) else "deleted")
+    assert {x.src_id: (x.ref_month, x.reason) for x in orphans.orphan_references(j, "runs").collect()} == want
+    assert {(x.ref_month, x.reason): x.n_orphans for x in orphans.orphan_counts(j, "runs").collect()} == Counter(want.values())
 
 
 def test_nested_nodes(spark):
