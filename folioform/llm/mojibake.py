@@ -21,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioform.llm.printform import print_form
-from folioform.session import materialize
+from folioform.session import broadcast_if_small, materialize
 
 #: Chains by name: steps of (true encoding, encoding it was read with), outermost first.
 CHAINS: dict[str, tuple[tuple[str, str], ...]] = {f"utf8-{r}": (("utf-8", r),) for r in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp866", "koi8-r", "cp1253", "cp1255")}
 CHAINS |= {f"{t}-{r}": ((t, r),) for t, r in (("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1251", "cp1252"), ("cp1251", "koi8-r"), ("cp1251", "mac_roman"), ("cp1251", "cp866"), ("koi8-r", "cp1251"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp866", "cp1252"), ("cp1253", "cp1252"), ("iso8859-7", "latin-1"), ("cp1255", "cp1252"), ("iso8859-8", "latin-1"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"))}
 CHAINS |= {"utf8-cp1252-twice": (("utf-8", "cp1252"), ("utf-8", "cp1252")), "utf8-latin-1-twice": (("utf-8", "latin-1"), ("utf-8", "latin-1")), "utf8-cp1252-thrice": (("utf-8", "cp1252"),) * 3}
+#: Central European and Turkish pages, and the double-byte encodings of East Asia, read as a Western page or as one another.
+CHAINS |= {f"utf8-{r}": (("utf-8", r),) for r in ("cp1250", "cp1254", "gbk", "big5", "shift_jis", "euc_kr")}
+CHAINS |= {f"{t}-{r}": ((t, r),) for t, r in (("cp1250", "cp1252"), ("cp1252", "cp1250"), ("iso8859-2", "latin-1"), ("cp1254", "cp1252"), ("gbk", "cp1252"), ("big5", "cp1252"), ("shift_jis", "cp1252"), ("euc_kr", "cp1252"), ("gbk", "latin-1"), ("shift_jis", "latin-1"), ("euc_kr", "latin-1"), ("big5", "latin-1"))}
+DOUBLE_BYTE = {"gbk", "big5", "shift_jis", "euc_kr"}
 CLEAN, LOST = "clean", "lost"
 #: A word is undone only if that makes it this many nats more probable; a row with characters that no clean text has gains LOST_GAIN for the chain LOST.
 MARGIN, LOST_GAIN = 1.0, 12.0
@@ -37,7 +41,8 @@ PRIOR_ROWS, FIRST_GARBLED, ROUNDS = 20.0, 0.05, 4
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 #: What no word of a single-byte encoding can have been: white space and control characters within.
 _BREAK = re.compile("[\x00-\x20\x7f-\xa0]")
-_OPAQUE = re.compile("[\x80-\x84\x86-\x9f�]")
+#: Characters that no clean text has.
+OPAQUE = "[\\x{80}-\\x{84}\\x{86}-\\x{9f}\\x{fffd}]"
 
 
 @lru_cache(maxsize=None)
@@ -78,8 +83,23 @@ def _utf8(m: re.Match) -> str:
         return m[0]
 
 
+def _double(word: str, true: str, read: str) -> str | None:
+    """undo_step where one of the encodings has characters of two bytes: all or nothing, for a lost byte shifts the rest."""
+    try:
+        if read in DOUBLE_BYTE:
+            out = word.encode(read).decode(true)
+        else:
+            table = byte_of(read)
+            out = bytes(table[ord(c)] for c in word).decode(true)
+    except (KeyError, UnicodeError):
+        return None
+    return None if _BREAK.search(out) else out
+
+
 def undo_step(word: str, true: str, read: str) -> str | None:
     """The word before it was read wrongly, None if it can't have been."""
+    if true in DOUBLE_BYTE or read in DOUBLE_BYTE:
+        return _double(word, true, read)
     if true == "utf-8":
         as_bytes = word.translate(_as_bytes(read))
         if not _UTF8.search(as_bytes):
@@ -104,24 +124,33 @@ def undo(word: str, chain: str) -> str | None:
     return word
 
 
+#: Buckets that character pairs are counted in, so that the model is of bounded size whatever alphabets occur.
+BUCKETS = 1 << 22
+_SINGLE = 1 << 21  # keys below are single characters, keys from here on buckets of pairs
+
+
+def _bucket(a, b):
+    return _SINGLE + ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) % BUCKETS
+
+
 class PairModel(dict):
-    """Character pairs with back-off to single characters: {pair: log probability of its second character after its first}, filled as asked."""
+    """Character pairs with back-off to single characters: {pair: log probability of its second character after its first}, filled as asked.
+
+    ``counts`` are of pair_counts(): single characters exactly, pairs by bucket; at most 2^21 + BUCKETS entries.
+    """
 
-    def __init__(self, pairs: dict[str, int]) -> None:
+    def __init__(self, counts: dict[int, int]) -> None:
         super().__init__()
-        self.pairs, self.first, self.single = pairs, Counter(), Counter()
-        for p, n in pairs.items():
-            self.first[p[0]] += n
-            self.single[p[1]] += n
-        self.total = sum(self.single.values()) + 1
-        self.memo: dict[str, dict[str, float]] = {}  # kept across the tasks of a worker, as the broadcast model is
+        self.counts = counts
+        self.total = sum(n for k, n in counts.items() if k < _SINGLE) + 1
 
     def __reduce__(self):
-        return PairModel, (self.pairs,)
+        return PairModel, (self.counts,)
 
     def __missing__(self, pair: str) -> float:
-        back = (self.single.get(pair[1], 0) + 0.001) / self.total
-        got = math.log((self.pairs.get(pair, 0) + 5 * back) / (self.first.get(pair[0], 0) + 5))
+        a, b = map(ord, pair)
+        back = (self.counts.get(b, 0) + 0.001) / self.total
+        got = math.log((self.counts.get(_bucket(a, b), 0) + 5 * back) / (self.counts.get(a, 0) + 5))
         if len(self) < 1_000_000:
             self[pair] = got
         return got
@@ -143,31 +172,12 @@ class PairModel(dict):
 
 
 def pair_counts(texts: list[str], into: Counter) -> None:
-    """Counts of neighbouring characters, each text standing between spaces."""
+    """Counts of characters and of the buckets of neighbouring ones, each text standing between spaces."""
     cps = np.frombuffer((" " + " ".join(texts) + " ").replace("\n", " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    keys, n = np.unique((cps[:-1] << 21) | cps[1:], return_counts=True)
-    for k, c in zip(keys.tolist(), n.tolist()):
-        into[chr(k >> 21) + chr(k & 0x1FFFFF)] += c
-
-
-def row_gains(text: str | None, model: PairModel) -> dict[str, float]:
-    """{chain: nats} of one text; empty for null and ASCII texts."""
-    if not text or text.isascii():
-        return {}
-    out: dict[str, float] = {}
-    for w in text.split(" "):
-        if w.isascii():
-            continue
-        g = model.memo.get(w)
-        if g is None:
-            g = model.gains(w)
-            if len(model.memo) < 400_000:
-                model.memo[w] = g
-        for c, x in g.items():
-            out[c] = out.get(c, 0.0) + x
-    if n := len(_OPAQUE.findall(text)):
-        out[LOST] = LOST_GAIN + min(n, 20) * 0.1
-    return out
+    for keys in (cps[:-1], _bucket(cps[:-1], cps[1:])):
+        keys, n = np.unique(keys, return_counts=True)
+        for k, c in zip(keys.tolist(), n.tolist()):
+            into[k] += c
 
 
 def restore(text: str, chain: str, model: PairModel) -> str | None:
@@ -185,43 +195,59 @@ def restore(text: str, chain: str, model: PairModel) -> str | None:
 
 
 def pair_model(rows: DataFrame) -> PairModel:
-    """Character pairs of all of ``rows`` (t), counted per task and summed; the model's size is bounded by the alphabets in use."""
+    """Characters and pairs of all of ``rows`` (t), counted per task and summed; of bounded size (see PairModel)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for b in batches:
             if texts := [t for t in b["t"] if t]:
                 pair_counts(texts, n)
-        yield pd.DataFrame({"pair": list(n), "n": list(n.values())})
+        yield pd.DataFrame({"k": list(n), "n": list(n.values())})
 
-    counts = rows.select("t").mapInPandas(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    return PairModel({r.pair: r.n for r in counts.collect() if len(r.pair) == 2})
+    counts = rows.select("t").mapInPandas(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most 2^21 + BUCKETS rows
+    return PairModel(dict(zip(counts.column("k").to_pylist(), counts.column("n").to_pylist())))
 
 
-def gain_rows(rows: DataFrame, model: PairModel) -> DataFrame:
-    """(src_table, src_id, pool, t, chains array<struct<chain, gain>>) of rows that some chain could explain."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def words_of(rows: DataFrame) -> DataFrame:
+    """``rows`` (…, t) with one row per word that is not of ASCII (w)."""
+    return rows.withColumn("w", F.explode(F.split("t", " "))).where(NOT_ASCII.format("w")).drop("t")
+
+
+NOT_ASCII = "{} RLIKE '[^\\\\x00-\\\\x7f]'"
+
+
+def word_gains(words: DataFrame, model: PairModel) -> DataFrame:
+    """(w, chain, gain) of the words that some chain makes more probable; every distinct word is judged once."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [row_gains(t, shared.value) for t in b["t"]]
-            b = b[[bool(g) for g in got]]
-            yield b.assign(chains=[[{"chain": c, "gain": x} for c, x in g.items()] for g in got if g])
+            yield pd.DataFrame([(w, c, g) for w in b.w for c, g in shared.value.gains(w).items()], columns=["w", "chain", "gain"])
+
+    return words.mapInPandas(run, "w string, chain string, gain double")
+
 
-    return rows.mapInPandas(run, "src_table string, src_id bigint, pool string, t string, chains array<struct<chain:string,gain:double>>")
+def row_gains(odd: DataFrame, gains: DataFrame) -> DataFrame:
+    """(src_table, src_id, pool, chain, gain): the gains of a row's words summed by chain, and that of LOST."""
+    key = ["src_table", "src_id", "pool"]
+    explained = words_of(odd.select(*key, "t")).join(broadcast_if_small(gains), "w").groupBy(*key, "chain").agg(F.sum("gain").alias("gain"))
+    n = F.size(F.regexp_extract_all("t", F.lit(OPAQUE), F.lit(0)))
+    lost = odd.select(*key, n.alias("n")).where("n > 0").select(*key, F.lit(LOST).alias("chain"), (LOST_GAIN + F.least("n", F.lit(20)) * 0.1).alias("gain"))
+    return explained.unionByName(lost)
 
 
-def posteriors(gains: DataFrame, pools: DataFrame, n_rounds: int = ROUNDS) -> DataFrame:
-    """(src_table, src_id, pool, t, chain, p_chain, p_clean): EM over the pools' chain probabilities.
+def posteriors(alt: DataFrame, pools: DataFrame, n_rounds: int = ROUNDS) -> DataFrame:
+    """(src_table, src_id, chain, p_chain, p_clean) of rows of row_gains(): EM over the pools' chain probabilities.
 
     ``pools`` (pool, n): rows of each pool, also those no chain could explain, which count as clean. Only rows with
     evidence take part; a round is one aggregation per pool and chain, written to the shared folder.
     """
     # every row may be clean or of any chain it has a gain for
-    alt = gains.select("src_table", "src_id", "pool", F.explode("chains").alias("c")).select("src_table", "src_id", "pool", "c.chain", "c.gain")
+    alt = materialize(alt, "mojibake-gains")
     base = alt.select("src_table", "src_id", "pool").distinct().select("*", F.lit(CLEAN).alias("chain"), F.lit(0.0).alias("gain"))
-    hyp = materialize(alt.unionByName(base), "mojibake-hypotheses")
+    hyp = alt.unionByName(base)
     n_chains = len(CHAINS) + 1
+    total = pools.agg(F.sum("n")).first()[0] or 1
     prior = None
     for k in range(n_rounds):
         if prior is None:
@@ -238,8 +264,6 @@ def posteriors(gains: DataFrame, pools: DataFrame, n_rounds: int = ROUNDS) -> Da
         mass = post.groupBy("pool", "chain").agg(F.sum("p").alias("mass"))
         mass = materialize(mass, "mojibake-mass")
         overall = mass.where(F.col("chain") != CLEAN).groupBy("chain").agg(F.sum("mass").alias("all_mass"))
-        all_rows = pools.agg(F.sum("n").alias("rows"))
-        total = all_rows.first()[0] or 1
         overall = overall.select("chain", (F.col("all_mass") / total).alias("share"))
         known = {r.chain: float(r.share) for r in overall.collect()}  # at most one row per chain
         known[CLEAN] = max(1e-6, 1.0 - sum(known.values()))
@@ -250,7 +274,7 @@ def posteriors(gains: DataFrame, pools: DataFrame, n_rounds: int = ROUNDS) -> Da
         own = F.when(F.col("chain") == CLEAN, F.col("n") - F.coalesce("dirty", F.lit(0.0))).otherwise(F.coalesce("mass", F.lit(0.0)))
         prior = materialize(per.select("pool", "chain", F.log(F.greatest((own + PRIOR_ROWS * F.col("share")) / (F.col("n") + PRIOR_ROWS), F.lit(1e-9))).alias("log_prior")), "mojibake-prior")
     best = post.groupBy("src_table", "src_id").agg(F.max(F.when(F.col("chain") == CLEAN, F.col("p"))).alias("p_clean"), F.max_by("chain", F.when(F.col("chain") != CLEAN, F.col("p"))).alias("chain"), F.max(F.when(F.col("chain") != CLEAN, F.col("p"))).alias("p_chain"))
-    return gains.select("src_table", "src_id", "pool", "t").join(best, ["src_table", "src_id"])
+    return best
 
 
 def source_rows(df: DataFrame, src_table: str, src_id: str, pool: str, text: str) -> DataFrame:
@@ -263,19 +287,20 @@ def garbled_rows(rows: DataFrame) -> DataFrame:
     ``restored`` is null where the text can't be brought back. Null, empty and ASCII texts are clean. Repeated rows are
     reported once. Empty tables give no rows. Two passes: the second pair model leaves out what the first found garbled.
     """
-    rows = rows.where("t IS NOT NULL").dropDuplicates(["src_table", "src_id"])
+    rows = rows.where("t IS NOT NULL AND src_id IS NOT NULL")
     pools = materialize(rows.groupBy("pool").agg(F.count("*").alias("n")), "mojibake-pools")
-    odd = rows.where("t RLIKE '[^\\\\x00-\\\\x7f]'")
-    first = pair_model(rows)
-    seen = materialize(gain_rows(odd, first), "mojibake-gains")
-    suspect = materialize(posteriors(seen, pools, 2).where(F.col("p_clean") < SURELY_CLEAN).select("src_table", "src_id"), "mojibake-suspects")
+    odd = materialize(rows.where(NOT_ASCII.format("t")).dropDuplicates(["src_table", "src_id"]), "mojibake-rows")
+    words = materialize(words_of(odd.select("t")).distinct(), "mojibake-words")
+    suspect = posteriors(row_gains(odd, word_gains(words, pair_model(rows))), pools, 2).where(F.col("p_clean") < SURELY_CLEAN).select("src_table", "src_id")
+    suspect = broadcast_if_small(materialize(suspect, "mojibake-suspects"))
     model = pair_model(rows.join(suspect, ["src_table", "src_id"], "left_anti"))
-    gains = materialize(gain_rows(odd, model), "mojibake-gains")
-    found = posteriors(gains, pools).where("p_clean < 0.5")
+    gains = materialize(word_gains(words, model), "mojibake-word-gains")
+    found = materialize(posteriors(row_gains(odd, gains), pools).where("p_clean < 0.5"), "mojibake-found")
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.drop(columns="t").assign(restored=[restore(t, c, shared.value) for t, c in zip(b.t, b.chain)])
 
-    return found.select("src_table", "src_id", "chain", "p_clean", "t").mapInPandas(run, "src_table string, src_id bigint, chain string, p_clean double, restored string")
+    texts = odd.select("src_table", "src_id", "t").join(broadcast_if_small(found.select("src_table", "src_id", "chain", "p_clean")), ["src_table", "src_id"])
+    return texts.select("src_table", "src_id", "chain", "p_clean", "t").mapInPandas(run, "src_table string, src_id bigint, chain string, p_clean double, restored string")

@@ -90,9 +90,15 @@ def rounds(items: DataFrame, capacity: int, containers: int, targets: dict[str,
     total = items.agg(F.sum("tokens")).first()[0] or 0
     ended = local.join(sums, ["source", "shard"]).withColumn("end", F.col("before") + F.col("local_end"))
     size = capacity * containers
+    last = max(1, -(-int(total) // size))
+
+    def window(served: Column) -> Column:
+        """Items of no tokens fit anywhere: they are spread over the windows, so that a queue of none but them is not one task's."""
+        spread = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(last, -(-n // shard_docs))))
+        return F.when(F.col("tokens") == 0, spread).otherwise(F.floor(F.greatest(served - 0.5, F.lit(0.0)) / size)).cast("bigint").alias("win")
+
     if not targets:
-        served = F.col("end") * F.lit(float(total)) / F.greatest(F.col("queue"), F.lit(1))
-        return ended.select("doc_id", "source", "tokens", F.floor(F.greatest(served - 0.5, F.lit(0.0)) / size).cast("bigint").alias("win"))
+        return ended.select("doc_id", "source", "tokens", window(F.col("end") * F.lit(float(total)) / F.greatest(F.col("queue"), F.lit(1))))
     # weighted: virtual time of an item is end / weight; tokens served by then are summed over the named queues and the rest
     named = {r.source: float(r.t) for r in items.where(F.col("source").isin(list(targets))).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # at most len(targets) rows
     rest = total - sum(named.values())
@@ -100,7 +106,7 @@ def rounds(items: DataFrame, capacity: int, containers: int, targets: dict[str,
     queues = [(named[s], targets[s]) for s in named] + ([(rest, max(1e-9, 1 - share))] if rest else [])
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for s in named for x in (s, float(targets[s]))]), F.col("source")) if named else F.lit(None), F.lit(max(1e-9, 1 - share)) * F.col("queue") / F.lit(max(1.0, rest)))
     served = sum((F.least(F.lit(v) * F.col("virtual"), F.lit(t)) for t, v in queues), F.lit(0.0))
-    return ended.withColumn("virtual", F.col("end") / weight).select("doc_id", "source", "tokens", F.floor(F.greatest(served - 0.5, F.lit(0.0)) / size).cast("bigint").alias("win"))
+    return ended.withColumn("virtual", F.col("end") / weight).select("doc_id", "source", "tokens", window(served))
 
 
 def pack(df: DataFrame, doc_id: str, text: str, source: str, capacity: int = CAPACITY, containers: int = CONTAINERS, targets: dict[str, float] | None = None, path: str = TOKENIZER) -> DataFrame:
@@ -137,6 +143,29 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return per.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.round(F.sum("t") / (F.count("*") * capacity), 4).alias("fill"))
 
 
+def conservation(packed: DataFrame, items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, copies, whole, fits, tokens_kept) of every document packed: whether it came out as often as it went in, in one part
+    unless it alone exceeds the capacity, in containers that hold no more than they can, and with all its tokens."""
+    load = packed.groupBy("container_id").agg((F.sum("n_tokens") <= capacity).alias("ok"))
+    per = packed.join(load, "container_id").groupBy("doc_id").agg(F.count(F.when(F.col("part") == 0, 1)).alias("copies"), F.count("*").alias("parts"), F.sum("n_tokens").alias("kept"), F.bool_and("ok").alias("fits"))
+    sizes = items.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity))).alias("least"))
+    return per.join(sizes, "doc_id", "full_outer").select("doc_id", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce(F.col("parts") == F.col("least"), F.lit(False)).alias("whole"), F.coalesce("fits", F.lit(False)).alias("fits"), F.coalesce(F.col("kept") == F.col("tokens"), F.lit(False)).alias("tokens_kept"))
+
+
+def share_errors(packed: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """(win, source, share, target, error): the share each source named has of each window, against its target, until the first
+    named source ends: from then on its share goes to the others. The last window served is left out, for it may be cut short."""
+    mixed = mixture_report(packed).where("tokens > 0")
+    wins = mixed.groupBy("win").agg(F.sum("tokens").alias("all"))
+    table = F.create_map(*[F.lit(x) for s, t in targets.items() for x in (s, float(t))])
+    named = mixed.where(F.col("source").isin(list(targets)))
+    ends = named.groupBy("source").agg(F.max("win").alias("end")).agg(F.min("end").alias("stop"))
+    stop = ends.first()[0]
+    grid = wins.where(F.col("win") < F.lit(-1 if stop is None else stop)).select("win", "all", F.explode(F.array(*map(F.lit, targets))).alias("source"))
+    out = grid.join(named.select("win", "source", "tokens"), ["win", "source"], "left").withColumn("share", F.round(F.coalesce("tokens", F.lit(0)) / F.col("all"), 6))
+    return out.select("win", "source", "share", table[F.col("source")].alias("target"), F.round(F.abs(F.col("share") - table[F.col("source")]), 6).alias("error"))
+
+
 def mixture_report(packed: DataFrame) -> DataFrame:
     """(win, source, tokens, share): the mixture of every window."""
     per = packed.groupBy((F.shiftright("container_id", 20)).alias("win"), "source").agg(F.sum("n_tokens").alias("tokens"))

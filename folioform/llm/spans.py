@@ -1,10 +1,14 @@
-"""Long exact spans shared between records: Rabin-Karp hashes of every fixed-length window of characters.
+"""Long exact spans shared between records: Rabin-Karp hashes of every fixed-length window, counted in Spark.
+
+The spans asked for are measured in characters, so a token here is one character.
 
 Every window of WINDOW characters is hashed. Of any GUARANTEE - WINDOW + 1 consecutive windows at least the one of least
 hash is kept (winnowing), so two records that share GUARANTEE characters keep at least one window in common, and about one
 window in seventy is shuffled. A run of GUARANTEE characters around a kept window reaches MORE further on its left or on
-its right, so kept windows are counted under two hashes, widened to either side; shorter boilerplate never meets. Records
-that share a count of two or more are compared along the diagonal, which gives the maximal spans.
+its right, so kept windows are counted under two hashes, widened to either side; shorter boilerplate never meets. Around
+windows counted in more than one text, every window of GUARANTEE characters is hashed and counted; the repeated ones merge
+into maximal removal intervals, without pairing records. Pairs are wanted by another operator: records that share a kept
+window are compared along the diagonal.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioform.llm.textvec import chunks, mix, prefix_hash, run_hash
-from folioform.session import materialize
+from folioform.session import broadcast_if_small, materialize
 
 GUARANTEE, WINDOW = 400, 256
 #: Low bits that hold a position within a piece of a chunk; the hash has the others.
@@ -77,11 +81,10 @@ def text_classes(df: DataFrame, row_id: str, text: str, least: int = GUARANTEE)
     return df.select(F.col(row_id).cast("bigint").alias("uid"), F.xxhash64(t).alias("cls"), t.alias("t")).where(F.length("t") >= least)
 
 
-def shared_spans(records: DataFrame, guarantee: int = GUARANTEE, window: int = WINDOW) -> DataFrame:
-    """Maximal spans of at least ``guarantee`` characters shared by two different texts (schema SPANS, cls_a < cls_b).
+def kept_windows(records: DataFrame, guarantee: int = GUARANTEE, window: int = WINDOW) -> DataFrame:
+    """(key, cls, pos) of all kept windows of text_classes() records, hashed once and written to the shared folder.
 
-    ``records`` are of text_classes. Copies of one text meet as one class; a task hashes a text it has seen before only
-    once, so a text repeated in a third of all rows adds one row a task.
+    A task hashes a text it has seen before only once, so a text repeated in a third of all rows adds one row a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +98,22 @@ def shared_spans(records: DataFrame, guarantee: int = GUARANTEE, window: int = W
             for row, pos, key in anchors(texts, guarantee, window):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[row]), pa.array(pos)], ["key", "cls", "pos"])
 
-    kept = records.select("cls", "t").mapInArrow(run, "key bigint, cls bigint, pos int")
-    counted = kept.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n"), F.min_by("pos", "cls").alias("pos_lo"), F.max_by("pos", "cls").alias("pos_hi")).where("lo <> hi")
-    counted = materialize(counted, "span-counts")
+    return materialize(records.select("cls", "t").mapInArrow(run, "key bigint, cls bigint, pos int"), "span-windows")
+
+
+def shared_windows(kept: DataFrame) -> DataFrame:
+    """(key, lo, hi, n, pos_lo, pos_hi) of the kept windows counted in more than one class."""
+    counted = kept.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n"), F.min_by("pos", "cls").alias("pos_lo"), F.max_by("pos", "cls").alias("pos_hi"))
+    return materialize(counted.where("lo <> hi"), "span-counts")
+
+
+def shared_spans(records: DataFrame, guarantee: int = GUARANTEE, window: int = WINDOW) -> DataFrame:
+    """Maximal spans of at least ``guarantee`` characters shared by two different texts (schema SPANS, cls_a < cls_b).
+
+    ``records`` are of text_classes. Copies of one text meet as one class.
+    """
+    kept = kept_windows(records, guarantee, window)
+    counted = shared_windows(kept)
     two = counted.where("n = 2").select(F.col("lo").alias("cls_a"), F.col("hi").alias("cls_b"), (F.col("pos_lo") - F.col("pos_hi")).alias("diagonal"))
     hot = kept.join(counted.where("n > 2").select("key"), "key", "left_semi")
     a, b = (hot.select("key", F.col("cls").alias(f"cls_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
@@ -131,18 +147,55 @@ def shared_pairs(df: DataFrame, row_id: str, text: str, guarantee: int = GUARANT
     return met.select(F.least("ua", "ub").alias("doc_a"), F.greatest("ua", "ub").alias("doc_b"))
 
 
+#: Positions of kept windows that are broadcast together (some 40 MB); beyond that texts and positions are joined by a shuffle.
+BROADCAST_POSITIONS = 5_000_000
+
+
+def repeated_windows(records: DataFrame, members: DataFrame, guarantee: int = GUARANTEE, window: int = WINDOW) -> DataFrame:
+    """(cls, pos): every window of ``guarantee`` characters that another text has too.
+
+    Such a window contains a kept window counted in both texts, so only the windows around those are hashed, of one
+    record a class, and counted.
+    """
+    kept = kept_windows(records, guarantee, window)
+    keys = broadcast_if_small(shared_windows(kept).select("key"))
+    met = kept.join(keys, "key", "left_semi").select("cls", "pos").distinct()
+    one = members.groupBy("cls").agg(F.min("uid").alias("uid"))
+    places = met.groupBy("cls").agg(F.collect_list("pos").alias("at")).join(one, "cls")  # a class's kept windows: at most one a character of its text
+    places = materialize(places, "span-places")
+    n = places.agg(F.sum(F.size("at") + 2)).first()[0] or 0
+    where = records.join(F.broadcast(places) if n <= BROADCAST_POSITIONS else places, ["cls", "uid"]).select("cls", "t", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, t, at in zip(*(x.to_pylist() for x in batch.columns)):
+                _, _, cps = next(chunks([t]))
+                p = prefix_hash(cps)
+                todo = np.zeros(len(t) - guarantee + 2, np.int32)  # +1 where a run of wanted starts begins, -1 after its end
+                ends = np.minimum(np.array(at), len(t) - guarantee)
+                np.add.at(todo, np.maximum(np.array(at) - (guarantee - window), 0), 1)
+                np.add.at(todo, ends + 1, -1)
+                start = np.flatnonzero(np.cumsum(todo)[:-1] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(run_hash(p, start, start + guarantee).view(np.int64)), pa.array(np.full(len(start), c)), pa.array(start.astype(np.int32))], ["h", "cls", "pos"])
+
+    found = materialize(where.mapInArrow(run, "h bigint, cls bigint, pos int"), "span-all-windows")
+    several = found.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("h")
+    return found.join(several, "h", "left_semi").select("cls", "pos")
+
+
 def removal_intervals(df: DataFrame, row_id: str, text: str, guarantee: int = GUARANTEE, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_spans, shared_chars, n_chars, shared_share) of every record that shares something: its spans found
-    elsewhere, merged into maximal intervals. A record with a copy is shared as a whole."""
+    """(doc_id, n_spans, shared_chars, n_chars, shared_share) of every record that shares something: its repeated windows
+    merged into maximal intervals (touching ones are one).
+
+    A record with a copy is shared as a whole. Null and shorter texts share nothing; what a text repeats within itself only
+    is not shared. Repeated rows count once; empty tables give no rows.
+    """
     records = text_classes(df, row_id, text, guarantee)
-    spans = materialize(shared_spans(records, guarantee, window), "spans")
-    sides = spans.select(F.col("cls_a").alias("cls"), F.col("start_a").alias("s"), "n_chars").unionByName(spans.select(F.col("cls_b").alias("cls"), F.col("start_b").alias("s"), "n_chars"))
-    sides = sides.select("cls", "s", (F.col("s") + F.col("n_chars")).alias("e")).groupBy("cls", "s").agg(F.max("e").alias("e"))
-    w = Window.partitionBy("cls").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    opened = sides.withColumn("new", F.when(F.max("e").over(w) >= F.col("s"), 0).otherwise(1))
-    island = opened.withColumn("k", F.sum("new").over(Window.partitionBy("cls").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
-    merged = island.groupBy("cls", "k").agg(F.min("s").alias("s"), F.max("e").alias("e")).groupBy("cls").agg(F.count("*").alias("n_spans"), F.sum(F.col("e") - F.col("s")).alias("shared_chars"))
-    members = records.select("uid", "cls", F.length("t").alias("n_chars")).distinct()
+    members = materialize(records.select("uid", "cls", F.length("t").alias("n_chars")).distinct(), "span-members")
+    w = Window.partitionBy("cls").orderBy("pos")  # windows of one text
+    opened = repeated_windows(records, members, guarantee, window).withColumn("new", F.when(F.col("pos") - F.lag("pos").over(w) <= guarantee, 0).otherwise(1))
+    merged = opened.withColumn("k", F.sum("new").over(w)).groupBy("cls", "k").agg((F.max("pos") - F.min("pos") + guarantee).alias("n"))
+    merged = merged.groupBy("cls").agg(F.count("*").alias("n_spans"), F.sum("n").alias("shared_chars"))
     copies = members.groupBy("cls").agg((F.min("uid") != F.max("uid")).alias("copied"))
     out = members.join(copies, "cls").join(merged, "cls", "left").where("copied OR n_spans IS NOT NULL")
     shared = F.when(F.col("copied"), F.col("n_chars").cast("bigint")).otherwise(F.col("shared_chars"))

@@ -218,6 +218,14 @@ def test_packing(spark, targets):
     for _, own in out.sort_values("start_token").groupby("container_id"):
         own = own[own.n_tokens > 0]
         assert (own.start_token + own.n_tokens).iloc[:-1].le(own.start_token.iloc[1:].to_numpy()).all()
+    items = packing.sized_items(df, "id", "text", "src")
+    kept = packing.conservation(spark.createDataFrame(out), items, 512).toPandas().set_index("doc_id")
+    assert len(kept) == len(size) and kept[["whole", "fits", "tokens_kept"]].all().all() and (kept.copies == 1 + (kept.index == 2003)).all()
+    cut = packing.conservation(spark.createDataFrame(out[out.doc_id != 5]), items, 512).where("doc_id = 5").first()
+    assert (cut.copies, cut.whole, cut.tokens_kept) == (0, False, False)
+    if targets:
+        errors = packing.share_errors(spark.createDataFrame(out), targets).toPandas()
+        assert set(errors.source) == set(targets) and errors.error.max() < 0.1 and len(errors) > 6
     if targets is None:
         assert per.sum() / (512 * len(per)) > 0.93
         mix = packing.mixture_report(spark.createDataFrame(out)).toPandas()
@@ -243,6 +251,12 @@ def test_rounds_are_deficit_round_robin(spark):
                 assert v <= quantum * (w + 1) + 1 and v > quantum * (w + 1) - 60 or w == own.win.max()
 
 
+def test_items_of_no_tokens_are_spread(spark):
+    df = spark.range(3000).select("id", F.lit("").alias("text"), F.lit("none").alias("src")).unionByName(spark.createDataFrame([(10**6 + i, sentence(random.Random(i), 60), "x") for i in range(300)], "id long, text string, src string"))
+    out = packing.pack(df, "id", "text", "src", capacity=512, containers=4).where("source = 'none'").groupBy(F.shiftright("container_id", 20)).count().collect()
+    assert len(out) > 5 and max(r["count"] for r in out) < 1500 and sum(r["count"] for r in out) == 3000
+
+
 # ---- leaks ---------------------------------------------------------------------------------------------------------------
 
 
@@ -294,13 +308,16 @@ def test_leaks_match_brute_force(spark):
     assert leaks.leaked_passages(df, "id", "text", it.where("false"), "item", "passage").count() == 0
 
 
-def test_leaks_in_blocks_of_items(spark, monkeypatch):
+def test_leaks_without_broadcasts_and_with_a_full_filter(spark, monkeypatch):
     rng = random.Random(18)
     items = [(i, sentence(rng, 20)) for i in range(10)]
-    docs = [(i, "x " + p) for i, p in items]
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 3)
-    got = {tuple(r) for r in leaks.exact_leaks(leaks.leaked_passages(spark.createDataFrame(docs, ROWS), "id", "text", spark.createDataFrame(items, "item long, passage string"), "item", "passage")).collect()}
-    assert got == {(i, i) for i in range(10)}
+    docs = [(i, sentence(rng, 90) + " x " + p + " y " + sentence(rng, 300)) for i, p in items]
+    monkeypatch.setattr(leaks, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(leaks, "broadcast_if_small", lambda df: df)
+    for bits in (8, 27):
+        monkeypatch.setattr(leaks, "FILTER_BITS", bits)
+        found = leaks.leaked_passages(spark.createDataFrame(docs, ROWS), "id", "text", spark.createDataFrame(items, "item long, passage string"), "item", "passage")
+        assert {tuple(r) for r in leaks.exact_leaks(found).collect()} == {(i, i) for i in range(10)}
 
 
 def test_overlap_tolerates_substitutions():
@@ -358,5 +375,13 @@ def test_shared_pairs_match_brute_force(spark):
     assert set(got) == want and len(got) == len(want) and len(want) > 20
     per = {r.doc_id: r for r in spans.removal_intervals(df, "id", "text", g, w).collect()}
     assert set(per) == {x for p in want for x in p} and per[60].shared_share == 1.0
-    assert all(0 < r.shared_chars <= r.n_chars and r.shared_chars >= g for r in per.values())
+    holders = {}
+    for i, t in text.items():
+        for k in range(len(t or "") - g + 1):
+            holders.setdefault(t[k : k + g], set()).add(i)
+    for i, r in per.items():
+        inside = [k for k in range(len(text[i]) - g + 1) if len(holders[text[i][k : k + g]]) > 1]
+        covered = {x for k in inside for x in range(k, k + g)}
+        assert (r.n_spans, r.shared_chars, r.n_chars) == (sum(b - a > g for a, b in zip([-g - 1, *inside], inside)), len(covered), len(text[i]))
+    assert spans.removal_intervals(df.where("false"), "id", "text").count() == 0
     assert spans.shared_pairs(df.where("false"), "id", "text").count() == 0
