@@ -133,47 +133,100 @@ def _bucket(a, b):
     return _SINGLE + ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) % BUCKETS
 
 
-class PairModel(dict):
-    """Character pairs with back-off to single characters: {pair: log probability of its second character after its first}, filled as asked.
-
-    ``counts`` are of pair_counts(): single characters exactly, pairs by bucket; at most 2^21 + BUCKETS entries.
-    """
-
-    def __init__(self, counts: dict[int, int]) -> None:
-        super().__init__()
-        self.counts = counts
-        self.total = sum(n for k, n in counts.items() if k < _SINGLE) + 1
-
-    def __reduce__(self):
-        return PairModel, (self.counts,)
-
-    def __missing__(self, pair: str) -> float:
-        a, b = map(ord, pair)
-        back = (self.counts.get(b, 0) + 0.001) / self.total
-        got = math.log((self.counts.get(_bucket(a, b), 0) + 5 * back) / (self.counts.get(a, 0) + 5))
-        if len(self) < 1_000_000:
-            self[pair] = got
-        return got
-
-    def log_p(self, word: str) -> float:
-        return sum(map(self.__getitem__, map(str.__add__, " " + word, word + " ")))
-
-    def gains(self, word: str) -> dict[str, float]:
-        """{chain: nats gained} of the chains that make the word more probable by MARGIN."""
-        if word.isascii():
-            return {}
+class PairModel:
+    """Character pairs with back-off to single characters. ``keys`` (sorted) and ``counts`` are of pair_counts(): single
+    characters exactly, pairs by bucket; at most 2^21 + BUCKETS entries."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.counts = keys, counts.astype(np.float64)
+        self.total = float(self.counts[keys < _SINGLE].sum()) + 1
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
+
+    def log_p(self, words: list[str]) -> np.ndarray:
+        """Log probability of every word (without spaces) between spaces."""
+        if not words:
+            return np.zeros(0)
+        cps = code_points(" " + " ".join(words) + " ")
+        first, second = cps[:-1], cps[1:]
+        used, inv = np.unique(cps, return_inverse=True)
+        single = self.of(used)
+        back = (single[inv[1:]] + 0.001) / self.total
+        got = np.log((self.of(_bucket(first, second)) + 5 * back) / (single[inv[:-1]] + 5))
+        starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])[:-1]))
+        return np.add.reduceat(got, starts)
+
+    def gains(self, words: list[str]) -> Iterator[tuple[str, str, float]]:
+        """(word, chain, nats gained) of the chains that make a word more probable by MARGIN."""
+        words = [w for w in words if w and not w.isascii()]
         # characters that only look alike make a word odd too, but no chain made them
-        base, out = max(self.log_p(word), self.log_p(print_form(word))), {}
+        base = np.maximum(self.log_p(words), self.log_p([print_form(w).replace(" ", "_") or "_" for w in words]))
         for chain in CHAINS:
-            new = undo(word, chain)
-            if new is not None and new != word and (g := self.log_p(new) - base - MARGIN) > 0:
-                out[chain] = g
-        return out
+            at, new = undone(words, chain)
+            if len(at):
+                g = self.log_p(new) - base[at] - MARGIN
+                for k in np.flatnonzero(g > 0).tolist():
+                    yield words[at[k]], chain, float(g[k])
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+@lru_cache(maxsize=None)
+def _bmp(true: str, read: str) -> np.ndarray:
+    """Single-byte chains as a table over the first 65,536 code points: the character meant, 0 where there is none.
+    ``true`` 'utf-8': the byte read plus 1."""
+    out = np.zeros(1 << 16, np.int32)
+    if true == "utf-8":
+        for c, b in byte_of(read).items():
+            out[c] = b + 1
+    else:
+        for c, to in _direct(true, read)[0].items():
+            out[c] = ord(to)
+    return out
+
+
+def undone(words: list[str], chain: str) -> tuple[np.ndarray, list[str]]:
+    """The words that the chain can be undone in, and what they become; what can't be is sorted out by whole batches first."""
+    true, read = CHAINS[chain][0]
+    cps = code_points(" ".join([*words, ""]))
+    lens = np.array([len(w) for w in words])
+    starts = np.concatenate(([0], np.cumsum(lens + 1)[:-1]))
+    low = np.where(cps < (1 << 16), cps, 0)
+    if read in DOUBLE_BYTE:
+        maybe = np.ones(len(words), bool)
+    elif true in DOUBLE_BYTE:
+        known = (_bmp("utf-8", read)[low] > 0) | (cps == 32)
+        maybe = np.logical_and.reduceat(known, starts)
+    elif true == "utf-8":
+        byte = _bmp("utf-8", read)[low] - 1
+        lead = (byte >= 0xC2) & (byte <= 0xF4)
+        tail = np.append((byte[1:] >= 0x80) & (byte[1:] <= 0xBF), False)
+        maybe = np.logical_or.reduceat(lead & tail, starts)
+    else:
+        to = _bmp(true, read)[low]
+        space = cps == 32
+        good = space | (to > 0x20) & ~((to >= 0x7F) & (to <= 0xA0))
+        at = np.flatnonzero(np.logical_and.reduceat(good, starts) & np.logical_or.reduceat(~space & (to != cps), starts))
+        text = np.where(space, 32, to).astype(np.uint32).tobytes().decode("utf-32-le", "replace")
+        return at, [text[starts[k] : starts[k] + lens[k]] for k in at.tolist()]
+    at, new = [], []
+    for k in np.flatnonzero(maybe).tolist():
+        w = undo(words[k], chain)
+        if w is not None and w != words[k] and " " not in w and w:
+            at.append(k)
+            new.append(w)
+    return np.array(at, np.int64), new
 
 
 def pair_counts(texts: list[str], into: Counter) -> None:
     """Counts of characters and of the buckets of neighbouring ones, each text standing between spaces."""
-    cps = np.frombuffer((" " + " ".join(texts) + " ").replace("\n", " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cps = code_points((" " + " ".join(texts) + " ").replace("\n", " "))
     for keys in (cps[:-1], _bucket(cps[:-1], cps[1:])):
         keys, n = np.unique(keys, return_counts=True)
         for k, c in zip(keys.tolist(), n.tolist()):
@@ -184,10 +237,12 @@ def restore(text: str, chain: str, model: PairModel) -> str | None:
     """The text with the words undone that the chain explains; None if the chain is LOST."""
     if chain == LOST:
         return None
-    out = []
-    for w in text.split(" "):
-        new = None if w.isascii() else undo(w, chain)
-        out.append(w if new is None or model.log_p(new) < model.log_p(w) else new)
+    out = text.split(" ")
+    could = [(k, new) for k, w in enumerate(out) if not w.isascii() and (new := undo(w, chain)) and " " not in new]
+    gain = model.log_p([new for _, new in could]) - model.log_p([out[k] for k, _ in could])
+    for (k, new), g in zip(could, gain):
+        if g >= 0:
+            out[k] = new
     return " ".join(out)
 
 
@@ -205,7 +260,9 @@ def pair_model(rows: DataFrame) -> PairModel:
         yield pd.DataFrame({"k": list(n), "n": list(n.values())})
 
     counts = rows.select("t").mapInPandas(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most 2^21 + BUCKETS rows
-    return PairModel(dict(zip(counts.column("k").to_pylist(), counts.column("n").to_pylist())))
+    keys, n = counts.column("k").to_numpy(), counts.column("n").to_numpy()
+    order = np.argsort(keys)
+    return PairModel(keys[order], n[order])
 
 
 def words_of(rows: DataFrame) -> DataFrame:
@@ -222,7 +279,7 @@ def word_gains(words: DataFrame, model: PairModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(w, c, g) for w in b.w for c, g in shared.value.gains(w).items()], columns=["w", "chain", "gain"])
+            yield pd.DataFrame(list(shared.value.gains(b.w.tolist())), columns=["w", "chain", "gain"])
 
     return words.mapInPandas(run, "w string, chain string, gain double")
 
@@ -291,7 +348,7 @@ def garbled_rows(rows: DataFrame) -> DataFrame:
     pools = materialize(rows.groupBy("pool").agg(F.count("*").alias("n")), "mojibake-pools")
     odd = materialize(rows.where(NOT_ASCII.format("t")).dropDuplicates(["src_table", "src_id"]), "mojibake-rows")
     words = materialize(words_of(odd.select("t")).distinct(), "mojibake-words")
-    suspect = posteriors(row_gains(odd, word_gains(words, pair_model(rows))), pools, 2).where(F.col("p_clean") < SURELY_CLEAN).select("src_table", "src_id")
+    suspect = posteriors(row_gains(odd, materialize(word_gains(words, pair_model(rows)), "mojibake-word-gains")), pools, 2).where(F.col("p_clean") < SURELY_CLEAN).select("src_table", "src_id")
     suspect = broadcast_if_small(materialize(suspect, "mojibake-suspects"))
     model = pair_model(rows.join(suspect, ["src_table", "src_id"], "left_anti"))
     gains = materialize(word_gains(words, model), "mojibake-word-gains")

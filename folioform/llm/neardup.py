@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioform.llm.printform import print_words
+from folioform.llm.textvec import apart
 from folioform.session import materialize
 
 #: Registers of a signature are BANDS x ROWS. A pair of weighted similarity s shares a band with 1 - (1 - s^ROWS)^BANDS:
@@ -101,13 +103,13 @@ class Signer:
 
 
 def word_sets(df: DataFrame, row_id: str, text: str, min_words: int, shingle: int = 1) -> DataFrame:
-    """(uid, cls, words): the sorted distinct 32-bit hashes of a record's words (or shingles of ``shingle`` words) as they look
-    in print, and a 64-bit hash of that set. Null texts and texts of fewer than ``min_words`` words are left out."""
+    """(uid, cls, chk, words): the sorted distinct 32-bit hashes of a record's words (or shingles of ``shingle`` words) as they look
+    in print, and two 64-bit hashes of the set of their 64-bit hashes. Null texts and texts of fewer than ``min_words`` words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
-            uids, classes, offsets, values = [], [], [0], []
+            uids, classes, checks, offsets, values = [], [], [], [0], []
             for uid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = print_words(t) if t else []
                 if len(words) < max(min_words, shingle):
@@ -118,20 +120,23 @@ def word_sets(df: DataFrame, row_id: str, text: str, min_words: int, shingle: in
                 for w in set(words):
                     h = known.get(w)
                     if h is None:
-                        h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
+                        h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
                         if len(known) < 500_000:
                             known[w] = h
                     found.add(h)
-                a = np.array(sorted(found), np.uint32).view(np.int32)
+                whole = np.array(sorted(found), np.uint64)
+                a = np.unique((whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
                 uids.append(uid)
-                classes.append(xxhash.xxh3_64_intdigest(a.tobytes()) - (1 << 63))
+                digest = xxhash.xxh3_128_intdigest(whole.tobytes())
+                classes.append((digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
+                checks.append((digest >> 64) - (1 << 63))
                 values.append(a)
                 offsets.append(offsets[-1] + len(a))
             flat = np.concatenate(values) if values else np.zeros(0, np.int32)
             words_col = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(classes, pa.int64()), words_col], ["uid", "cls", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(classes, pa.int64()), pa.array(checks, pa.int64()), words_col], ["uid", "cls", "chk", "words"])
 
-    return df.select(F.col(row_id).cast("bigint").alias("uid"), F.col(text).cast("string").alias("t")).mapInArrow(run, "uid bigint, cls bigint, words array<int>")
+    return df.select(F.col(row_id).cast("bigint").alias("uid"), F.col(text).cast("string").alias("t")).mapInArrow(run, "uid bigint, cls bigint, chk bigint, words array<int>")
 
 
 def common_weights(sets: DataFrame) -> tuple[dict[int, float], float]:
@@ -216,12 +221,13 @@ def candidate_pairs(entries: DataFrame, largest: int = LARGEST_BAND) -> DataFram
 
 
 def similar_classes(classes: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (cls_a, cls_b), cls_a < cls_b, of classes whose sets reach ``threshold`` (in thousandths, exactly)."""
+    """Verified pairs (cls_a, cls_b), cls_a < cls_b, of classes whose sets reach ``threshold``, compared as the fraction it is written as."""
     candidates = candidate_pairs(entries)
     wa, wb = (classes.select(F.col("cls").alias(f"cls_{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
     both = candidates.join(wa, "cls_a").join(wb, "cls_b")
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common * 1000 >= (F.size("wa") + F.size("wb") - common) * round(threshold * 1000)).select("cls_a", "cls_b")
+    t = Fraction(str(threshold))
+    return both.where(common.cast("bigint") * t.denominator >= (F.size("wa") + F.size("wb") - common).cast("bigint") * t.numerator).select("cls_a", "cls_b")
 
 
 def near_duplicates(df: DataFrame, row_id: str, text: str, threshold: float = 0.8, min_words: int = 5, shingle: int = 5, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -231,6 +237,7 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, threshold: float = 0.
     id twice) are one member. An empty table gives two empty results. Other columns are ignored, whatever their names.
     """
     sets = materialize(word_sets(df, row_id, text, min_words, shingle), "neardup-sets")
+    sets = apart(sets)
     common, rare = common_weights(sets)
     classes = sets.select("cls", "words").dropDuplicates(["cls"])
     pairs = similar_classes(classes, band_entries(classes, common, rare, bands, rows), threshold)
@@ -286,4 +293,4 @@ def pandas_pairs(rows: pd.DataFrame, threshold: float, min_words: int) -> set[tu
         if len(words) >= min_words:
             sets[uid] = set(words)
     ids = sorted(sets)
-    return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 1000 * len(sets[a] & sets[b]) >= round(threshold * 1000) * len(sets[a] | sets[b])}
+    return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= Fraction(str(threshold))}

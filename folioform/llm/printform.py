@@ -15,11 +15,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, StringType
 
+from folioform.session import materialize
+
 #: Characters of another script drawn like a Latin letter, and that letter.
 LOOKALIKES = {
     # Cyrillic
@@ -192,17 +194,58 @@ def print_words(text: str) -> list[str]:
 # ---- Spark ---------------------------------------------------------------------------------------------------------------
 
 
-@pandas_udf(StringType())
-def print_form_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else print_form(t))
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """{letter of another script: the ASCII letter drawn like it}, beyond LOOKALIKES, from the public confusables data (UTS 39) of
+    the ICU library that Spark brings along; see confusables_version.
+
+    A letter goes to the ASCII letter of its own case with the same skeleton, one without case to a capital if there is one.
+    Conflict check: where two letters of one script and case have the same skeleton, readers of that script tell them
+    apart, and neither is taken. Letters of the Latin script are left to LOOKALIKES, styled ones to themselves.
+    """
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    ascii_letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    letters = [c for c in map(chr, ASSIGNED) if c > "\x7f" and unicodedata.category(c) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(c) and unicodedata.name(c, "LATIN").split()[0] not in ("LATIN", "CJK", "HANGUL", "MODIFIER", "MATHEMATICAL")]
+    skeletons = checker.getSkeleton("\n".join(ascii_letters + letters)).split("\n")
+    plain: dict[tuple[str, str], str] = {}
+    for c, k in zip(ascii_letters, skeletons):
+        plain.setdefault((k, unicodedata.category(c)), c)
+    met: dict[tuple[str, str, str], list[str]] = {}
+    for c, k in zip(letters, skeletons[len(ascii_letters) :]):
+        case = unicodedata.category(c)
+        to = plain.get((k, case)) if case != "Lo" else plain.get((k, "Lu")) or plain.get((k, "Ll"))
+        if to:
+            met.setdefault((unicodedata.name(c).split()[0], case, to), []).append(c)
+    return {cs[0]: to for (_, _, to), cs in met.items() if len(cs) == 1 and cs[0] not in MAPPING and not any(x in LOOKALIKES for x in cs)}
+
+
+def confusables_version(spark: SparkSession) -> str:
+    """Versions of the ICU library and of the Unicode data it holds."""
+    icu = spark._jvm.com.ibm.icu
+    return f"ICU {icu.util.VersionInfo.ICU_VERSION.toString()}, Unicode {icu.lang.UCharacter.getUnicodeVersion().toString()}"
+
 
+@lru_cache(maxsize=4)
+def extended_transducer(extra: tuple[tuple[str, str], ...]) -> Transducer:
+    return Transducer(MAPPING | dict(extra))
 
-@pandas_udf(BinaryType())
-def print_key_udf(texts: pd.Series) -> pd.Series:
-    """A 128-bit hash of the print form; null for null."""
-    import hashlib
 
-    return texts.map(lambda t: None if t is None else hashlib.blake2b(print_form(t).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+def print_key(text: Column, extra: dict[str, str]) -> Column:
+    """A 128-bit hash of the print form under MAPPING and ``extra`` look-alikes; null for null."""
+    pairs = tuple(sorted(extra.items()))
+
+    @pandas_udf(BinaryType())
+    def key(texts: pd.Series) -> pd.Series:
+        import hashlib
+
+        form = extended_transducer(pairs)
+        return texts.map(lambda t: None if t is None else hashlib.blake2b(form(t).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+
+    return key(text)
+
+
+@pandas_udf(StringType())
+def print_form_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else print_form(t))
 
 
 def lookalike_pairs(df: DataFrame, row_id: str, text: Column, src_table: str) -> DataFrame:
@@ -212,10 +255,10 @@ def lookalike_pairs(df: DataFrame, row_id: str, text: Column, src_table: str) ->
     text fall away after a pre-aggregated minimum / maximum of the text hash, so copies of one text never meet in a join.
     Null texts pair with nothing; empty texts are equal as stored; a repeated row (same id) is paired once.
     """
-    rows = df.select(F.col(row_id).cast("bigint").alias("id"), text.alias("t")).where("t IS NOT NULL").select("id", print_key_udf("t").alias("form"), F.xxhash64("t").alias("stored"))
-    rows = rows.groupBy("form", "stored", "id").agg(F.lit(1).alias("_one")).drop("_one")
+    rows = df.select(F.col(row_id).cast("bigint").alias("id"), text.alias("t")).where("t IS NOT NULL").select("id", print_key(F.col("t"), confusables(df.sparkSession)).alias("form"), F.xxhash64("t").alias("stored"))
+    rows = materialize(rows, "print-forms")  # three hashes a row, made once
     mixed = rows.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
-    few = rows.join(mixed, "form", "left_semi")
+    few = rows.join(mixed, "form", "left_semi").distinct()
     a, b = few.select("form", F.col("stored").alias("sa"), F.col("id").alias("ia")), few.select("form", F.col("stored").alias("sb"), F.col("id").alias("ib"))
     pairs = a.join(b, "form").where("sa <> sb AND ia < ib")
     return pairs.select(F.lit(src_table).alias("src_table"), F.col("ia").alias("id_a"), F.col("ib").alias("id_b"))

@@ -50,8 +50,7 @@ def p7_found(s: SparkSession, d: str) -> DataFrame:
 
 def p7_clean(s: SparkSession, d: str) -> DataFrame:
     """The rows that stay once residue is excluded."""
-    rows = _p7_rows(s, d)
-    return rows.select("src_table", "src_id").join(residue.residue_rows(rows), ["src_table", "src_id"], "left_anti")
+    return residue.clean_rows(_p7_rows(s, d))
 
 
 #: Shares of the kinds of module every window is filled to; kinds not named share the rest as they are.

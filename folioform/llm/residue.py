@@ -30,7 +30,9 @@ UNKNOWN = 0.75
 
 #: Template syntax, tried in order; whatever stands between the marks, however long, is one token <slot>. No mark is searched beyond the next of its kind.
 SHAPES = [
-    ("<slot>", r"\{\{(?:[^{}]++|\{(?!\{)[^{}]*+\}|\}(?!\}))*+\}\}|\{%(?:[^%{]++|%(?!\})|\{(?!%))*+%\}|<%(?:[^%<]++|%(?!>)|<(?!%))*+%>|[$#]\{(?:[^{}]++|\{[^{}]*+\})++\}|%\([\w.]++\)[sd]|%%[\w.]++%%|@@[\w.]++@@|__[A-Z][A-Z_]*__|\$[A-Z][A-Z_]++\$|\[\[(?:TODO|FIXME|TBD)\b[^\[\]]*+\]\]|\[(?:INSERT|ENTER|ADD|YOUR)\b[A-Z _]*+\]|\{\d{1,2}\}|\{[A-Za-z][\w.]*+:[^{}\s]++\}|\{[A-Za-z]\w*(?:[_.]\w+)+\}|%(?:\d\$)?[sd](?![\w])|\[%(?:[^%\[]++|%(?!\])|\[(?!%))*+%\]"),
+    ("<slot>", r"\{\{(?:[^{}]++|\{(?!\{)[^{}]*+\}|\}(?!\}))*+\}\}|\{%(?:[^%{]++|%(?!\})|\{(?!%))*+%\}|<%(?:[^%<]++|%(?!>)|<(?!%))*+%>|[$#]\{(?:[^{}]++|\{[^{}]*+\})++\}|%\([\w.]++\)[sd]|%%[\w.]++%%|@@[\w.]++@@|__[A-Z][A-Z_]*__|\$[A-Z][A-Z_]++\$|\[\[(?:TODO|FIXME|TBD)\b[^\[\]]*+\]\]|\[(?:INSERT|ENTER|ADD|YOUR)\b[A-Z _]*+\]|\{\d{1,2}\}|\{[A-Za-z][\w.]*+:[^{}\s]++\}|\{[A-Za-z]\w*(?:[_.]\w+)+\}|%(?:\d\$)?[sd](?![\w])|\[%(?:[^%\[]++|%(?!\])|\[(?!%))*+%\]"
+     r"|\bdear \{[^{}]*+\}|\{(?:first|last|full|user|your|company|customer|recipient|contact)[ _-]?name\}|\{e-?mail(?: address)?\}|<<(?:(?-i:[A-Z][A-Z0-9]*_[A-Z0-9_]*)|(?:first|last|full|user|company)_?name|e?mail|address|city|zip|date|title|body|content)>>|%%?[A-Z]++(?:_[A-Z]++)*+%%?(?![\w%])|\[(?:your|insert|enter|add) [\w /]++\]|\{\{\{[^{}]*+\}\}\}|\*\|[A-Z_:]++\|\*|\[-[^\[\]]*+-\]"),
+    ("<route>", r"(?-i:Cannot (?:GET|POST|PUT|PATCH|DELETE) )/\S*+"),
     ("<goes-here>", r"(?:&lt;|<)[\w .]+ goes here(?:&gt;|>)"),
     ("<object>", r"\[object \w++\]"),
     ("<placeholder>", r"\((?:placeholder|platzhalter|sans texte|marcador)\)"),
@@ -51,19 +53,23 @@ def _shaped(m: re.Match) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    """Words in lower case, numbers as <n> or (400 to 599) <code>, template syntax as shape tokens."""
+    """Words in lower case, numbers as <n> or (status codes) <code>, template syntax as shape tokens."""
     if not text.isascii():
         text = print_form(text)
-    if _MARK.search(text):
+    if _MARK.search(text) or "annot " in text:
         text = _SHAPE.sub(_shaped, text)
         if "\x00" in text:
             return [_NAMES[int(w[1])] if w[0] == "\x00" else _word(w) for w in _WORD.findall(text.lower())]
     return [_word(w) for w in _WORD.findall(text.lower())]
 
 
+#: Status codes in use: those assigned, and those proxies answer with.
+CODES = {*range(400, 419), *range(421, 427), 428, 429, 431, 451, *range(500, 509), 510, 511, *range(520, 528), 530}
+
+
 def _word(w: str) -> str:
     if w.isdigit():
-        return "<code>" if len(w) == 3 and w[0] in "45" else "<n>"
+        return "<code>" if len(w) == 3 and int(w) in CODES else "<n>"
     return w
 
 
@@ -165,22 +171,30 @@ def residue_index(rows: DataFrame) -> ResidueIndex:
     return ResidueIndex(counts, counts.pop("", 0))
 
 
-def residue_rows(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(src_table, src_id, coverage) of the rows (src_table, src_id, t) whose text is or contains residue.
+def scored_rows(rows: DataFrame) -> DataFrame:
+    """(src_table, src_id, coverage) of all rows (src_table, src_id, t), one per id, in one pass over the texts.
 
-    Null and empty texts are none. Whole texts are read. A repeated row is reported once. Empty tables give no rows.
+    Null and empty texts have none (0). Whole texts are read. A row repeated under one id has its greatest coverage.
     """
     index = rows.sparkSession.sparkContext.broadcast(residue_index(rows))  # as many features as the exemplars have
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            c = pd.Series([index.value.coverage(t) for t in b["t"]], index=b.index, dtype="float64")
-            hit = c >= coverage
-            yield b.loc[hit, ["src_table", "src_id"]].assign(coverage=c[hit])
+            yield b[["src_table", "src_id"]].assign(coverage=pd.Series([index.value.coverage(t) for t in b["t"]], index=b.index, dtype="float64"))
 
     found = rows.select("src_table", "src_id", "t").mapInPandas(run, "src_table string, src_id bigint, coverage double")
     return found.groupBy("src_table", "src_id").agg(F.max("coverage").alias("coverage"))
 
 
+def residue_rows(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(src_table, src_id, coverage) of the rows whose text is or contains residue; empty tables give no rows."""
+    return scored_rows(rows).where(F.col("coverage") >= coverage)
+
+
+def clean_rows(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(src_table, src_id) of the rows that stay."""
+    return scored_rows(rows).where(F.col("coverage") < coverage).select("src_table", "src_id")
+
+
 def text_rows(df: DataFrame, src_table: str, src_id: str, text: str) -> DataFrame:
     return df.select(F.lit(src_table).alias("src_table"), F.col(src_id).cast("bigint").alias("src_id"), F.col(text).cast("string").alias("t"))

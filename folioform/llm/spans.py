@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioform.llm.textvec import chunks, mix, prefix_hash, run_hash
+from folioform.llm.textvec import apart, chunks, mix, prefix_hash, run_hash
 from folioform.session import broadcast_if_small, materialize
 
 GUARANTEE, WINDOW = 400, 256
@@ -76,9 +76,9 @@ def equal_runs(a: str, b: str, diagonal: int, least: int) -> list[tuple[int, int
 
 
 def text_classes(df: DataFrame, row_id: str, text: str, least: int = GUARANTEE) -> DataFrame:
-    """(uid, cls, t): records of at least ``least`` characters; ``cls`` is a hash of the whole text, equal for copies."""
+    """(uid, cls, t): records of at least ``least`` characters; ``cls`` is a hash of the whole text, equal for copies, and told apart for other texts."""
     t = F.col(text).cast("string")
-    return df.select(F.col(row_id).cast("bigint").alias("uid"), F.xxhash64(t).alias("cls"), t.alias("t")).where(F.length("t") >= least)
+    return apart(df.select(F.col(row_id).cast("bigint").alias("uid"), F.xxhash64(t).alias("cls"), F.xxhash64(F.lit("second"), t).alias("chk"), t.alias("t")).where(F.length("t") >= least))
 
 
 def kept_windows(records: DataFrame, guarantee: int = GUARANTEE, window: int = WINDOW) -> DataFrame:

@@ -7,6 +7,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioform.session import broadcast_if_small
 
 #: Characters handled at once; a longer text is handled alone.
 CHUNK_CHARS = 1_000_000
@@ -87,3 +91,12 @@ def word_hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
         begin, end = edge[::2], edge[1::2]  # a chunk ends in a line feed, so every word ends
         yield rows[np.searchsorted(starts, begin, "right") - 1], run_hash(prefix_hash(cps), begin, end)
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with classes (``cls``, a 64-bit hash) told apart by a second 64-bit hash ``chk`` of the same content: where one
+    class has several of these, they become the classes. Expected of some hundred classes in 10^11, so the extra table is small."""
+    mixed = rows.groupBy("cls").agg(F.min("chk").alias("_lo"), F.max("chk").alias("_hi")).where("_lo <> _hi").select("cls", F.lit(True).alias("_mixed"))
+    if mixed.isEmpty():
+        return rows.drop("chk")
+    return rows.join(broadcast_if_small(mixed), "cls", "left").withColumn("cls", F.when(F.col("_mixed"), F.col("chk")).otherwise(F.col("cls"))).drop("_mixed", "chk")

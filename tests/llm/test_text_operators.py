@@ -46,6 +46,14 @@ def test_print_form(a, b, same):
     assert printform.print_form(printform.print_form(b)) == printform.print_form(b)
 
 
+def test_confusables_of_other_scripts(spark):
+    extra = printform.confusables(spark)
+    assert extra["Ꭺ"] == "A" and all(len(c) == len(to) == 1 and to.isascii() and to.isalpha() for c, to in extra.items()) and not set(extra) & set(printform.MAPPING)
+    assert "σ" not in extra and "ICU" in printform.confusables_version(spark)
+    form = printform.extended_transducer(tuple(sorted(extra.items())))
+    assert form("ᎪB") == form("AB") and all(form(form(c)) == form(c) for c in extra)
+
+
 def test_print_words_keep_case_pairs_of_other_scripts():
     assert printform.print_words("Вода и ВОТ") == printform.print_words("вода И вот")
     assert printform.print_words("Вecause оf tһe") == ["because", "of", "the"]
