@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioform.schema import BOOKS
+from folioform.sources.model import CODES
+
 OSIS = r"^([1-4]?[A-Z][A-Za-z]*)(?:\.(\d+)(?:\.(\d+)([a-z])?(?:-(?:[1-4]?[A-Z][A-Za-z]*\.)?(?:(\d+)\.)?(\d+))?)?)?$"
 HUMAN = r"^\s*([1-4]?\s*\p{L}[\p{L}. ]*?)\s*(\d+)?(?:\s*[:.]\s*(\d+)([a-z])?)?(?:\s*[-–]\s*(?:(\d+)\s*[:.]\s*)?(\d+))?\s*$"
 
@@ -34,6 +37,47 @@ def parse_human(text: Column, aliases: dict[str, str] | None = None) -> Column:
     return _ref(text, HUMAN, book)
 
 
+#: English names of schema.BOOKS, in their order.
+BOOK_NAMES = """Genesis, Exodus, Leviticus, Numbers, Deuteronomy, Joshua, Judges, Ruth, 1 Samuel, 2 Samuel, 1 Kings, 2 Kings, 1 Chronicles, 2 Chronicles, Ezra, Nehemiah,
+Esther, Job, Psalms, Proverbs, Ecclesiastes, Song of Solomon, Isaiah, Jeremiah, Lamentations, Ezekiel, Daniel, Hosea, Joel, Amos, Obadiah, Jonah, Micah, Nahum, Habakkuk,
+Zephaniah, Haggai, Zechariah, Malachi, Matthew, Mark, Luke, John, Acts, Romans, 1 Corinthians, 2 Corinthians, Galatians, Ephesians, Philippians, Colossians,
+1 Thessalonians, 2 Thessalonians, 1 Timothy, 2 Timothy, Titus, Philemon, Hebrews, James, 1 Peter, 2 Peter, 1 John, 2 John, 3 John, Jude, Revelation""".replace("\n", " ").split(", ")
+#: Names that no rule gives.
+OTHER_NAMES = {"psalm": "Ps", "songofsongs": "Song", "canticles": "Song", "apocalypse": "Rev", "qoheleth": "Eccl"}
+
+
+def book_aliases() -> dict[str, str]:
+    """{name in lower case without blanks: book id}: ids, English names, file codes, every prefix of a name that is of one book only
+    (from two letters on), and the ordinals I, II, III, First, Second, Third for 1, 2, 3."""
+    out = {b.lower(): b for b in BOOKS} | {n.lower().replace(" ", ""): b for n, b in zip(BOOK_NAMES, BOOKS)} | OTHER_NAMES | {c.lower(): b for c, b in zip(CODES, BOOKS)}
+    prefixes: dict[str, set[str]] = {}
+    for name, book in zip(BOOK_NAMES, BOOKS):
+        n = name.lower().replace(" ", "")
+        for k in range(2 + n[0].isdigit(), len(n)):
+            prefixes.setdefault(n[:k], set()).add(book)
+    out = {p: next(iter(bs)) for p, bs in prefixes.items() if len(bs) == 1} | out
+    for word, digit in (("iii", "3"), ("ii", "2"), ("i", "1"), ("third", "3"), ("second", "2"), ("first", "1")):
+        out |= {word + a[1:]: b for a, b in list(out.items()) if a[0] == digit and word + a[1:] not in out}
+    return out
+
+
+RANGE = r"^\s*((?:[1-3]|I{1,3}|First|Second|Third)?\s*\p{L}[\p{L}. ]*?)\s*(?:(\d+)(?:\s*[-–—]\s*(\d+)|\s*[:.]\s*(\d+)(?:\s*[-–—]\s*(?:(\d+)\s*[:.]\s*)?(\d+))?)?)?\s*$"
+
+
+def parse_range(text: Column, aliases: dict[str, str] | None = None) -> Column:
+    """struct<book, chapter, verse, chapter_end, verse_end, kind>: a book, a chapter, chapters ``c-c``, a verse, verses ``c:v-v`` or
+    ``c:v-c:v``; null for anything else, and for an end before its start. Names not among the ``aliases`` stay as they are."""
+    g = lambda i: _int(F.regexp_extract(text, RANGE, i))
+    name = F.regexp_replace(F.regexp_extract(text, RANGE, 1), r"[.\s]+", "")
+    table = F.create_map(*[F.lit(x) for k, v in (book_aliases() if aliases is None else aliases).items() for x in (k.replace(" ", "").lower(), v)])
+    chapter, to_chapter, verse, verses_chapter, to_verse = g(2), g(3), g(4), g(5), g(6)
+    kind = F.when(chapter.isNull(), "book").when(to_chapter.isNotNull(), "chapters").when(verse.isNull(), "chapter").when(to_verse.isNull(), "verse").otherwise("verses")
+    end = F.coalesce(to_chapter, verses_chapter)
+    wrong = (to_chapter < chapter) | (verses_chapter < chapter) | (F.coalesce(verses_chapter, chapter) == chapter) & (to_verse < verse)
+    ref = F.struct(F.coalesce(table[F.lower(name)], name).alias("book"), chapter.alias("chapter"), verse.alias("verse"), end.alias("chapter_end"), to_verse.alias("verse_end"), kind.alias("kind"))
+    return F.when(text.rlike(RANGE) & ~F.coalesce(wrong, F.lit(False)), ref)
+
+
 def parse_list(text: Column, aliases: dict[str, str] | None = None) -> Column:
     """A list as in "cf. Gen 1:1; see Exod 2:3-4": array<REF>; parts that are no reference are dropped."""
     parts = F.transform(F.split(text, ";"), lambda p: F.regexp_replace(p, r"^\s*(?i:cf\.?|see(?: also)?|compare)\s+", ""))
@@ -69,3 +113,9 @@ def in_range(book: Column, chapter: Column, verse: Column, start: Column, end: C
 def block_ref(block_id: Column) -> Column:
     """(chapter, verse) parsed from a block id ``Book.C.V``; nulls for ids of the other conventions."""
     return F.struct(_int(F.regexp_extract(block_id, r"\.(\d+)\.(\d+)", 1)).alias("chapter"), _int(F.regexp_extract(block_id, r"\.(\d+)\.(\d+)", 2)).alias("verse"))
+
+
+def crossref_index(xrefs: DataFrame, source: str, target: str) -> DataFrame:
+    """Cross references under both their ends: ``side`` (source or target), ``ref``, and the reference's other columns. No shuffle; look-ups filter by (side, ref)."""
+    ends = F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("ref")) for side, c in (("source", source), ("target", target))])
+    return xrefs.withColumn("_e", F.explode(ends)).select("_e.side", "_e.ref", *xrefs.columns).where("ref IS NOT NULL")

@@ -105,6 +105,37 @@ def notes(x: Str) -> Column:
     return F.concat(foot, refs)
 
 
+def marked_places(x: Str, pattern: str) -> Column:
+    """array<struct<at, markup>>: matches of ``pattern`` (without groups) and the byte each begins at, from the lengths of what lies before."""
+    c = _c(x)
+    gaps, hits = F.split(c, pattern), F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,markup:string>>").alias("out"))
+
+    def step(acc: Column, z: Column) -> Column:
+        at = acc["at"] + F.octet_length(z["gap"])
+        return F.struct((at + F.octet_length(z["markup"])).alias("at"), F.array_append(acc["out"], F.struct(at.alias("at"), z["markup"].alias("markup"))).alias("out"))
+
+    return F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("markup")), start, step, lambda a: a["out"])
+
+
+def placed_notes(x: Str) -> Column:
+    """array<struct<kind, text, at>> of notes and references with the byte each begins at, notes first."""
+
+    def kind(pattern: str, name: str, text: Column) -> Column:
+        return F.transform(marked_places(x, pattern), lambda m: F.struct(F.lit(name).alias("kind"), text(m["markup"]).alias("text"), m["at"].alias("at")))
+
+    inner = lambda m: F.regexp_extract(m, ">([^<]*)<", 1)
+    return F.concat(kind("<note[^>]*>[^<]*</note>", "FOOTNOTE", inner), kind("<reference[^>]*>[^<]*</reference>", "CROSS_REF", lambda m: F.when(attribute(m, "osisRef") != "", attribute(m, "osisRef")).otherwise(inner(m))))
+
+
+def versification_message(x: Str) -> Column:
+    """What a block of chapter marks without text says about the source's numbering; '' for any other block."""
+    marks = F.filter(chapter_markers(x), lambda m: (m["osis_id"] != "") | (m["boundary"] != "container"))
+    told = F.transform(F.filter(marks, lambda m: (m["osis_id"] != "") & (m["boundary"] != "container")), lambda m: F.concat(F.lit("versification: chapter "), m["osis_id"], F.when(m["boundary"] == "start", " begins here in source").otherwise(" ends here in source")))
+    found = F.coalesce(F.try_element_at(told, F.lit(1)), F.lit("versification: structural marker only"))
+    return F.when((F.size(marks) > 0) & (strip_markup(x) == ""), found).otherwise("")
+
+
 def chapter_markers(x: Str) -> Column:
     """array<struct<osis_id, boundary>> of chapter elements and milestones."""
     return F.transform(F.regexp_extract_all(_c(x), F.lit("(<chapter[^>]*>)"), F.lit(1)), lambda t: F.struct(attribute(t, "osisID").alias("osis_id"), F.when(attribute(t, "sID") != "", "start").when(attribute(t, "eID") != "", "end").otherwise("container").alias("boundary")))
@@ -160,9 +191,10 @@ def truncate(x: Str, n: int) -> Column:
 
 
 def is_placeholder(x: Str) -> Column:
-    """Under five bytes once trimmed, or only "Book c:v"."""
+    """Under five bytes once trimmed, or only "Book c:v", the book's name being words after at most one ordinal."""
     c = trim_ws(x)
-    return (F.octet_length(c) < 5) | c.rlike(r"^[A-Za-z0-9 ]+ \d+:\d+:?$")
+    ordinal, word = r"(?:(?:[1-4]|I{1,3}|IV|IIV|IIIV)\s+)?", "[A-Za-z]+"
+    return (F.octet_length(c) < 5) | c.rlike(rf"^{ordinal}{word}(?:\s+{word})*\s+\d+:\d+:?\z")
 
 
 def empty_kind(raw: Str) -> Column:
@@ -202,6 +234,29 @@ def tags(*conditions: tuple[Column, str | Column]) -> Column:
     return F.sort_array(F.array_distinct(F.filter(parts, lambda t: t.isNotNull())))
 
 
+#: What tags say about a module, by language, numbering and name.
+LANGUAGE_TAGS = {"en": "English", "la": "Latin", "grc": "Greek", "he": "Hebrew"}
+CANON_TAGS = {"Vulg": ["Catholic Canon"], "LXX": ["Orthodox Canon", "Septuagint"], "Leningrad": ["Masoretic Text"]}
+ONE_TESTAMENT = {"sblgnt": "New Testament", "oeb": "New Testament", "osmhb": "Old Testament", "lxx": "Old Testament"}
+HISTORICAL = ["kjv", "asv", "tyndale", "geneva1599", "drc", "vulgate", "lxx"]
+MODERN = ["web", "oeb", "sblgnt"]
+
+
+def module_tags(module: Str, language: Str, versification: Str, licence: Str, description: Str) -> Column:
+    """Sorted tags of a Bible module: language, testaments, canon, text type, licence, era, features."""
+    name, canon = F.lower(_c(module)), _c(versification)
+    only = F.create_map(*[F.lit(x) for kv in ONE_TESTAMENT.items() for x in kv])[name]
+    both = only.isNull()
+    language_tag = F.create_map(*[F.lit(x) for kv in LANGUAGE_TAGS.items() for x in kv])[_c(language)]
+    canons = [(canon == c, t) for c, ts in CANON_TAGS.items() for t in ts]
+    return tags(
+        (language_tag.isNotNull(), language_tag), (both | (only == "Old Testament"), "Old Testament"), (both | (only == "New Testament"), "New Testament"),
+        *canons, (~F.coalesce(canon.isin(*CANON_TAGS), F.lit(False)), "Protestant Canon"), (name == "sblgnt", "Critical Text"),
+        (F.contains(F.lower(_c(licence)), F.lit("public domain")), "Public Domain"), (name.isin(HISTORICAL), "Historical Translation"), (name.isin(MODERN), "Modern Translation"),
+        (F.contains(F.lower(_c(description)), F.lit("strong")), "Strong's Numbers"),
+    )
+
+
 def version_key(x: Str) -> Column:
     """array<int> of a dotted version, 'v' and pre-release dropped, padded to three: compares as versions do."""
     parts = F.transform(F.split(F.regexp_replace(F.regexp_replace(_c(x), "^[vV]", ""), "[-+].*$", ""), r"\."), lambda p: F.coalesce(F.try_to_number(p, F.lit("999999999")).cast("int"), F.lit(0)))
@@ -226,16 +281,25 @@ def _rules(x: Str, rules: list[tuple[str, str]]) -> Column:
     return squeeze(decode_entities(F.regexp_replace(reduce(lambda c, r: F.regexp_replace(c, *r), rules, _c(x)), "<[^>]*>", "")))
 
 
+OSIS_RULES = [(r'<hi[^>]*type="bold"[^>]*>([^<]*)</hi>', r"**$1**"), (r'<hi[^>]*type="italic"[^>]*>([^<]*)</hi>', r"*$1*"), (r"<transChange[^>]*>([^<]*)</transChange>", r"*$1*"), (r"<divineName[^>]*>([^<]*)</divineName>", r"**$1**"), (r'<q[^>]*who="Jesus"[^>]*>([^<]*)</q>', r"**$1**"), (r"<note[^>]*>([^<]*)</note>", r" [^$1]"), (r"<title[^>]*>([^<]*)</title>", r"### $1 "), (r"<(?:lb|p|l)\b[^>]*/?>", " ")]
+
+
 def osis_to_markdown(x: Str) -> Column:
-    return _rules(x, [(r'<hi[^>]*type="bold"[^>]*>([^<]*)</hi>', r"**$1**"), (r'<hi[^>]*type="italic"[^>]*>([^<]*)</hi>', r"*$1*"), (r"<transChange[^>]*>([^<]*)</transChange>", r"*$1*"), (r"<divineName[^>]*>([^<]*)</divineName>", r"**$1**"), (r'<q[^>]*who="Jesus"[^>]*>([^<]*)</q>', r"**$1**"), (r"<note[^>]*>([^<]*)</note>", r" [^$1]"), (r"<title[^>]*>([^<]*)</title>", r"### $1 "), (r"<(?:lb|p|l)\b[^>]*/?>", " ")])
+    return _rules(x, OSIS_RULES)
+
+
+THML_RULES = [(r"(?i)<(?:b|strong)>([^<]*)</(?:b|strong)>", r"**$1**"), (r"(?i)<(?:i|em)>([^<]*)</(?:i|em)>", r"*$1*"), (r"(?i)<font color=\"?red\"?>([^<]*)</font>", r"**$1**"), (r"(?i)<h[1-6]>([^<]*)</h[1-6]>", r"### $1 "), (r"(?i)<scripRef[^>]*>([^<]*)</scripRef>", r"[$1]"), (r"(?i)<note[^>]*>([^<]*)</note>", r" [^$1]"), (r"(?i)<(?:br|p)\b[^>]*/?>", " ")]
 
 
 def thml_to_markdown(x: Str) -> Column:
-    return _rules(x, [(r"(?i)<(?:b|strong)>([^<]*)</(?:b|strong)>", r"**$1**"), (r"(?i)<(?:i|em)>([^<]*)</(?:i|em)>", r"*$1*"), (r"(?i)<font color=\"?red\"?>([^<]*)</font>", r"**$1**"), (r"(?i)<h[1-6]>([^<]*)</h[1-6]>", r"### $1 "), (r"(?i)<scripRef[^>]*>([^<]*)</scripRef>", r"[$1]"), (r"(?i)<note[^>]*>([^<]*)</note>", r" [^$1]"), (r"(?i)<(?:br|p)\b[^>]*/?>", " ")])
+    return _rules(x, THML_RULES)
+
+
+GBF_RULES = [(r"<FB>(.*?)<Fb>", r"**$1**"), (r"<FI>(.*?)<Fi>", r"*$1*"), (r"<FR>(.*?)<Fr>", r"**$1**"), (r"<FO>(.*?)<Fo>", r"*$1*"), (r"<RF>(.*?)<Rf>", r" [^$1]"), (r"<TS>(.*?)<Ts>", r"### $1 "), (r"<(?:CM|CL|PP|PI)>", " ")]
 
 
 def gbf_to_markdown(x: Str) -> Column:
-    return _rules(x, [(r"<FB>(.*?)<Fb>", r"**$1**"), (r"<FI>(.*?)<Fi>", r"*$1*"), (r"<FR>(.*?)<Fr>", r"**$1**"), (r"<FO>(.*?)<Fo>", r"*$1*"), (r"<RF>(.*?)<Rf>", r" [^$1]"), (r"<TS>(.*?)<Ts>", r"### $1 "), (r"<(?:CM|CL|PP|PI)>", " ")])
+    return _rules(x, GBF_RULES)
 
 
 def tei_entry(x: Str) -> Column:

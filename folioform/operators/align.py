@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,16 @@ def parallel(df: DataFrame, keys: list[str], side: str, text: str, sides: list[s
     return p.select(*keys, *[F.coalesce(F.col(f"`{s}`"), F.lit("not available")).alias(s) for s in sides])
 
 
-def positional_diff(a: DataFrame, b: DataFrame, order: list[str], value: str) -> DataFrame:
-    """Positions where two logs differ; a missing line is ''. Positions come from one window per log, so logs are one run's."""
+def positional_diff(a: DataFrame, b: DataFrame, order: list[str], value: str, by: list[str] | None = None) -> DataFrame:
+    """(*by, pos, value_a, value_b): positions where two logs differ; a missing line is ''. Logs are compared per ``by``, so that
+    positions come from one window per log and not from one over the table."""
+    by = by or []
+
     def numbered(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), F.col(value).alias(name))
+        return df.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("pos"), F.col(value).alias(name))
 
-    j = numbered(a, "value_a").join(numbered(b, "value_b"), "pos", "full_outer")
-    return j.where(~F.col("value_a").eqNullSafe(F.col("value_b"))).select("pos", F.coalesce("value_a", F.lit("")).alias("value_a"), F.coalesce("value_b", F.lit("")).alias("value_b"))
+    j = numbered(a, "value_a").join(numbered(b, "value_b"), [*by, "pos"], "full_outer")
+    return j.where(~F.col("value_a").eqNullSafe(F.col("value_b"))).select(*by, "pos", F.coalesce("value_a", F.lit("")).alias("value_a"), F.coalesce("value_b", F.lit("")).alias("value_b"))
 
 
 def line_diff(a: Column, b: Column) -> Column:
@@ -29,6 +34,11 @@ def line_diff(a: Column, b: Column) -> Column:
     return F.transform(F.filter(rows, lambda z: z["old"] != z["new"]), lambda z: F.struct(z["line"].alias("line"), kind(z).alias("kind"), z["old"].alias("old"), z["new"].alias("new")))
 
 
+def truncated_diff(diff: Column, n: int) -> Column:
+    """struct<shown, more>: the first ``n`` differences and the number of the others."""
+    return F.struct(F.slice(diff, 1, n).alias("shown"), F.greatest(F.size(diff) - n, F.lit(0)).alias("more"))
+
+
 def token_pairs(a: Column, b: Column) -> Column:
     """Words of two texts paired by position, as far as both go; confidence 0.5."""
     n = F.least(F.size(a), F.size(b))
@@ -43,25 +53,46 @@ def unique_words(df: DataFrame, key: list[str], side: str, words: Column) -> Dat
 
 
 def bag_similarity(pairs: DataFrame, ids: list[str], words_a: Column, words_b: Column) -> DataFrame:
-    """Share of equal words, as bags: sum of the lesser counts over the greater number of words; 0 if both are empty."""
-    both = pairs.select(*ids, F.size(words_a).alias("_na"), F.size(words_b).alias("_nb"), F.explode_outer(F.concat(F.transform(words_a, lambda w: F.struct(w.alias("w"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(words_b, lambda w: F.struct(w.alias("w"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("x"))
-    counted = both.groupBy(*ids, "_na", "_nb", "x.w").agg(F.least(F.sum("x.a"), F.sum("x.b")).alias("c"))
-    out = counted.groupBy(*ids, "_na", "_nb").agg(F.sum("c").alias("common"))
-    return out.select(*ids, F.round(F.coalesce(F.col("common") / F.greatest("_na", "_nb"), F.lit(0.0)), 6).alias("similarity"))
+    """Share of equal words, as bags: sum of the lesser counts over the greater number of words; 0 if both are empty.
+
+    Row by row: each word is numbered among its equals, which makes bags sets. No shuffle.
+    """
+
+    def numbered(words: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("k"))
+        runs = F.aggregate(F.array_sort(words), F.array(start), lambda acc, w: F.array_append(acc, F.struct(w.alias("w"), F.when(F.element_at(acc, -1)["w"] == w, F.element_at(acc, -1)["k"] + 1).otherwise(1).alias("k"))))
+        return F.slice(runs, 2, F.size(words) + 1)
+
+    common = F.size(F.array_intersect(numbered(words_a), numbered(words_b)))
+    most = F.greatest(F.size(words_a), F.size(words_b))
+    return pairs.select(*ids, F.round(F.when(most > 0, common / most).otherwise(0.0), 6).alias("similarity"))
 
 
-def interval_lookup(points: DataFrame, point_id: str, intervals: DataFrame, key: str, at: list[str], lo: list[str], hi: list[str], order: list[str]) -> DataFrame:
+def interval_lookup(points: DataFrame, point_id: str, intervals: DataFrame, key: str, at: list[str], lo: list[str], hi: list[str], order: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """(point_id, first): the first interval (by ``order``) that contains each point, compared as tuples, within an equal key.
 
-    The least interval is kept before and after the shuffle by ``point_id``; points in no interval have no row.
+    ``bucket`` maps the first column of ``at`` to a whole number, monotonically: points then meet only the intervals that
+    reach into their bucket, so that one hot key is spread over its buckets. The least interval is kept before and after the
+    shuffle by ``point_id``; points in no interval have no row.
     """
-    i, p = intervals.alias("i"), points.select(point_id, key, *at).alias("p")
-    t = F.struct(*[F.col(f"p.{c}") for c in at])
-    j = p.join(i, (F.col(f"p.{key}") == F.col(f"i.{key}")) & (t >= F.struct(*[F.col(f"i.{c}").alias(a) for c, a in zip(lo, at)])) & (t <= F.struct(*[F.col(f"i.{c}").alias(a) for c, a in zip(hi, at)])))
-    return j.groupBy(F.col(f"p.{point_id}")).agg(F.min(F.struct(*[F.col(f"i.{c}") for c in order])).alias("first"))
+    p = points.select(point_id, key, *at)
+    i = intervals.select(F.struct(*lo).alias("_lo"), F.struct(*hi).alias("_hi"), F.struct(*order).alias("_o"), F.col(key).alias("_key"), *([F.explode(F.sequence(bucket(F.col(lo[0])), bucket(F.col(hi[0])))).alias("_ib")] if bucket else [F.lit(0).alias("_ib")]))
+    p = p.withColumn("_pb", bucket(F.col(at[0])) if bucket else F.lit(0))
+    t = F.struct(*[F.col(c).alias(x) for c, x in zip(at, lo)])
+    u = F.struct(*[F.col(c).alias(x) for c, x in zip(at, hi)])
+    j = p.join(i, (F.col(key) == F.col("_key")) & (F.col("_pb") == F.col("_ib")) & (t >= F.col("_lo")) & (u <= F.col("_hi")))
+    return j.groupBy(point_id).agg(F.min("_o").alias("first"))
 
 
-def overlaps(spans: DataFrame, key: str, span_id: str, start: str, end: str) -> DataFrame:
-    """Pairs of spans of one block that overlap, the lesser id first."""
-    a, b = (spans.select(key, F.col(span_id).alias(f"id_{x}"), F.col(start).alias(f"s_{x}"), F.col(end).alias(f"e_{x}")) for x in "ab")
-    return a.join(b, key).where("id_a < id_b AND s_a < e_b AND s_b < e_a").select(key, "id_a", "id_b")
+def overlaps(spans: DataFrame, key: str, span_id: str, start: str, end: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pairs of spans of one block that overlap, the lesser id first.
+
+    With ``bucket`` (see interval_lookup; of [start, end]) spans meet in the buckets they both reach into, and a pair is
+    taken from the first of these only, so a hot block is spread and nothing is paired twice.
+    """
+    rows = spans.select(key, F.col(span_id).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"))
+    rows = rows.withColumn("_first", bucket(F.col("s")) if bucket else F.lit(0))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.col("_first"), F.greatest("_first", bucket(F.col("e"))))) if bucket else F.lit(0))
+    a, b = (rows.select(key, "_b", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "s", "e", "_first")]) for x in "ab")
+    met = a.join(b, [key, "_b"]).where("id_a < id_b AND s_a < e_b AND s_b < e_a AND _b = greatest(_first_a, _first_b)")
+    return met.select(key, "id_a", "id_b")

@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 
 #: Rows before the first verse of a testament: a module heading and a testament heading.
 LEAD = 2
+#: Absolute indexes of one bucket of a range join.
+BUCKET = 64
 
 
-def load_canon(spark, path: str) -> DataFrame:
-    """(system, testament, book_idx, book, name, chapter, n_verses) of canon files {id, ot_books, nt_books: [{name, osis, chapters}]}."""
+def load_canon(spark, path: str, lines: bool = False) -> DataFrame:
+    """(system, testament, book_idx, book, name, chapter, n_verses) of canon files {id, ot_books, nt_books: [{name, osis, chapters}]}, one a file, or (``lines``) one a line."""
     book = "array<struct<name:string,osis:string,chapters:array<int>>>"
-    raw = spark.read.schema(f"id string, ot_books {book}, nt_books {book}").option("multiLine", "true").json(path)
+    raw = spark.read.schema(f"id string, ot_books {book}, nt_books {book}").option("multiLine", str(not lines).lower()).json(path)
     sides = [raw.select(F.col("id").alias("system"), F.lit(t).alias("testament"), F.posexplode(c).alias("book_idx", "b")) for t, c in (("OT", "ot_books"), ("NT", "nt_books"))]
     both = sides[0].unionByName(sides[1])
     return both.select("system", "testament", "book_idx", F.col("b.osis").alias("book"), F.col("b.name").alias("name"), F.posexplode("b.chapters").alias("c", "n_verses")).withColumn("chapter", F.col("c") + 1).drop("c")
 
 
+def resolve_canon(canon: DataFrame, name: str, aliases: dict[str, str] | None = None, fallback: str | None = None) -> tuple[DataFrame, str]:
+    """The rows of the system ``name`` (whatever its case, or one of its ``aliases``), those of ``fallback`` if it has none, and the system taken."""
+    wanted = {k.lower(): v for k, v in (aliases or {}).items()}.get(name.lower(), name)
+    known = {r.system.lower(): r.system for r in canon.select("system").distinct().collect() if r.system}  # a handful of systems
+    for n in (wanted, fallback):
+        if n and n.lower() in known:
+            return canon.where(F.col("system") == known[n.lower()]), known[n.lower()]
+    raise ValueError(f"no numbering system {name}")
+
+
 def canon_totals(canon: DataFrame) -> DataFrame:
     """Chapters and verses per system, testament and book, with subtotals."""
     return canon.rollup("system", "testament", "book").agg(F.count("*").alias("n_chapters"), F.sum("n_verses").alias("n_verses"))
@@ -39,10 +51,13 @@ def verse_index(canon: DataFrame, part: list[str]) -> DataFrame:
 
 
 def index_to_ref(indexes: DataFrame, starts: DataFrame, part: list[str], idx: str = "idx") -> DataFrame:
-    """(…, book_idx, chapter, verse) of absolute indexes: a range join on [start, start + n_verses) within a part."""
-    x, s = indexes.alias("x"), starts.alias("s")
-    on = [F.col(f"x.{p}") == F.col(f"s.{p}") for p in part] + [F.col(f"x.{idx}") >= F.col("s.start"), F.col(f"x.{idx}") < F.col("s.start") + F.col("s.n_verses")]
-    return x.join(s, on).select("x.*", "s.book_idx", "s.chapter", (F.col(f"x.{idx}") - F.col("s.start") + 1).alias("verse"))
+    """(…, book_idx, chapter, verse) of absolute indexes within a part: a join on the part and on the BUCKET of indexes, to which
+    each chapter is added once for every bucket it reaches into, so that an index meets a bucket's chapters only."""
+    x = indexes.withColumn("_bucket", F.floor(F.col(idx) / BUCKET))
+    s = starts.where("n_verses > 0").withColumn("_end", F.col("start") + F.col("n_verses"))
+    s = s.select(*part, "book_idx", "chapter", "start", "_end", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("_end") - 1) / BUCKET))).alias("_bucket"))
+    met = x.join(s, [*part, "_bucket"]).where((F.col(idx) >= F.col("start")) & (F.col(idx) < F.col("_end")))
+    return met.select(*indexes.columns, "book_idx", "chapter", (F.col(idx) - F.col("start") + 1).alias("verse"))
 
 
 def map_refs(refs: DataFrame, mappings: DataFrame, keys: list[str], to: list[str], order: list[str]) -> DataFrame:
@@ -82,6 +97,39 @@ def greek_psalm(chapter, verse):
     return F.struct(to_c.cast("int").alias("chapter"), to_v.cast("int").alias("verse"), kind.alias("kind"))
 
 
+def hebrew_psalm(chapter, verse):
+    """(chapter, verse, kind) of a Greek-numbered psalm in the Hebrew numbering: the inverse of greek_psalm within the psalms' lengths."""
+    c, v = chapter, verse
+    to_c = F.when(c <= 8, c).when((c == 9) & (v <= 21), c).when(c == 9, F.lit(10)).when(c.between(10, 112), c + 1).when((c == 113) & (v <= 8), F.lit(114)).when(c == 113, F.lit(115)).when(c.isin(114, 115), F.lit(116)).when(c.between(116, 145), c + 1).when(c.isin(146, 147), F.lit(147)).otherwise(c)
+    to_v = F.when((c == 9) & (v > 21), v - 21).when((c == 113) & (v > 8), v - 8).when(c == 115, v + 9).when(c == 147, v + 11).otherwise(v)
+    kind = F.when(c.isin(9, 113), "split").when(c.isin(114, 115, 146, 147), "merge").when((c <= 8) | (c >= 148), "direct").otherwise("renumber")
+    return F.struct(to_c.cast("int").alias("chapter"), to_v.cast("int").alias("verse"), kind.alias("kind"))
+
+
+def split_refs(refs: DataFrame, mappings: DataFrame, keys: list[str], targets: str, itself: str) -> DataFrame:
+    """``refs`` with one row per ``target`` of their mapping (an array column); without one, or with an empty one, the column ``itself`` is the target."""
+    joined = refs.join(mappings.select(*keys, targets), keys, "left")
+    return joined.withColumn("target", F.explode(F.when(F.size(targets) > 0, F.col(targets)).otherwise(F.array(itself)))).drop(targets)
+
+
+def merge_refs(refs: DataFrame, key: list[str], order: str, ref: list[str]) -> DataFrame:
+    """References merged into one per ``key``: the first by ``order``."""
+    return refs.groupBy(*key).agg(F.min_by(F.struct(*ref), order).alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in ref])
+
+
+def map_between(refs: DataFrame, tables: list[tuple[str, str, DataFrame]], source: str, target: str, keys: list[str], to: list[str]) -> tuple[DataFrame, str]:
+    """References of system ``source`` in ``target``, and how they came there: by the ``direct`` table, ``chained`` over one system
+    between, or as they are (``identity``). ``tables`` are (from, to, mappings); of several chains the first by name is taken."""
+    by = {(a, b): m for a, b, m in tables}
+    if source == target:
+        return map_refs(refs, next(iter(by.values())).limit(0), keys, to, to), "identity"
+    if (source, target) in by:
+        return map_refs(refs, by[source, target], keys, to, to), "direct"
+    for mid in sorted({b for a, b in by if a == source and (b, target) in by}):
+        return map_refs(refs, chain_mappings(by[source, mid], by[mid, target], keys, to), keys, to, to), "chained"
+    return map_refs(refs, next(iter(by.values())).limit(0), keys, to, to), "identity"
+
+
 def canon_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Chapters where two systems (book, chapter, n_verses) differ."""
     j = a.alias("a").join(b.alias("b"), ["book", "chapter"], "full_outer")

@@ -40,22 +40,54 @@ def same_key(a: Column, b: str) -> Column:
 
 
 def like(c: Column, pattern: str) -> Column:
-    """LIKE without regard to case; % and _ are wild."""
-    return c.ilike(pattern)
+    """LIKE without regard to the case of ASCII letters, as SQLite has it; % and _ are wild."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(c, upper, lower).like(pattern.translate(str.maketrans(upper, lower)))
 
 
-def facet_filter(df: DataFrame, **wanted: str) -> DataFrame:
-    """Rows with every facet value wanted; 'all' and '' are wild. Array columns match if they contain the value."""
+def facet_condition(df: DataFrame, wanted: dict[str, str]) -> Column:
+    """Every facet value wanted; 'all' and '' are wild. Array columns match if they contain the value."""
+    out = F.lit(True)
     for k, v in wanted.items():
         if v not in ("all", ""):
-            df = df.where(F.array_contains(k, v) if dict(df.dtypes)[k].startswith("array") else F.col(k) == v)
-    return df
+            out = out & (F.array_contains(k, v) if dict(df.dtypes)[k].startswith("array") else F.col(k) == v)
+    return out
+
+
+def facet_filter(df: DataFrame, **wanted: str) -> DataFrame:
+    return df.where(facet_condition(df, wanted))
+
+
+def catalogue_condition(df: DataFrame, term: str, fields: list[str], wanted: dict[str, str]) -> Column:
+    """Facets and a term contained in the joined fields, whatever the case."""
+    facets = facet_condition(df, wanted)
+    return facets & F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(term.lower())) if term else facets
 
 
 def catalogue_filter(df: DataFrame, term: str, fields: list[str], **wanted: str) -> DataFrame:
-    """Facets and a term contained in the joined fields, whatever the case; with the number of rows shown and of all."""
-    found = facet_filter(df, **wanted)
-    return found.where(F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(term.lower()))) if term else found
+    """The rows shown; catalogue_counts() tells how many there are of how many."""
+    return df.where(catalogue_condition(df, term, fields, wanted))
+
+
+def catalogue_counts(df: DataFrame, term: str, fields: list[str], **wanted: str) -> DataFrame:
+    """(n_shown, n_all) in one pass."""
+    return df.agg(F.count(F.when(catalogue_condition(df, term, fields, wanted), 1)).alias("n_shown"), F.count("*").alias("n_all"))
+
+
+def key_contains(df: DataFrame, key: str, term: str) -> DataFrame:
+    """Rows of a lexicon or tree whose key contains the term, whatever the case; an empty term matches all."""
+    return df.where(F.contains(F.lower(key), F.lit(term.lower())))
+
+
+def limited_hits(parts: dict[str, DataFrame], limit: int) -> DataFrame:
+    """(corpus, id, n_total): the first ``limit`` hits over several corpora ({name: hits (id)}), corpora in the order given, and the
+    exact number of all. Each corpus gives at most ``limit`` rows to the final top-k; totals are counted apart."""
+    hits = [df.select(F.lit(n).alias("corpus"), F.lit(i).alias("_c"), F.col("id").cast("string").alias("id"), F.col("id").alias("_o")).orderBy("_o").limit(limit).drop("_o") for i, (n, df) in enumerate(parts.items())]
+    total = sum(df.count() for df in parts.values())
+    out = hits[0]
+    for h in hits[1:]:
+        out = out.unionByName(h)
+    return out.orderBy("_c", F.length("id"), "id").limit(limit).select("corpus", "id", F.lit(total).alias("n_total"))
 
 
 def facet_values(df: DataFrame, column: str) -> DataFrame:
@@ -63,8 +95,9 @@ def facet_values(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
-def letter_index(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.length(column) > 0).select(F.upper(F.substring(column, 1, 1)).alias("letter")).distinct()
+def letter_index(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """First letters in upper case, per value of ``by``."""
+    return df.where(F.length(column) > 0).select(*(by or []), F.upper(F.substring(column, 1, 1)).alias("letter")).distinct()
 
 
 def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:

@@ -257,7 +257,7 @@ def ir_groups(df: DataFrame, rec_id: str = "raw_id", payload: str = "payload") -
 
 
 def ir_tables(df: DataFrame, rec_id: str = "raw_id", payload: str = "payload") -> dict[str, DataFrame]:
-    """documents, content_blocks, spans, annotations and rejects of IR payloads, each with the keys of its parents.
+    """documents, content_blocks, tokens, anchors, spans, annotations and rejects of IR payloads, each with the keys of its parents.
 
     A span belongs to the block whose position its path goes through; annotations may stand at the root or below a block.
     """
@@ -274,7 +274,10 @@ def ir_tables(df: DataFrame, rec_id: str = "raw_id", payload: str = "payload") -
     spans = spans.select("rec_id", level("content_blocks").alias("block_no"), level("anchors").alias("anchor_no"), level("spans").alias("span_no"), "span_id", "type", "start_anchor_id", "osis_id")
     notes = table("annotations", {"annotation_id": ["id"], "span_id": ["span_id"], "type": ["type"], "source": ["source"]})
     notes = notes.select("rec_id", level("content_blocks").alias("block_no"), level("annotations").alias("note_no"), "annotation_id", "span_id", "type", "source")
-    return {"documents": docs, "content_blocks": blocks, "spans": spans, "annotations": notes, "rejects": rejects(shredded)}
+    tokens = table("tokens", {"token_id": ["id"], "text": ["text"], "type": ["type"]}).select("rec_id", level("content_blocks").alias("block_no"), level("tokens").alias("token_no"), "token_id", "text", "type")
+    anchors = table("anchors", {"anchor_id": ["id"], "char_offset": ["char_offset"], "content_block_id": ["content_block_id"]})
+    anchors = anchors.select("rec_id", level("content_blocks").alias("block_no"), level("anchors").alias("anchor_no"), "anchor_id", F.col("char_offset").try_cast("int").alias("char_offset"), "content_block_id")
+    return {"documents": docs, "tokens": tokens, "anchors": anchors, "content_blocks": blocks, "spans": spans, "annotations": notes, "rejects": rejects(shredded)}
 
 
 def nested_nodes(df: DataFrame, rec_id: str = "raw_id", payload: str = "payload") -> DataFrame:

@@ -23,3 +23,8 @@ def token_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def word_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(*keys, word, n): words of the reader's tokenizer in lower case, counted per key with partial sums before the shuffle."""
     return df.select(*keys, F.explode(plain_words(F.lower(text))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+
+
+def words_to_text(words: DataFrame, keys: list[str], word: str, order: str) -> DataFrame:
+    """(*keys, text): the words of each key in their order, a space between."""
+    return words.groupBy(*keys).agg(F.expr(f"listagg({word}, ' ') WITHIN GROUP (ORDER BY {order})").alias("text"))

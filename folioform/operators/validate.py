@@ -97,10 +97,42 @@ def hash_check(actual: DataFrame, golden: DataFrame, key: str, digest: str) -> D
     return j.select(key, F.when(F.col("_g").isNull(), "new").when(F.col("_a").isNull(), "missing").when(F.col("_a") == F.col("_g"), "pass").otherwise("fail").alias("status"))
 
 
+def bytes_equal(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of files (name, content) hold the same bytes under the same names."""
+    digests = [x.select("name", F.sha2("content", 256).alias("digest")) for x in (a, b)]
+    return same_rows(*digests)
+
+
+def transcripts_equal(a: DataFrame, b: DataFrame, order: str = "seq") -> bool:
+    """Whether two transcripts have the same events at the same positions, whatever their times. Rows are compared by position, not gathered."""
+    cols = [c for c in a.columns if c not in ("t_wall", "started_at", "finished_at")]
+    return sorted(a.columns) == sorted(b.columns) and same_rows(a.select(order, *[c for c in cols if c != order]), b.select(order, *[c for c in cols if c != order]))
+
+
+def fidelity(ir: DataFrame, max_class: str, lost: DataFrame | None = None, max_lost: int = 0, allowed: list[str] | None = None) -> bool:
+    """Whether the loss class of every corpus of ``ir`` (corpus_id, loss_class; null counts as L0) is at most ``max_class``, and, with
+    ``lost`` (corpus_id, element_type), its lost elements keep the budget: no more than ``max_lost`` (0: any number) of types not allowed."""
+    reports = ir.select("corpus_id", F.coalesce("loss_class", F.lit("L0")).alias("loss_class")).distinct()
+    if lost is None:
+        return reports.where(loss_level(F.col("loss_class")) > int(max_class[1:])).isEmpty()
+    return within_budget(reports, lost, "corpus_id", max_class, max_lost, allowed or []).where("NOT passed").isEmpty()
+
+
+#: Checks by type: each takes the tables and the check, and tells whether it holds.
+CHECKS = {
+    "BYTE_EQUAL": lambda t, c: bytes_equal(t[c["a"]], t[c["b"]]),
+    "TRANSCRIPT_EQUAL": lambda t, c: transcripts_equal(t[c["a"]], t[c["b"]], c.get("order", "seq")),
+    "IR_STRUCTURE_EQUAL": lambda t, c: same_rows(t[c["a"]], t[c["b"]]),
+    "IR_ROUNDTRIP": lambda t, c: same_rows(t[c["a"]], t[c["b"]]),
+    "IR_FIDELITY": lambda t, c: fidelity(t[c["ir"]], c.get("max_loss_class", "L0"), t.get(c.get("lost", "")), c.get("max_lost", 0), c.get("allowed")),
+}
+
+
 def run_plan(plan: dict, tables: dict[str, DataFrame], steps: dict) -> tuple[bool, list[dict]]:
-    """Run a self-check plan {steps: [{type, output, ...}], checks: [{type, a, b}]}; steps {type: function(tables, step) -> table}.
+    """Run a self-check plan {steps: [{type, output, ...}], checks: [{type, ...}]}; steps {type: function(tables, step) -> table}.
 
-    A step that raises ends the plan as failed. Returns whether all checks passed, and a report row per step or check.
+    A step that raises ends the plan as failed, and so does one of an unknown type. A check of an unknown type, or one that
+    names a table that is not there, fails. Returns whether all checks passed, and a report row per step or check.
     """
     tables, report = dict(tables), []
     for s in plan.get("steps", []):
@@ -110,6 +142,9 @@ def run_plan(plan: dict, tables: dict[str, DataFrame], steps: dict) -> tuple[boo
         except Exception as e:
             return False, [*report, {"kind": "step", "type": s["type"], "status": f"fail: {e}"}]
     for c in plan.get("checks", []):
-        ok = same_rows(tables[c["a"]], tables[c["b"]])
-        report.append({"kind": "check", "type": c["type"], "status": "pass" if ok else "fail"})
+        try:
+            status = "pass" if CHECKS[c["type"]](tables, c) else "fail"
+        except KeyError as e:
+            status = f"fail: {e.args[0]} is not known"
+        report.append({"kind": "check", "type": c["type"], "status": status})
     return all(r["status"] == "pass" for r in report), report

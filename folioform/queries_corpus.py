@@ -12,6 +12,7 @@ from folioform.operators import align, canon, search, tokens, validate
 from folioform.schema import BOOKS
 from folioform.session import broadcast_if_small
 from folioform.session import read_table as rd
+from folioform.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,9 +105,9 @@ def facet_union(s, d):
     return a.union(b).distinct()
 
 
-@q("SELECT DISTINCT upper(substr(title, 1, 1)) AS letter FROM documents WHERE length(title) > 0 AND module_type = 'DICTIONARY'")
+@q("SELECT DISTINCT module_type, upper(substr(title, 1, 1)) AS letter FROM documents WHERE length(title) > 0")
 def letter_index(s, d):
-    return search.letter_index(rd(s, d, "documents").where("module_type = 'DICTIONARY'"), "title")
+    return search.letter_index(rd(s, d, "documents"), "title", ["module_type"])
 
 
 @q("WITH n AS (SELECT ceil(count(*) / 11.0)::INT AS pages FROM part) SELECT p_partkey, p_name, least(3, pages) AS page_no, pages AS n_pages FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS rn FROM part), n WHERE rn BETWEEN (least(3, pages) - 1) * 11 + 1 AND least(3, pages) * 11")
@@ -114,10 +115,9 @@ def page_slice(s, d):
     return search.page(rd(s, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], 3, 11)
 
 
-@q("SELECT count(*) FILTER (WHERE strlen(trim(text, e' \\t\\n\\r')) < 5) AS n_short, count(*) AS n FROM blocks WHERE text IS NOT NULL AND NOT regexp_matches(text, '^[A-Za-z0-9 ]+ \\d+:\\d+:?$')")
+@q("SELECT count(*) FILTER (WHERE strlen(trim(text, e' \\t\\n\\r')) < 5 OR regexp_matches(trim(text, e' \\t\\n\\r'), '^(?:[1-4]\\s+|I{1,3}V?\\s+)?[A-Za-z]+(?:\\s+(?:of\\s+)?[A-Za-z]+)*\\s+\\d+:\\d+:?$')) AS n_short, count(*) AS n FROM blocks WHERE text IS NOT NULL")
 def placeholder_filter(s, d):
-    b = rd(s, d, "blocks").where("text IS NOT NULL").where(~F.col("text").rlike(r"^[A-Za-z0-9 ]+ \d+:\d+:?$"))
-    return b.agg(F.count(F.when(text.is_placeholder("text"), 1)).alias("n_short"), F.count("*").alias("n"))
+    return rd(s, d, "blocks").where("text IS NOT NULL").agg(F.count(F.when(text.is_placeholder("text"), 1)).alias("n_short"), F.count("*").alias("n"))
 
 
 @q("SELECT lang, count(*) AS n FROM documents WHERE contains(text, '<') AND trim(regexp_replace(text, '<[^>]*>?', '', 'g'), e' \\t\\n\\r') <> '' GROUP BY lang")
@@ -161,9 +161,13 @@ def validate_refs(s, d):
 
 
 @q("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text, e' \\t\\n\\r') = '' THEN 'loss' WHEN trim(replace(regexp_replace(text, '<[^>]*>?', '', 'g'), '>', ''), e' \\t\\n\\r') <> '' THEN 'parse_error'
-WHEN contains(text, '<chapter') THEN 'chapter' ELSE 'markup_only' END AS kind FROM documents) GROUP BY kind""")
+WHEN contains(text, '<chapter') THEN 'chapter' WHEN regexp_matches(text, '<div[^>]*type="book"') THEN 'book' WHEN regexp_matches(text, '<div[^>]*type="(section|subSection|majorSection)"') THEN 'section'
+WHEN regexp_matches(text, '<(milestone|lb|pb|verse)') THEN 'milestone' ELSE 'markup_only' END AS kind FROM (SELECT text FROM documents UNION ALL SELECT regexp_extract(text, '<[a-z]+ [^>]*>') FROM documents)) GROUP BY kind""")
 def empty_text_class(s, d):
-    return rd(s, d, "documents").select(text.empty_kind("text").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Kinds of whole texts and of the first tag with attributes of each."""
+    t = rd(s, d, "documents").select("text")
+    both = t.unionByName(t.select(F.regexp_extract("text", "<[a-z]+ [^>]*>", 0).alias("text")))
+    return both.select(text.empty_kind("text").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # ---- joins ---------------------------------------------------------------------------------------------------------------
@@ -214,19 +218,35 @@ def wildcard_rule_map(s, d):
     return canon.rule_map(v, [(1, 0, 5, 5), (0, 2, 7, 7), (1, 2, 9, 9)], ["chapter", "verse"], ["tc", "tv"])
 
 
-@q("""SELECT c::INT AS chapter, v::INT AS verse, (CASE WHEN c <= 9 THEN c WHEN c = 10 THEN 9 WHEN c <= 113 THEN c - 1 WHEN c IN (114, 115) THEN 113 WHEN c = 116 AND v <= 9 THEN 114 WHEN c = 116 THEN 115 WHEN c <= 146 THEN c - 1 WHEN c = 147 AND v <= 11 THEN 146 ELSE c END)::INT AS to_chapter,
+_PSALM = """(CASE WHEN c <= 9 THEN c WHEN c = 10 THEN 9 WHEN c <= 113 THEN c - 1 WHEN c IN (114, 115) THEN 113 WHEN c = 116 AND v <= 9 THEN 114 WHEN c = 116 THEN 115 WHEN c <= 146 THEN c - 1 WHEN c = 147 AND v <= 11 THEN 146 ELSE c END)::INT AS to_chapter,
 (CASE WHEN c = 10 THEN v + 21 WHEN c = 115 THEN v + 8 WHEN c = 116 AND v > 9 THEN v - 9 WHEN c = 147 AND v > 11 THEN v - 11 ELSE v END)::INT AS to_verse,
-CASE WHEN c IN (10, 115) THEN 'merge' WHEN c IN (116, 147) THEN 'split' WHEN c <= 9 OR c >= 148 THEN 'direct' ELSE 'renumber' END AS kind FROM generate_series(1, 150) a(c), generate_series(1, 20) b(v)""")
+CASE WHEN c IN (10, 115) THEN 'merge' WHEN c IN (116, 147) THEN 'split' WHEN c <= 9 OR c >= 148 THEN 'direct' ELSE 'renumber' END AS kind"""
+
+
+@q(f"SELECT row_id, {_PSALM} FROM (SELECT row_id, chapter AS c, verse AS v FROM esword_bible WHERE chapter IS NOT NULL)")
 def psalm_renumber(s, d):
-    grid = s.range(1, 151).select(F.col("id").cast("int").alias("chapter"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("verse"))
+    """Every row's chapter and verse read as those of a psalm."""
     p = canon.greek_psalm(F.col("chapter"), F.col("verse"))
-    return grid.select("chapter", "verse", p["chapter"].alias("to_chapter"), p["verse"].alias("to_verse"), p["kind"].alias("kind"))
+    return rd(s, d, "esword_bible").where("chapter IS NOT NULL").select("row_id", p["chapter"].alias("to_chapter"), p["verse"].alias("to_verse"), p["kind"].alias("kind"))
+
 
+@q(f"""WITH f AS (SELECT c, v, {_PSALM} FROM (SELECT DISTINCT chapter AS c, verse AS v FROM esword_bible WHERE chapter BETWEEN 1 AND 150 AND verse > 0))
+SELECT to_chapter AS chapter, to_verse AS verse, c AS back_chapter, v AS back_verse FROM f WHERE NOT (c = 9 AND v > 21 OR c IN (113, 114) AND v > 8 OR c = 116 AND FALSE OR to_chapter = 147 AND c = 147 AND v <= 11 OR to_chapter = 146 AND v > 11)""")
+def psalm_inverse(s, d):
+    """Greek numbers of every psalm verse, and the Hebrew ones they come from; verses beyond a psalm's length are left out."""
+    g = rd(s, d, "esword_bible").where("chapter BETWEEN 1 AND 150 AND verse > 0").select("chapter", "verse").distinct()
+    there = canon.greek_psalm(F.col("chapter"), F.col("verse"))
+    t = g.select(F.col("chapter").alias("c"), F.col("verse").alias("v"), there["chapter"].alias("chapter"), there["verse"].alias("verse"))
+    t = t.where(~((F.col("c") == 9) & (F.col("v") > 21) | F.col("c").isin(113, 114) & (F.col("v") > 8) | (F.col("chapter") == 146) & (F.col("v") > 11)))
+    back = canon.hebrew_psalm(F.col("chapter"), F.col("verse"))
+    return t.select("chapter", "verse", back["chapter"].alias("back_chapter"), back["verse"].alias("back_verse"))
 
-@q("SELECT ref, unnest(targets) AS target FROM (VALUES ('Keth.1.1', ['Keth.1.1', 'Keth.1.2']), ('Vosh.2.3', ['Vosh.2.4']))x(ref, targets)")
+
+@q("""WITH m AS (SELECT * FROM (VALUES ('Keth', 1, ['Keth.1.1', 'Keth.1.2']), ('Vosh', 2, ['Vosh.2.4']), ('Melq', 3, [])) x(book, chapter, targets))
+SELECT v.verse_uid, unnest(CASE WHEN len(m.targets) > 0 THEN m.targets ELSE [v.id] END) AS target FROM verses v LEFT JOIN m ON m.book = v.book AND m.chapter = v.chapter""")
 def split_map_explode(s, d):
-    m = s.createDataFrame([("Keth.1.1", ["Keth.1.1", "Keth.1.2"]), ("Vosh.2.3", ["Vosh.2.4"])], "ref string, targets array<string>")
-    return m.select("ref", F.explode("targets").alias("target"))
+    m = s.createDataFrame([("Keth", 1, ["Keth.1.1", "Keth.1.2"]), ("Vosh", 2, ["Vosh.2.4"]), ("Melq", 3, [])], "book string, chapter int, targets array<string>")
+    return canon.split_refs(rd(s, d, "verses").select("verse_uid", "book", "chapter", "id"), m, ["book", "chapter"], "targets", "id").select("verse_uid", "target")
 
 
 _CANON = "SELECT module_id, book AS book_idx, chapter, max(verse) AS n_verses FROM esword_bible WHERE chapter IS NOT NULL GROUP BY ALL"
@@ -252,12 +272,13 @@ def verse_index_inverse(s, d):
     return canon.index_to_ref(idx, st, ["module_id"]).select("row_id", "idx", "book_idx", "chapter", "verse")
 
 
-@q("""WITH n AS (SELECT module_id, book, chapter, max(verse) AS n_verses FROM esword_bible WHERE chapter IS NOT NULL AND book = 1 GROUP BY ALL), g AS (SELECT module_id, chapter, unnest(generate_series(1, n_verses)) AS verse FROM n WHERE n_verses > 0)
-SELECT g.module_id, g.chapter, count(*) AS n_missing FROM g LEFT JOIN esword_bible e ON e.book = 1 AND e.module_id = g.module_id AND e.chapter = g.chapter AND e.verse = g.verse WHERE e.row_id IS NULL GROUP BY ALL""")
+@q("""WITH n AS (SELECT module_id, book, chapter, max(verse) AS n_verses FROM esword_bible WHERE book IS NOT NULL AND chapter IS NOT NULL GROUP BY ALL), g AS (SELECT module_id, book, chapter, unnest(generate_series(1, n_verses)) AS verse FROM n WHERE n_verses > 0)
+SELECT g.module_id, g.book, g.chapter, count(*) AS n_missing FROM g LEFT JOIN esword_bible e ON e.book = g.book AND e.module_id = g.module_id AND e.chapter = g.chapter AND e.verse = g.verse WHERE e.row_id IS NULL GROUP BY ALL""")
 def canon_missing_verses(s, d):
-    e = rd(s, d, "esword_bible").where("book = 1 AND chapter IS NOT NULL")
-    grid = canon.expand_canon(e.groupBy("module_id", "chapter").agg(F.max("verse").alias("n_verses")))
-    return grid.join(e.select("module_id", "chapter", "verse"), ["module_id", "chapter", "verse"], "left_anti").groupBy("module_id", "chapter").agg(F.count("*").alias("n_missing"))
+    keys = ["module_id", "book", "chapter"]
+    e = rd(s, d, "esword_bible").where("book IS NOT NULL AND chapter IS NOT NULL")
+    grid = canon.expand_canon(e.groupBy(*keys).agg(F.max("verse").alias("n_verses")))
+    return grid.join(e.select(*keys, "verse"), [*keys, "verse"], "left_anti").groupBy(*keys).agg(F.count("*").alias("n_missing"))
 
 
 @q("""WITH i AS (SELECT user_id AS k, event_id AS id, ts AS lo, ts + INTERVAL 1 DAY AS hi FROM events WHERE event_type = 'signup')
@@ -265,13 +286,13 @@ SELECT e.event_id, min(i.id) AS first_id FROM events e JOIN i ON e.user_id = i.k
 def interval_lookup(s, d):
     e = rd(s, d, "events").select("event_id", F.col("user_id").alias("k"), "ts", "event_type")
     i = e.where("event_type = 'signup'").select("k", F.col("event_id").alias("id"), F.col("ts").alias("lo"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("hi"))
-    return align.interval_lookup(e, "event_id", i, "k", ["ts"], ["lo"], ["hi"], ["id"]).select("event_id", F.col("first.id").alias("first_id"))
+    return align.interval_lookup(e, "event_id", i, "k", ["ts"], ["lo"], ["hi"], ["id"], lambda c: F.unix_date(c.cast("date"))).select("event_id", F.col("first.id").alias("first_id"))
 
 
-@q("WITH s AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) AS a, min(l_quantity) + 5 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY ALL) SELECT x.k, x.id AS id_a, y.id AS id_b FROM s x JOIN s y ON x.k = y.k AND x.id < y.id AND x.a < y.b AND y.a < x.b")
+@q("WITH s AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) AS a, min(l_quantity) + 5 AS b FROM lineitem GROUP BY ALL) SELECT x.k, x.id AS id_a, y.id AS id_b FROM s x JOIN s y ON x.k = y.k AND x.id < y.id AND x.a < y.b AND y.a < x.b")
 def span_overlap(s, d):
-    li = rd(s, d, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F'").groupBy(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_quantity").alias("a"), (F.min("l_quantity") + 5).alias("b"))
-    return align.overlaps(li, "k", "id", "a", "b")
+    li = rd(s, d, "lineitem").groupBy(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_quantity").alias("a"), (F.min("l_quantity") + 5).alias("b"))
+    return align.overlaps(li, "k", "id", "a", "b", lambda c: F.floor(c / 8))
 
 
 _LANGS = ["de", "en", "fr"]
@@ -282,11 +303,10 @@ def parallel_align(s, d):
     return align.parallel(rd(s, d, "blocks").select(F.col("doc_id").alias("book"), F.col("seq").alias("verse"), "lang", "text"), ["book", "verse"], "lang", "text", _LANGS)
 
 
-@q("""WITH w AS (SELECT DISTINCT book, module_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM verses WHERE chapter = 1)
+@q("""WITH w AS (SELECT DISTINCT book, module_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM verses)
 SELECT book, word, min(module_id) AS module_id FROM w WHERE length(word) > 2 GROUP BY book, word HAVING count(*) = 1""")
 def unique_words_per_side(s, d):
-    v = rd(s, d, "verses").where("chapter = 1")
-    return align.unique_words(v, ["book"], "module_id", F.split(F.lower("text"), r"\s+"))
+    return align.unique_words(rd(s, d, "verses"), ["book"], "module_id", F.split(F.lower("text"), r"\s+"))
 
 
 @q("SELECT verse_uid, regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi') AS marked FROM verses")
@@ -321,11 +341,12 @@ def bag_similarity(s, d):
     return align.bag_similarity(_ir_pairs(s, d), ["id_a", "id_b"], words("ta"), words("tb"))
 
 
-@q("""WITH a AS (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events WHERE user_id = 1), b AS (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events WHERE user_id = 2)
-SELECT coalesce(a.pos, b.pos)::INT AS pos, coalesce(a.event_type, '') AS value_a, coalesce(b.event_type, '') AS value_b FROM a FULL JOIN b ON a.pos = b.pos WHERE a.event_type IS DISTINCT FROM b.event_type""")
+@q("""WITH e AS (SELECT user_id // 2 AS pair, user_id % 2 AS side, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), a AS (SELECT * FROM e WHERE side = 0), b AS (SELECT * FROM e WHERE side = 1)
+SELECT coalesce(a.pair, b.pair)::BIGINT AS pair, coalesce(a.pos, b.pos)::INT AS pos, coalesce(a.event_type, '') AS value_a, coalesce(b.event_type, '') AS value_b FROM a FULL JOIN b ON a.pair = b.pair AND a.pos = b.pos WHERE a.event_type IS DISTINCT FROM b.event_type""")
 def event_log_diff(s, d):
-    e = rd(s, d, "events")
-    return align.positional_diff(e.where("user_id = 1"), e.where("user_id = 2"), ["ts", "event_id"], "event_type")
+    """The logs of every even user and the next one."""
+    e = rd(s, d, "events").withColumn("pair", F.floor(F.col("user_id") / 2))
+    return align.positional_diff(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1"), ["ts", "event_id"], "event_type", ["pair"])
 
 
 @q("""SELECT r.run_uid, CASE WHEN b.sha256 IS NULL THEN 'new' WHEN r.transcript_blob_sha256 = b.sha256 THEN 'pass' ELSE 'fail' END AS status FROM runs r LEFT JOIN (SELECT DISTINCT sha256 FROM blobs) b ON r.transcript_blob_sha256 = b.sha256""")
@@ -335,9 +356,14 @@ def golden_check(s, d):
     return r.join(g, r.transcript_blob_sha256 == g.sha256, "left").select("run_uid", F.when(g.sha256.isNull(), "new").otherwise("pass").alias("status"))
 
 
-@q("SELECT n_regionkey AS source_ref, count(*) AS n_refs, min(n_nationkey) AS first_target FROM nation GROUP BY ALL")
+_XREFS = "SELECT osis_ref AS source_ref, replace(title, ' ', '.') AS target_ref, doc_id FROM documents WHERE osis_ref IS NOT NULL AND title IS NOT NULL"
+
+
+@q(f"SELECT side, ref, count(*) AS n_refs, min(doc_id) AS first_id FROM (SELECT 'source' AS side, source_ref AS ref, doc_id FROM ({_XREFS}) UNION ALL SELECT 'target', target_ref, doc_id FROM ({_XREFS})) GROUP BY ALL")
 def crossref_index(s, d):
-    return rd(s, d, "nation").groupBy(F.col("n_regionkey").alias("source_ref")).agg(F.count("*").alias("n_refs"), F.min("n_nationkey").alias("first_target"))
+    """Documents as cross references from their reference to their title's place, indexed by source and by target."""
+    x = rd(s, d, "documents").where("osis_ref IS NOT NULL AND title IS NOT NULL").select(F.col("osis_ref").alias("source_ref"), F.replace("title", F.lit(" "), F.lit(".")).alias("target_ref"), "doc_id")
+    return refs.crossref_index(x, "source_ref", "target_ref").groupBy("side", "ref").agg(F.count("*").alias("n_refs"), F.min("doc_id").alias("first_id"))
 
 
 # ---- aggregations --------------------------------------------------------------------------------------------------------
@@ -364,11 +390,11 @@ def token_counts(s, d):
     return rd(s, d, "documents").where("text IS NOT NULL").groupBy("lang").agg(F.sum(F.size(t)).alias("n_words"))
 
 
-@q("""WITH t AS (SELECT verse_uid, regexp_extract_all(text, '[A-Za-z0-9''\\x{80}-\\x{10FFFF}]+|[ \\t\\n\\r]+|[^A-Za-z0-9''\\x{80}-\\x{10FFFF} \\t\\n\\r]+') AS ts FROM verses WHERE text IS NOT NULL AND chapter = 1),
+@q("""WITH t AS (SELECT verse_uid, regexp_extract_all(text, '[A-Za-z0-9''\\x{80}-\\x{10FFFF}]+|[ \\t\\n\\r]+|[^A-Za-z0-9''\\x{80}-\\x{10FFFF} \\t\\n\\r]+') AS ts FROM verses WHERE text IS NOT NULL),
 u AS (SELECT verse_uid, unnest(ts) AS tok, unnest(generate_series(0, len(ts) - 1)) AS idx FROM t)
 SELECT verse_uid, idx::INT AS idx, tok AS text, (sum(strlen(tok)) OVER (PARTITION BY verse_uid ORDER BY idx) - strlen(tok))::INT AS char_start FROM u""")
 def token_positions(s, d):
-    return tokens.token_rows(rd(s, d, "verses").where("text IS NOT NULL AND chapter = 1"), ["verse_uid"], "text").select("verse_uid", "idx", "text", "char_start")
+    return tokens.token_rows(rd(s, d, "verses").where("text IS NOT NULL"), ["verse_uid"], "text").select("verse_uid", "idx", "text", "char_start")
 
 
 @q("SELECT run_status, count(*) AS n, round(count(*) FILTER (WHERE run_status = 'success') / count(*), 6) AS pass_rate FROM runs GROUP BY run_status")
@@ -381,10 +407,11 @@ def all_pass(s, d):
     return rd(s, d, "runs").groupBy("engine_id").agg(F.bool_and(F.coalesce("run_status", F.lit("")) == "success").alias("all_pass"), F.count("*").alias("n"))
 
 
-@q("SELECT l_shipmode, 'L' || max(lv)::VARCHAR AS worst FROM (SELECT l_linestatus AS l_shipmode, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END AS lv FROM lineitem) GROUP BY l_shipmode")
+@q("SELECT l_linestatus AS step, 'L' || max(lv)::VARCHAR AS worst, bool_and(lv = 0) AS lossless, bool_and(lv <= 1) AS semantically_lossless FROM (SELECT l_linestatus, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END AS lv FROM lineitem) GROUP BY ALL")
 def loss_worst(s, d):
+    """Return flags read as loss classes of conversion steps."""
     c = F.when(F.col("l_returnflag") == "A", "L0").when(F.col("l_returnflag") == "N", "L2").otherwise("L4")
-    return rd(s, d, "lineitem").groupBy(F.col("l_linestatus").alias("l_shipmode")).agg(validate.worst_loss(c).alias("worst"))
+    return rd(s, d, "lineitem").groupBy(F.col("l_linestatus").alias("step")).agg(validate.worst_loss(c).alias("worst"), F.bool_and(validate.is_lossless(c)).alias("lossless"), F.bool_and(validate.is_semantically_lossless(c)).alias("semantically_lossless"))
 
 
 @q("SELECT sha256(text) AS digest, count(*) AS n, min(block_uid) AS first_uid FROM blocks WHERE text <> '' GROUP BY 1 HAVING count(*) > 1")
@@ -397,14 +424,21 @@ def strip_markup_hash(s, d):
     return rd(s, d, "documents").where("text IS NOT NULL").select("doc_id", text.content_hash(text.strip_markup("text")).alias("digest"))
 
 
-@q("SELECT doc_id, unnest(regexp_extract_all(text, 'osisID=\"([^\"]*)\"', 1)) AS osis_id FROM documents")
+_Q = "' || chr(39) || '"
+
+
+@q(f"SELECT doc_id, a AS osis_id FROM (SELECT doc_id, CASE WHEN regexp_matches(x, '\\sosisID=\"[^\"]') THEN regexp_extract(x, '\\sosisID=\"([^\"]*)\"', 1) ELSE regexp_extract(x, '\\sosisID={_Q}([^{_Q}]*){_Q}', 1) END AS a FROM (SELECT doc_id, unnest(regexp_extract_all(text, '<[^>]*>')) AS x FROM documents)) WHERE a <> ''")
 def attr_extract(s, d):
-    return rd(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('osisID="([^"]*)"'), F.lit(1))).alias("osis_id"))
+    """The reference attribute of every tag, in either kind of quotes."""
+    tags = rd(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(<[^>]*>)"), F.lit(1))).alias("tag"))
+    return tags.select("doc_id", text.attribute("tag", "osisID").alias("osis_id")).where("osis_id <> ''")
 
 
-@q("SELECT n_regionkey, string_agg(n_name, ' ' ORDER BY n_nationkey) AS words FROM nation GROUP BY n_regionkey")
+@q("SELECT verse_uid, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> ''), ' ') AS words FROM verses WHERE len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) > 0")
 def words_to_text(s, d):
-    return rd(s, d, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, ' ') WITHIN GROUP (ORDER BY n_nationkey)").alias("words"))
+    """Verses taken apart into rows of words and put together again."""
+    words = rd(s, d, "verses").select("verse_uid", F.posexplode(F.split("text", r"[ \t\n\r]+")).alias("pos", "word")).where("word <> ''")
+    return tokens.words_to_text(words, ["verse_uid"], "word", "pos").withColumnRenamed("text", "words")
 
 
 @q("""WITH v AS (SELECT module_id, book, chapter, string_agg(verse || ':' || length(text), ',' ORDER BY verse, verse_uid) AS vs FROM verses WHERE text IS NOT NULL AND book IS NOT NULL GROUP BY ALL)
@@ -529,10 +563,15 @@ def format_osis_refs(s, d):
     return x.select("doc_id", refs.format_ref(F.col("r")).alias("osis_id"))
 
 
-@q("SELECT doc_id, regexp_extract(title, '^(\\S+) (\\d+)$', 1) AS book, regexp_extract(title, '^(\\S+) (\\d+)$', 2)::INT AS chapter FROM documents WHERE regexp_matches(title, '^[1-4]?[A-Za-z]+ \\d+$')")
+_HUMAN = "'^\\s*([1-4]?\\s*\\p{L}[\\p{L}. ]*?)\\s*(\\d+)?(?:\\s*[:.]\\s*(\\d+)([a-z])?)?(?:\\s*[-–]\\s*(?:(\\d+)\\s*[:.]\\s*)?(\\d+))?\\s*$'"
+
+
+@q(f"SELECT doc_id, form, regexp_replace(regexp_extract(t, {_HUMAN}, 1), '[.\\s]+', '', 'g') AS book, nullif(regexp_extract(t, {_HUMAN}, 2), '')::INT AS chapter, nullif(regexp_extract(t, {_HUMAN}, 3), '')::INT AS verse, nullif(regexp_extract(t, {_HUMAN}, 6), '')::INT AS verse_end FROM (SELECT doc_id, unnest(['title', 'verse', 'range']) AS form, unnest([title, title || ':3', title || ':3-7']) AS t FROM documents) WHERE regexp_matches(t, {_HUMAN})")
 def parse_human_refs(s, d):
-    x = rd(s, d, "documents").where(F.col("title").rlike(r"^[1-4]?[A-Za-z]+ \d+$")).select("doc_id", refs.parse_human(F.col("title")).alias("r"))
-    return x.select("doc_id", "r.book", "r.chapter")
+    """Every title as it is, with a verse, and with a range of verses."""
+    forms = F.array(F.struct(F.lit("title").alias("form"), F.col("title").alias("t")), F.struct(F.lit("verse").alias("form"), F.concat("title", F.lit(":3")).alias("t")), F.struct(F.lit("range").alias("form"), F.concat("title", F.lit(":3-7")).alias("t")))
+    x = rd(s, d, "documents").select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.form", refs.parse_human(F.col("f.t")).alias("r")).where("r IS NOT NULL")
+    return x.select("doc_id", "form", "r.book", "r.chapter", "r.verse", "r.verse_end")
 
 
 @q("SELECT verse_uid, trim(regexp_replace(lower(regexp_replace(text, '\\p{P}', '', 'g')), '\\s+', ' ', 'g'), e' \\t\\n\\r') AS norm FROM verses")
@@ -556,21 +595,19 @@ def tag_derivation(s, d):
     return rd(s, d, "part").select("p_partkey", F.array_join(t, ",").alias("tags"))
 
 
-@q("SELECT DISTINCT plugin_id, CASE WHEN plugin_id LIKE 'format-%' THEN 'BIBLE' WHEN plugin_id LIKE 'tool-%' THEN 'COMMENTARY' ELSE 'UNKNOWN' END AS kind FROM runs")
+@q("SELECT source, CASE WHEN regexp_matches(lower(source), '^(ztext|rawtext)') THEN 'BIBLE' WHEN regexp_matches(lower(source), '^(zcom|rawcom|hrefcom|rawfiles)') THEN 'COMMENTARY' WHEN regexp_matches(lower(source), '^(zld|rawld)') THEN 'DICTIONARY' WHEN lower(source) LIKE 'rawgenbook%' THEN 'GENBOOK' ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM documents GROUP BY ALL")
 def driver_type(s, d):
-    driver = F.regexp_replace(F.regexp_replace("plugin_id", "^format-", "zText"), "^tool-", "zCom")
-    return rd(s, d, "runs").select("plugin_id", text.module_type(driver).alias("kind")).distinct()
+    return rd(s, d, "documents").groupBy("source", text.module_type("source").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@q("SELECT blob_id, CASE WHEN size_bytes >= 1024 THEN printf('%.1f', round(size_bytes / 1024.0, 1)) || ' KB' ELSE size_bytes || ' B' END AS size FROM blobs WHERE size_bytes < 1048576")
+@q("SELECT blob_id, CASE " + " ".join(f"WHEN size_bytes >= {1024**k} THEN printf('%.1f', round(size_bytes / {1024**k}.0, 1)) || ' {u}'" for k, u in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))) + " ELSE size_bytes || ' B' END AS size FROM blobs")
 def human_sizes(s, d):
-    return rd(s, d, "blobs").where("size_bytes < 1048576").select("blob_id", text.human_size("size_bytes").alias("size"))
+    return rd(s, d, "blobs").select("blob_id", text.human_size("size_bytes").alias("size"))
 
 
-@q("SELECT doc_id, CASE WHEN contains(lower(text), 'public domain') THEN 'CC-PDDC' WHEN regexp_matches(lower(text), 'gpl|gnu general public') THEN 'GPL-3.0-or-later' WHEN contains(lower(text), 'mit licen') THEN 'MIT' WHEN contains(lower(text), 'apache') THEN 'Apache-2.0' WHEN regexp_matches(lower(text), 'copyrighted|all rights reserved') THEN 'LicenseRef-Proprietary' ELSE 'NOASSERTION' END AS licence FROM documents WHERE NOT regexp_matches(lower(text), 'cc0|by-n|by-sa|cc[- ]by|lgpl|creative commons')")
+@q("SELECT doc_id, " + "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for p, n in text.LICENCES) + " ELSE 'NOASSERTION' END AS licence FROM documents")
 def licence_cascade(s, d):
-    x = rd(s, d, "documents").where(~F.lower("text").rlike("cc0|by-n|by-sa|cc[- ]by|lgpl|creative commons"))
-    return x.select("doc_id", text.spdx("text").alias("licence"))
+    return rd(s, d, "documents").select("doc_id", text.spdx("text").alias("licence"))
 
 
 @q("SELECT v.book, b.book_name, CASE WHEN b.book_order > 39 THEN 'NT' ELSE 'OT' END AS testament, count(DISTINCT v.chapter) AS n_chapters FROM verses v JOIN (SELECT id, min(book_name) AS book_name, min(book_order) AS book_order FROM books GROUP BY id) b ON b.id = v.book GROUP BY ALL")
@@ -580,12 +617,10 @@ def book_projection(s, d):
     return j.groupBy("book", "book_name", F.when(F.col("book_order") > 39, "NT").otherwise("OT").alias("testament")).agg(F.count_distinct("chapter").alias("n_chapters"))
 
 
-@q("SELECT row_id, CASE book WHEN 1 THEN 'Gen' WHEN 2 THEN 'Exod' WHEN 40 THEN 'Matt' WHEN 66 THEN 'Rev' END AS osis FROM esword_bible WHERE book IN (1, 2, 40, 66)")
+@q("SELECT row_id, CASE book " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(BOOKS, 1)) + " END AS osis FROM esword_bible")
 def book_number_lookup(s, d):
-    from folioform.schema import BOOKS
-
     table = F.create_map(*[F.lit(x) for i, b in enumerate(BOOKS, 1) for x in (i, b)])
-    return rd(s, d, "esword_bible").where(F.col("book").isin(1, 2, 40, 66)).select("row_id", table[F.col("book")].alias("osis"))
+    return rd(s, d, "esword_bible").select("row_id", table[F.col("book")].alias("osis"))
 
 
 @q("SELECT corpus_id, sha256('1' || string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT corpus_id, sha256(concat_ws(chr(31), doc_id, block_id, coalesce(seq::VARCHAR, ''), coalesce(text, 'NULL'))) AS h FROM blocks) GROUP BY corpus_id")
@@ -609,12 +644,13 @@ def queue_partition(s, d):
     return rd(s, d, "runs").groupBy("engine_id").agg(n(st == "running").alias("running"), n(st == "queued").alias("queued"), n(~st.isin("running", "queued")).alias("history"))
 
 
-@q("""WITH c AS (SELECT module_id, book, chapter AS c0, chapter + 2 AS c1, row_id FROM esword_bible WHERE verse = 1 AND book = 1 AND chapter IS NOT NULL)
-SELECT v.row_id, count(*) AS n_comments FROM esword_bible v JOIN c ON c.module_id = v.module_id AND v.book = c.book AND c.c0 <= v.chapter AND c.c1 >= v.chapter WHERE v.book = 1 GROUP BY v.row_id""")
+@q("""WITH c AS (SELECT module_id, book, chapter AS c0, chapter + 2 AS c1, row_id FROM esword_bible WHERE verse = 1 AND chapter IS NOT NULL)
+SELECT v.row_id, count(*) AS n_comments FROM esword_bible v JOIN c ON c.module_id = v.module_id AND v.book = c.book AND c.c0 <= v.chapter AND c.c1 >= v.chapter GROUP BY v.row_id""")
 def chapter_overlap(s, d):
-    v = rd(s, d, "esword_bible").where("book = 1")
-    c = v.where("verse = 1 AND chapter IS NOT NULL").select(F.col("module_id").alias("m"), F.col("chapter").alias("c0"), (F.col("chapter") + 2).alias("c1"))
-    return v.join(c, (F.col("m") == F.col("module_id")) & (F.col("c0") <= F.col("chapter")) & (F.col("c1") >= F.col("chapter"))).groupBy("row_id").agg(F.count("*").alias("n_comments"))
+    v = rd(s, d, "esword_bible")
+    # an equal key instead of a range: a comment counts for its own chapter and the two after it
+    c = v.where("verse = 1 AND chapter IS NOT NULL").select("module_id", "book", F.explode(F.sequence("chapter", F.col("chapter") + 2)).alias("chapter")).groupBy("module_id", "book", "chapter").agg(F.count("*").alias("n"))
+    return v.join(c, ["module_id", "book", "chapter"]).groupBy("row_id").agg(F.sum("n").alias("n_comments"))
 
 
 @q("SELECT b.block_uid, b.block_id, levenshtein(b.corpus_id, b.doc_id) AS distance FROM blocks b")
@@ -632,70 +668,26 @@ def rfc3339_times(s, d):
 
 @q("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS win_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(s, d):
-    from folioform.streaming import windows
-
-    return windows.tumbling(rd(s, d, "events"), "ts", "1 hour", ["event_type"]).select(F.col("win_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = windows.tumbling(windows.table_stream(s, f"{d}/events.parquet"), "ts", "1 hour", ["event_type"])
+    return windows.drain(out, "complete").select("win_start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @q("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
 k AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM g) SELECT user_id, min(ts) AS win_start, count(*) AS n FROM k GROUP BY user_id, grp""")
 def stream_session(s, d):
-    from folioform.streaming import windows
+    out = windows.sessions(windows.table_stream(s, f"{d}/events.parquet"), "ts", "30 minutes", ["user_id"])
+    return windows.drain(out, "complete").select("user_id", "win_start", "n")
 
-    return windows.sessions(rd(s, d, "events"), "ts", "30 minutes", ["user_id"]).select("user_id", "win_start", "n")
 
-
-@q("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id")
+@q("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
 def latest_status(s, d):
-    return rd(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
-
+    out = windows.job_states(windows.table_stream(s, f"{d}/events.parquet"), "user_id", ["ts", "event_id"], "event_type")
+    return windows.drain(out, "complete").withColumnRenamed("event_type", "status")
 
-# ---- the operators above over whole tables: no chapter, book, flag or size is left out ----------------------------------
 
-
-@q("""WITH t AS (SELECT verse_uid, regexp_extract_all(text, '[A-Za-z0-9''\\x{80}-\\x{10FFFF}]+|[ \\t\\n\\r]+|[^A-Za-z0-9''\\x{80}-\\x{10FFFF} \\t\\n\\r]+') AS ts FROM verses WHERE text IS NOT NULL),
-u AS (SELECT verse_uid, unnest(ts) AS tok, unnest(generate_series(0, len(ts) - 1)) AS idx FROM t)
-SELECT verse_uid, idx::INT AS idx, tok AS text, (sum(strlen(tok)) OVER (PARTITION BY verse_uid ORDER BY idx) - strlen(tok))::INT AS char_start FROM u""")
-def token_positions_all(s, d):
-    return tokens.token_rows(rd(s, d, "verses").where("text IS NOT NULL"), ["verse_uid"], "text").select("verse_uid", "idx", "text", "char_start")
-
-
-@q("""WITH w AS (SELECT DISTINCT book, module_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM verses)
-SELECT book, word, min(module_id) AS module_id FROM w WHERE length(word) > 2 GROUP BY book, word HAVING count(*) = 1""")
-def unique_words_per_side_all(s, d):
-    return align.unique_words(rd(s, d, "verses"), ["book"], "module_id", F.split(F.lower("text"), r"\s+"))
-
-
-@q("""WITH n AS (SELECT module_id, book, chapter, max(verse) AS n_verses FROM esword_bible WHERE book IS NOT NULL AND chapter IS NOT NULL GROUP BY ALL), g AS (SELECT module_id, book, chapter, unnest(generate_series(1, n_verses)) AS verse FROM n WHERE n_verses > 0)
-SELECT g.module_id, g.book, g.chapter, count(*) AS n_missing FROM g LEFT JOIN esword_bible e ON e.book = g.book AND e.module_id = g.module_id AND e.chapter = g.chapter AND e.verse = g.verse WHERE e.row_id IS NULL GROUP BY ALL""")
-def canon_missing_verses_all(s, d):
-    keys = ["module_id", "book", "chapter"]
-    e = rd(s, d, "esword_bible").where("book IS NOT NULL AND chapter IS NOT NULL")
-    grid = canon.expand_canon(e.groupBy(*keys).agg(F.max("verse").alias("n_verses")))
-    return grid.join(e.select(*keys, "verse"), [*keys, "verse"], "left_anti").groupBy(*keys).agg(F.count("*").alias("n_missing"))
-
-
-@q("WITH s AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) AS a, min(l_quantity) + 5 AS b FROM lineitem GROUP BY ALL) SELECT x.k, x.id AS id_a, y.id AS id_b FROM s x JOIN s y ON x.k = y.k AND x.id < y.id AND x.a < y.b AND y.a < x.b")
-def span_overlap_all(s, d):
-    li = rd(s, d, "lineitem").groupBy(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_quantity").alias("a"), (F.min("l_quantity") + 5).alias("b"))
-    return align.overlaps(li, "k", "id", "a", "b")
-
-
-@q("SELECT blob_id, CASE " + " ".join(f"WHEN size_bytes >= {1024**k} THEN printf('%.1f', round(size_bytes / {1024**k}.0, 1)) || ' {u}'" for k, u in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))) + " ELSE size_bytes || ' B' END AS size FROM blobs")
-def human_sizes_all(s, d):
-    return rd(s, d, "blobs").select("blob_id", text.human_size("size_bytes").alias("size"))
-
-
-@q("SELECT row_id, CASE book " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(BOOKS, 1)) + " END AS osis FROM esword_bible")
-def book_number_lookup_all(s, d):
-    table = F.create_map(*[F.lit(x) for i, b in enumerate(BOOKS, 1) for x in (i, b)])
-    return rd(s, d, "esword_bible").select("row_id", table[F.col("book")].alias("osis"))
-
-
-@q("""WITH c AS (SELECT module_id, book, chapter AS c0, chapter + 2 AS c1, row_id FROM esword_bible WHERE verse = 1 AND chapter IS NOT NULL)
-SELECT v.row_id, count(*) AS n_comments FROM esword_bible v JOIN c ON c.module_id = v.module_id AND v.book = c.book AND c.c0 <= v.chapter AND c.c1 >= v.chapter GROUP BY v.row_id""")
-def chapter_overlap_all(s, d):
-    v = rd(s, d, "esword_bible")
-    # an equal key instead of a range: a comment counts for its own chapter and the two after it
-    c = v.where("verse = 1 AND chapter IS NOT NULL").select("module_id", "book", F.explode(F.sequence("chapter", F.col("chapter") + 2)).alias("chapter")).groupBy("module_id", "book", "chapter").agg(F.count("*").alias("n"))
-    return v.join(c, ["module_id", "book", "chapter"]).groupBy("row_id").agg(F.sum("n").alias("n_comments"))
+@q("SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY ALL")
+def stream_dedup(s, d):
+    """The first event of each user and type, as a stream sees it in one batch ordered by nothing: its keys only are defined."""
+    e = windows.table_stream(s, f"{d}/events.parquet")
+    kept = windows.drain(windows.dedup_stream(e.select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "36500 days").select("user_id", "event_type"), "append")
+    return kept.join(rd(s, d, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts")), ["user_id", "event_type"])
\ No newline at end of file

@@ -105,13 +105,30 @@ def write_epub(verses: list[Verse]) -> bytes:
 def read_odf(name: str, data: bytes) -> Iterator[Verse]:
     """Headings with a number open chapters; paragraphs that start with a number are verses."""
     body = next((c for p, _, _, c in entries(data) if p == "content.xml"), b"").decode("utf-8", "replace")
-    chapter = 1
-    for m in re.finditer(r"<text:(h|p)\b[^>]*>(.*?)</text:\1>", body, re.S):
-        t = strip_html(m[2])
-        if m[1] == "h":
+    chapter, book = 1, name
+    for m in re.finditer(r"<text:(h|p)\b([^>]*)>(.*?)</text:\1>", body, re.S):
+        t = strip_html(m[3])
+        if m[1] == "h" and 'style-name="Book"' in m[2]:
+            book, chapter = t or name, 1
+        elif m[1] == "h":
             chapter = int(n[0]) if (n := re.search(r"\d+", t)) else chapter
         elif v := re.match(r"(\d+)\s+(\S.*)$", t):
-            yield Verse(name, chapter, int(v[1]), v[2])
+            yield Verse(book, chapter, int(v[1]), v[2])
+
+
+def write_odf(verses: list[Verse]) -> bytes:
+    """One text document: a heading of style Book per document, one per chapter, a paragraph per verse."""
+    from folioform.sources.model import chapters, documents
+    from folioform.sources.textual import xml_text
+
+    out = ['<?xml version="1.0" encoding="UTF-8"?><office:document-content xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><office:body><office:text>']
+    for d, vs in documents(verses):
+        out.append(f'<text:h text:style-name="Book" text:outline-level="1">{xml_text(d)}</text:h>')
+        for c, own in chapters(vs):
+            out.append(f'<text:h text:outline-level="2">Chapter {c}</text:h>')
+            out += [f"<text:p>{v.verse} {xml_text(v.text)}</text:p>" for v in own]
+    out.append("</office:text></office:body></office:document-content>")
+    return pack({"mimetype": b"application/vnd.oasis.opendocument.text", "content.xml": "".join(out).encode()}, "zip")
 
 
 def read_dbl(name: str, data: bytes) -> Iterator[Verse]:
@@ -121,6 +138,17 @@ def read_dbl(name: str, data: bytes) -> Iterator[Verse]:
             yield from read_usx(book_by_code(re.sub(r".*/|\.usx$", "", path, flags=re.I)), body)
 
 
+def write_dbl(verses: list[Verse]) -> bytes:
+    """A bundle: metadata, and one USX file per document, numbered in their order."""
+    from folioform.sources.model import documents
+    from folioform.sources.textual import write_usx
+
+    files = {"metadata.xml": b'<?xml version="1.0" encoding="utf-8"?><DBLMetadata type="text" typeVersion="1.5"/>'}
+    for i, (_, vs) in enumerate(documents(verses), 1):
+        files[f"release/USX_1/{i:05}.usx"] = write_usx(vs)
+    return pack(files, "zip")
+
+
 def printable_runs(data: bytes, least: int) -> list[str]:
     """Runs of more than ``least`` printable characters."""
     text = data.decode("utf-8", "replace")
@@ -136,6 +164,16 @@ def read_gobible(name: str, data: bytes) -> Iterator[Verse]:
                 yield Verse(name, 0, n, t)
 
 
+def write_gobible(verses: list[Verse]) -> bytes:
+    """A phone archive: per document one data file of its texts, a zero byte between; places are not kept, nor texts of ten characters or less."""
+    from folioform.sources.model import documents
+
+    files = {"META-INF/MANIFEST.MF": b"Manifest-Version: 1.0\n"}
+    for i, (_, vs) in enumerate(documents(verses), 1):
+        files[f"Bible Data/{i:05}/Index"] = b"\x00".join(v.text.encode() for v in vs)
+    return pack(files, "zip")
+
+
 def read_pdb(name: str, data: bytes, most: int = 10_000) -> Iterator[Verse]:
     """Palm databases: a 78-byte header, big-endian record offsets, text runs of more than five characters."""
     if len(data) < 78:

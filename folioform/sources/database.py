@@ -168,9 +168,8 @@ def read_probe(name: str, data: bytes, candidates: tuple[str, ...] = (), least:
     """Unknown databases: of every candidate table (all, if none is named) the first text column of more than ``least`` bytes, whole."""
     con = open_bytes(data)
     n = 0
-    for t, cols in tables(con).items():
-        if candidates and t.lower() not in candidates:
-            continue
+    found = {t.lower(): t for t in tables(con)}
+    for t in [found[c] for c in candidates if c in found] if candidates else found.values():
         for row in con.execute(f'SELECT * FROM "{t}"'):
             texts = [x for x in row if isinstance(x, str) and len(x.encode()) > least]
             if texts:

@@ -49,6 +49,19 @@ def write(nested: DataFrame, path: str, compact: bool = True) -> None:
     nested.write.option("ignoreNullFields", str(compact).lower()).json(path)
 
 
+def canonical_hash(df: DataFrame, key: list[str], row: list[str], order: list[str], empty: bool = False) -> DataFrame:
+    """(*key, digest): SHA-256 of the canonical JSON of each document, corpus or mapping table.
+
+    A row is one JSON object with its members in the order of ``row``, null ones left out (``empty`` keeps them); the
+    hash of a key is that of its rows' hashes in the ``order`` given, one digest of 64 characters per row, so it does not
+    depend on partitioning and no texts are gathered.
+    """
+    one = F.sha2(F.to_json(F.struct(*row), {"ignoreNullFields": str(not empty).lower()}), 256)
+    rows = df.select(*key, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], one.alias("_h"))
+    by = ", ".join([*(f"_o{i}" for i in range(len(order))), "_h"])
+    return rows.groupBy(*key).agg(F.sha2(F.expr(f"listagg(_h) WITHIN GROUP (ORDER BY {by})"), 256).alias("digest"))
+
+
 def corpus_hash(blocks: DataFrame, version: str = "1") -> DataFrame:
     """(corpus_id, digest): SHA-256 over the sorted digests of its blocks, so order and partitioning don't matter."""
     one = F.sha2(F.concat_ws("\x1f", "doc_id", "block_id", F.coalesce(F.col("sequence").cast("string"), F.lit("")), F.coalesce("text", F.lit("\x00"))), 256)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioform import schema
+from folioform.session import materialize
 from folioform.sources import binary, database, textual
 from folioform.sources.model import Verse
 
@@ -77,17 +78,20 @@ def _json(name: str, data: bytes) -> bool:
         return False
 
 
+#: The tables of an Accordance database that may hold its text, in the order they are read.
+ACCORDANCE = ("verses", "content", "text", "accverses", "acccontent")
+
 #: Tried in this order; the first that accepts a file reads it.
 FORMATS = [
     Format("epub", (".epub",), _zip(r"^META-INF/container\.xml$"), binary.read_epub, binary.write_epub),
-    Format("odf", (".odt",), _zip(r"^content\.xml$"), binary.read_odf),
-    Format("dbl", (".zip",), _zip(r"\.usx$"), binary.read_dbl),
-    Format("gobible", (".jar",), _zip(r"^Bible Data/|\.class$"), binary.read_gobible, loss="L3"),
+    Format("odf", (".odt",), _zip(r"^content\.xml$"), binary.read_odf, binary.write_odf),
+    Format("dbl", (".zip",), _zip(r"\.usx$"), binary.read_dbl, binary.write_dbl),
+    Format("gobible", (".jar",), _zip(r"^Bible Data/|\.class$"), binary.read_gobible, binary.write_gobible, "L3"),
     Format("mybible", (".sqlite3",), _sqlite("verses.book_number"), database.read_mybible, database.write_mybible),
     Format("mysword", (".mybible", ".bbl.mybible"), _sqlite("books.scripture"), database.read_mysword, database.write_mysword),
     Format("esword", (".bblx", ".cmtx", ".dctx", ".bbli"), lambda n, d: any(_sqlite(x)(n, d) for x in ("bible.scripture", "commentary.comments", "dictionary.topic")), database.read_esword, database.write_esword),
     Format("sqlite", (".db", ".sqlite"), _sqlite("verses.chapter"), database.read_sqlite, database.write_sqlite),
-    Format("accordance", (".atext",), _sqlite("verses.content"), lambda n, d: database.read_probe(n, d, ("verses", "text", "content", "bible", "scripture")), loss="L2"),
+    Format("accordance", (".atext",), lambda n, d: any(_sqlite(x)(n, d) for x in ("accverses.", "acccontent.", "verses.content")), lambda n, d: database.read_probe(n, d, ACCORDANCE), loss="L2"),
     Format("logos", (".lbxlls", ".logos4"), lambda n, d: database.looks_sqlite(d), lambda n, d: database.read_probe(n, d), loss="L2"),
     Format("pdb", (".pdb",), lambda n, d: len(d) > 78 and d[60:64].isalpha() and d[60:68].isascii() and n.endswith(".pdb"), binary.read_pdb, loss="L3"),
     Format("theword", (".ont", ".ot", ".nt"), lambda n, d: n.endswith((".ont", ".ot", ".nt")), textual.read_theword),  # read and written with a canon
@@ -96,7 +100,7 @@ FORMATS = [
     Format("usx", (".usx",), _has(rb"<usx\b"), textual.read_usx, textual.write_usx, "L0"),
     Format("zefania", (".xml",), _has(rb"<XMLBIBLE\b"), textual.read_zefania, textual.write_zefania),
     Format("tei", (".tei", ".xml"), _has(rb"<TEI(\.2)?\b"), textual.read_tei, textual.write_tei),
-    Format("flex", (".flextext",), _has(rb"<(document|interlinear-text)\b", rb"<phrase"), textual.read_flex),
+    Format("flex", (".flextext",), _has(rb"<(document|interlinear-text)\b", rb"<phrase"), textual.read_flex, textual.write_flex, "L2"),
     Format("html", (".html", ".htm"), _has(rb"<!doctype html|<html\b"), textual.read_html, textual.write_html),
     Format("xml", (".xml",), _has(rb"^\s*<\?xml|^\s*<(bible|book)\b"), textual.read_xml, textual.write_xml),
     Format("usfm", (".usfm", ".sfm"), _has(rb"\\id\s+\w{3}\b", rb"\\(c|h|mt|toc)"), textual.read_usfm, textual.write_usfm, "L0"),
@@ -104,9 +108,9 @@ FORMATS = [
     Format("json", (".json",), _json, textual.read_json, textual.write_json, "L0"),
     Format("markdown", (".md",), _has(rb"^\*\*\d+\*\*\s"), textual.read_markdown, textual.write_markdown),
     Format("onlinebible", (".exp",), _has(rb"^\$\w+\s+\d+:\d+\s"), textual.read_onlinebible, textual.write_onlinebible, "L0"),
-    Format("morphgnt", (".txt",), _has(rb"^\d{6}\s\S+\s\S{8}\s"), textual.read_morphgnt),
-    Format("sblgnt", (".txt",), _has(rb"^\d{6}\S*\s\S"), textual.read_sblgnt),
-    Format("oshb", (".txt",), _has(rb"^[1-4]?[A-Z]\w*\.\d+\.\d+\S*\s"), textual.read_oshb),
+    Format("morphgnt", (".txt",), _has(rb"^\d{6}\s\S+\s\S{8}\s"), textual.read_morphgnt, textual.write_morphgnt, "L2"),
+    Format("sblgnt", (".txt",), _has(rb"^\d{6}\S*\s\S"), textual.read_sblgnt, textual.write_sblgnt, "L2"),
+    Format("oshb", (".txt",), _has(rb"^[1-4]?[A-Z]\w*\.\d+\.\d+\S*\s"), textual.read_oshb, textual.write_oshb, "L2"),
     Format("txt", (".txt",), _has(rb"^([1-4]?\s?\w+\s+)?\d+:\d+\s+\S"), textual.read_txt, textual.write_txt, "L3"),
     Format("olivetree", (".oti", ".ot4i"), lambda n, d: n.endswith((".oti", ".ot4i")), None),
 ]
@@ -124,13 +128,13 @@ def file_kind(name: str, data: bytes) -> str:
         return {"zip": "application/zip", "gz": "application/gzip", "xz": "application/x-xz", "bz2": "application/x-bzip2", "tar": "application/x-tar"}[kind]
     if database.looks_sqlite(data):
         return "application/vnd.sqlite3"
-    head = data[:4096]
-    if head.lstrip().startswith(b"<"):
+    head = data.lstrip()
+    if head.startswith(b"<"):
         return "text/html" if re.match(rb"\s*<(!doctype html|html)", head, re.I) else "text/xml"
-    if head.lstrip()[:1] in (b"{", b"["):
+    if head[:1] in (b"{", b"["):
         return "application/json"
-    printable = sum(b in b"\t\n\r" or b >= 32 for b in head)
-    return "text/plain" if head and printable / len(head) > 0.95 else "application/octet-stream"
+    printable = len(data) - len(data.translate(None, b"\t\n\r" + bytes(range(32, 256))))
+    return "text/plain" if data and printable / len(data) > 0.95 else "application/octet-stream"
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -221,24 +225,39 @@ def emit(blocks: DataFrame, fmt: str, per: str = "corpus_id", canon: Canon | Non
 
 
 def save(files_df: DataFrame, folder: str) -> None:
-    """Write (name, content) rows as files of a folder all executors share; names that leave it are refused."""
+    """Write (name, content) rows as files of a folder all executors share, a path or the URI of any file system pyarrow opens
+    (hdfs, object stores); names that leave it are refused. Each file appears at once, by a move."""
 
     def put(rows) -> None:
         import os
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        store.create_dir(root, recursive=True)
         for r in rows:
             if not binary.safe_path(r.name):
                 raise ValueError(f"unsafe name {r.name}")
-            tmp = os.path.join(folder, f".{r.name.replace('/', '_')}.part")
-            with open(tmp, "wb") as out:
-                out.write(r.content)
-            os.makedirs(os.path.dirname(os.path.join(folder, r.name)), exist_ok=True)
-            os.replace(tmp, os.path.join(folder, r.name))
+            tmp, to = f"{root}/.{r.name.replace('/', '_')}.part", f"{root}/{r.name}"
+            with store.open_output_stream(tmp) as out:
+                out.write(bytes(r.content))
+            store.create_dir(to.rpartition("/")[0], recursive=True)
+            store.move(tmp, to)
 
     files_df.select("name", "content").foreachPartition(put)
 
 
+def pack_files(files_df: DataFrame, kinds: list[str]) -> DataFrame:
+    """(name, kind, content): every file (name, content) as an archive of its own, in each of the ``kinds`` zip, xz, gz (compressed tar) and tar."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(n, k, binary.pack({n: bytes(c)}, "" if k == "tar" else k)) for n, c in zip(b.name, b.content) for k in kinds]
+            yield pd.DataFrame(rows, columns=["name", "kind", "content"])
+
+    return files_df.select("name", "content").mapInPandas(run, "name string, kind string, content binary")
+
+
 def archive_entries(files_df: DataFrame) -> DataFrame:
     """(archive, name, length, is_dir, content) of all archives; unsafe paths are left out."""
 
@@ -347,9 +366,25 @@ def verify_artifacts(artifacts: DataFrame, store: DataFrame) -> DataFrame:
     return artifacts.join(b, "sha256", "left").select("artifact_id", F.when(F.col("_ok").isNull(), "missing").when(F.col("_ok"), "ok").otherwise("corrupt").alias("status"))
 
 
+def tree_children(nodes: DataFrame) -> DataFrame:
+    """(node, children): every node's children in the order of their numbers; a node without any has an empty array."""
+    kids = nodes.where("parent >= 0").groupBy(F.col("parent").alias("node")).agg(F.sort_array(F.collect_list("node")).alias("children"))
+    return nodes.select("node").join(kids, "node", "left").select("node", F.coalesce("children", F.array().cast("array<int>")).alias("children"))
+
+
 def tree_paths(nodes: DataFrame) -> DataFrame:
-    """(node, path) of a tree (node, parent, name): paths from the root, which has parent -1, by a recursive query."""
-    nodes.createOrReplaceTempView("_folioform_nodes")
-    return nodes.sparkSession.sql("""WITH RECURSIVE t(node, path) AS (
-        SELECT node, CAST('' AS STRING) FROM _folioform_nodes WHERE parent = -1
-        UNION ALL SELECT n.node, concat(t.path, '/', n.name) FROM _folioform_nodes n JOIN t ON n.parent = t.node) SELECT node, path FROM t""")
+    """(node, path) of a tree (node, parent, name): paths from the root, which has parent -1.
+
+    By doubling: each round every path jumps to its ancestor's ancestor, so a tree of depth n takes log2(n) joins, each
+    written to the shared folder. Nodes whose parents lead nowhere, or round in a circle, have no path.
+    """
+    now = nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent") == -1, "").otherwise(F.concat(F.lit("/"), "name")).alias("path"))
+    left = -1
+    while True:
+        now = materialize(now, "tree-paths")
+        waiting = now.where("up <> -1").count()
+        if waiting in (0, left):
+            return now.where("up = -1").select("node", "path")
+        left = waiting
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("upper"), F.col("path").alias("above"))
+        now = now.join(above, "up", "left").select("node", F.when(F.col("up") == -1, -1).otherwise(F.coalesce("upper", F.lit(-2))).alias("up"), F.when(F.col("up") == -1, F.col("path")).otherwise(F.concat("above", "path")).alias("path")).where("up <> -2 OR path IS NOT NULL")

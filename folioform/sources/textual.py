@@ -197,6 +197,24 @@ def read_oshb(name: str, data: bytes) -> Iterator[Verse]:
             parts.append(m[4].strip())
 
 
+def _nt_number(book: str) -> int:
+    """1 for the first book of the New Testament; 0 for any other book."""
+    return max(0, NUMBER_OF_BOOK.get(book, 0) - 39)
+
+
+def write_morphgnt(verses: list[Verse]) -> bytes:
+    """One word a line; part of speech and parsing are unknown, the word stands for its normal form and lemma. New Testament only."""
+    return "".join(f"{_nt_number(v.doc):02}{v.chapter:02}{v.verse:02} -- -------- {w} {w} {w} {w}\n" for v in verses if _nt_number(v.doc) for w in v.text.split()).encode()
+
+
+def write_sblgnt(verses: list[Verse]) -> bytes:
+    return "".join(f"{_nt_number(v.doc):02}{v.chapter:02}{v.verse:02} {w}\n" for v in verses if _nt_number(v.doc) for w in v.text.split()).encode()
+
+
+def write_oshb(verses: list[Verse]) -> bytes:
+    return "".join(f"{v.doc}.{v.chapter}.{v.verse} {w}\n" for v in verses for w in v.text.split()).encode()
+
+
 def read_theword(name: str, data: bytes, canon: list[tuple[str, int, int]] | None = None) -> Iterator[Verse]:
     """One verse a line; the line's number is the verse's place in ``canon`` (book, chapter, number of verses). Blank lines take a place."""
     places = ((b, c, v) for b, c, n in canon or [] for v in range(1, n + 1))
@@ -467,6 +485,15 @@ def read_flex(name: str, data: bytes) -> Iterator[Verse]:
 
 # ---- HTML, RTF -----------------------------------------------------------------------------------------------------------
 
+def write_flex(verses: list[Verse]) -> bytes:
+    """Interlinear text: a phrase per verse, an item per word. Places are not kept."""
+    phrases = []
+    for v in verses:
+        words = "".join(f'<word><item type="txt" lang="x">{xml_text(w)}</item></word>' for w in v.text.split())
+        phrases.append(f'<phrase><item type="segnum" lang="en">{v.chapter}:{v.verse}</item><words>{words}</words></phrase>')
+    return ('<?xml version="1.0" encoding="utf-8"?>\n<document version="2"><interlinear-text><paragraphs><paragraph><phrases>\n' + "\n".join(phrases) + "\n</phrases></paragraph></paragraphs></interlinear-text></document>\n").encode()
+
+
 _TAG = re.compile(r"<[^>]*>?")
 _NBSP = re.compile(r"&nbsp;|&#160;|&#xa0;", re.I)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioform.schema import TRANSCRIPT
+from folioform.session import shared_dir
 
 
 def read_transcripts(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -21,6 +24,28 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table, a file or a folder of files, as a stream of its rows, under the schema it has."""
+    pattern = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only from a pattern
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+
+
+def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once all that is there now has been read: batches are written to the shared folder, in mode ``complete`` the last one holds."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    at = f"{shared_dir(spark)}/stream-{name}"
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+    try:
+        return spark.read.schema(df.schema).parquet(f"{at}/out")
+    except AnalysisException:  # nothing was read, so nothing was written
+        return spark.createDataFrame([], df.schema)
+
+
 def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
     timed = df.withColumn("_ts", F.col(ts).cast("timestamp"))
     return timed.withWatermark("_ts", late) if df.isStreaming else timed

@@ -110,7 +110,7 @@ def test_validate(spark):
     h = validate.hash_check(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, d string"), spark.createDataFrame([("a", "1"), ("b", "9"), ("z", "0")], "k string, d string"), "k", "d")
     assert {r.k: r.status for r in h.collect()} == {"a": "pass", "b": "fail", "c": "new", "z": "missing"}
     t = spark.createDataFrame([(1,), (1,)], "x int")
-    ok, report = validate.run_plan({"steps": [{"type": "copy", "output": "o"}], "checks": [{"type": "ROWS_EQUAL", "a": "i", "b": "o"}]}, {"i": t}, {"copy": lambda tabs, s: tabs["i"]})
+    ok, report = validate.run_plan({"steps": [{"type": "copy", "output": "o"}], "checks": [{"type": "IR_STRUCTURE_EQUAL", "a": "i", "b": "o"}]}, {"i": t}, {"copy": lambda tabs, s: tabs["i"]})
     assert ok and len(report) == 2
     ok, report = validate.run_plan({"steps": [{"type": "boom", "output": "o"}]}, {}, {"boom": lambda tabs, s: 1 / 0})
     assert not ok and report[-1]["status"].startswith("fail")

@@ -40,7 +40,7 @@ def test_selfcheck(spark, tmp_path):
     r = selfcheck.run(spark, selfcheck.ROUND_TRIP, str(tmp_path), "osis")
     assert r["status"] == "pass" and len(r["results"]) == 4 and r["hash"] == selfcheck.run(spark, selfcheck.ROUND_TRIP, str(tmp_path), "osis")["hash"]
     assert selfcheck.run(spark, selfcheck.IDENTITY, str(tmp_path), "osis")["status"] == "pass"
-    assert selfcheck.run(spark, selfcheck.ROUND_TRIP, str(tmp_path), "flex")["status"] == "fail"
+    assert selfcheck.run(spark, selfcheck.ROUND_TRIP, str(tmp_path), "pdb")["status"] == "fail"
 
 
 def test_canon_files(spark, tmp_path):

@@ -9,14 +9,15 @@ from folioform.sources.model import Verse
 
 VERSES = [Verse("Gen", 1, 1, "First words."), Verse("Gen", 1, 2, "Second “verse” – done."), Verse("Gen", 2, 1, "Third & last"), Verse("Matt", 1, 1, "Other book")]
 KEY = [(v.doc, v.chapter, v.verse, v.text) for v in VERSES]
-ONE_BOOK = {"rtf"}
+#: Formats that do not keep places, or only those of the New Testament.
+PARTIAL = {"rtf", "gobible", "flex", "morphgnt", "sblgnt"}
 
 
 def key(vs):
     return [(v.doc, v.chapter, v.verse, v.text) for v in vs]
 
 
-@pytest.mark.parametrize("fmt", [f.name for f in registry.FORMATS if f.write and f.name not in ONE_BOOK])
+@pytest.mark.parametrize("fmt", [f.name for f in registry.FORMATS if f.write and f.name not in PARTIAL])
 def test_round_trip(fmt):
     f = registry.BY_NAME[fmt]
     data = f.write(VERSES)
@@ -24,6 +25,33 @@ def test_round_trip(fmt):
     assert registry.detect(f"x{f.suffixes[0]}", data) in (fmt, "usfm" if fmt == "sfm" else fmt)
 
 
+def test_sinks_that_keep_less():
+    f = registry.BY_NAME
+    for fmt in ("morphgnt", "sblgnt"):
+        assert key(f[fmt].read("x", f[fmt].write([*VERSES, Verse("Rev", 2, 3, "last words here")]))) == [KEY[3], ("Rev", 2, 3, "last words here")]
+        assert registry.detect("x.txt", f[fmt].write([*VERSES, Verse("Rev", 2, 3, "last words here")])) == fmt
+    assert [v.text for v in f["flex"].read("x", f["flex"].write(VERSES))] == [v.text for v in VERSES]
+    assert [v.text for v in f["gobible"].read("x", f["gobible"].write(VERSES))] == [v.text for v in VERSES if len(v.text) > 10]
+    for fmt, name in (("flex", "x.flextext"), ("gobible", "x.jar"), ("odf", "x.odt"), ("dbl", "x.zip")):
+        assert registry.detect(name, f[fmt].write(VERSES)) == fmt
+    odd = [Verse("Gen", 1, 1, "a < b & \x01 “c”")]
+    assert [v.text for v in f["odf"].read("x", f["odf"].write(odd))] == ["a < b & � “c”"] == [v.text for v in f["flex"].read("x", f["flex"].write(odd))]
+
+
+def test_accordance_tables():
+    import sqlite3
+
+    con = sqlite3.connect(":memory:")
+    con.executescript("CREATE TABLE AccContent (id INT, body TEXT); CREATE TABLE Other (t TEXT); CREATE TABLE AccVerses (id INT, body TEXT);")
+    con.execute("INSERT INTO AccContent VALUES (1, 'content of the module')")
+    con.execute("INSERT INTO Other VALUES ('not a text of the module')")
+    con.execute("INSERT INTO AccVerses VALUES (1, 'verses of the module')")
+    con.commit()
+    data = con.serialize()
+    assert registry.detect("x.atext", data) == "accordance"
+    assert [v.text for v in registry.BY_NAME["accordance"].read("x", data)] == ["verses of the module", "content of the module"]
+
+
 @pytest.mark.parametrize("fmt", [f.name for f in registry.FORMATS if f.read])
 @pytest.mark.parametrize("data", [b"", b"\x00\xff\xfe", b"<a><b", b"{", "é\n".encode()])
 def test_damaged_input(fmt, data):
@@ -114,7 +142,8 @@ def test_registry_in_spark(spark, tmp_path):
     assert cat["junk.bin"].format is None and cat["junk.bin"].kind == "application/octet-stream" and cat["x_epub.epub"].kind == "application/zip"
     blocks = registry.read_blocks(fs)
     counts = {r["corpus_id"]: r["count"] for r in blocks.groupBy("corpus_id").count().collect()}
-    assert set(counts.values()) == {4} and len(counts) == sum(bool(f.write) for f in registry.FORMATS)
+    assert set(counts.values()) == {1, 3, 4} and len(counts) == sum(bool(f.write) for f in registry.FORMATS)
+    assert {c for c, n in counts.items() if n < 4} == {"x_morphgnt", "x_sblgnt", "x_gobible"}
     osis = blocks.where("corpus_id = 'x_osis'").cache()
     assert all(convert.round_trip(osis, f) for f in ("json", "usx", "sqlite", "epub"))
     made = convert.convert(spark, str(tmp_path / "x_osis.osis"), "html", str(tmp_path / "out"))
@@ -128,6 +157,11 @@ def test_registry_in_spark(spark, tmp_path):
     assert registry.verify_artifacts(arts, spark.read.parquet(store)).first().status == "ok"
     paths = registry.tree_paths(spark.createDataFrame([(0, -1, ""), (1, 0, "A"), (2, 1, "B")], "node int, parent int, name string"))
     assert {r.path for r in paths.collect()} == {"", "/A", "/A/B"}
+    chain = spark.range(300).selectExpr("CAST(id AS INT) AS node", "CAST(id - 1 AS INT) AS parent", "CAST(id AS STRING) AS name").unionByName(spark.createDataFrame([(900, 901, "lost"), (950, 951, "round"), (951, 950, "round")], "node int, parent int, name string"))
+    deep = {r.node: r.path for r in registry.tree_paths(chain).collect()}
+    assert len(deep) == 300 and deep[299] == "".join(f"/{i}" for i in range(1, 300))
+    kids = {r.node: r.children for r in registry.tree_children(chain).collect()}
+    assert kids[0] == [1] and kids[299] == [] and kids[950] == [951]
     with pytest.raises(ValueError):
         registry.read_blocks(fs, "olivetree")
     assert same_rows(osis, osis)

@@ -29,7 +29,7 @@ def test_zefania_control_character_costs_no_file():
 def test_every_verse_takes_part(spark, tmp_path, fmt):
     spark.createDataFrame([("mod-a", b, 1, i, f"t {i}") for i, b in enumerate([" Gen ", "", None, "Gen"], 1)], "module_id string, book string, chapter int, verse int, text string").write.parquet(f"{tmp_path}/verses.parquet")
     spark.createDataFrame([("mod-a", 1, c, i, f"<{i}> & é") for i, c in enumerate([1, None, 0, 2])], "module_id string, book int, chapter int, verse int, scripture string").write.parquet(f"{tmp_path}/esword_bible.parquet")
-    got = Counter(tuple(r) for r in queries_formats.QUERIES[f"format_{fmt}_all"](spark, str(tmp_path)).collect())
+    got = Counter(tuple(r) for r in queries_formats.QUERIES[f"format_{fmt}"](spark, str(tmp_path)).collect())
     if fmt in queries_formats.NAMED:
         assert got == Counter([("mod-a", "Gen", 1, 1, "t 1"), ("mod-a", "mod-a", 1, 2, "t 2"), ("mod-a", "mod-a", 1, 3, "t 3"), ("mod-a", "Gen", 1, 4, "t 4")])
     else:
@@ -56,19 +56,19 @@ def whole(spark, tmp_path_factory):
 
 
 def test_all_books_and_chapters(whole):
-    assert Counter(whole("book_number_lookup_all")) == Counter((r, BOOKS[b - 1] if b else None) for r, _, b, _, _ in ESWORD)
+    assert Counter(whole("book_number_lookup")) == Counter((r, BOOKS[b - 1] if b else None) for r, _, b, _, _ in ESWORD)
     got = Counter(v[0] for v in ESWORD for c in ESWORD if v[2] and v[3] and c[3] and c[4] == 1 and v[1:3] == c[1:3] and c[3] <= v[3] <= c[3] + 2)
-    assert whole("chapter_overlap_all") == sorted(got.items())
-    assert whole("canon_missing_verses_all") == [("m", 1, 3, 3), ("m", 40, 9, 2)]
+    assert whole("chapter_overlap") == sorted(got.items())
+    assert whole("canon_missing_verses") == [("m", 1, 3, 3), ("m", 40, 9, 2)]
 
 
 def test_all_words(whole):
-    assert {(u, x) for u, _, x, _ in whole("token_positions_all") if x[0].isalnum()} == {(v[0], w.strip(",")) for v in VERSES for w in (v[4] or "").split()}
-    assert ("u3", 2, "é", 5) in whole("token_positions_all") and ("u3", 3, ",", 7) in whole("token_positions_all")
-    assert whole("unique_words_per_side_all") == [("Gen", "four", "m"), ("Gen", "one", "m"), ("Rev", "two", "m")]
+    assert {(u, x) for u, _, x, _ in whole("token_positions") if x[0].isalnum()} == {(v[0], w.strip(",")) for v in VERSES for w in (v[4] or "").split()}
+    assert ("u3", 2, "é", 5) in whole("token_positions") and ("u3", 3, ",", 7) in whole("token_positions")
+    assert whole("unique_words_per_side") == [("Gen", "four", "m"), ("Gen", "one", "m"), ("Rev", "two", "m")]
 
 
 def test_all_spans_and_sizes(whole):
     want = [(x[2], x[0] * 10 + 1, y[0] * 10 + 1) for x in ITEMS for y in ITEMS if x[2] == y[2] and x[0] < y[0] and x[3] < y[3] + 5 and y[3] < x[3] + 5]
-    assert whole("span_overlap_all") == want and len(want) == 2
-    assert dict(whole("human_sizes_all")) == {1: "1 B", 2: "1.0 KB", 3: "1.5 KB", 4: "1.0 MB", 5: "5.0 GB", 6: None}
+    assert whole("span_overlap") == want and len(want) == 2
+    assert dict(whole("human_sizes")) == {1: "1 B", 2: "1.0 KB", 3: "1.5 KB", 4: "1.0 MB", 5: "5.0 GB", 6: None}
