@@ -1,4 +1,4 @@
-"""Differences between two copies of data: EXCEPT ALL both ways, then a full join of the two residues by key."""
+"""Differences between two copies of data: EXCEPT ALL both ways, by one count of every row's surplus, then a full join of the two residues by key."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioform.session import broadcast_if_small
+from folioform.session import broadcast_if_small, materialize
 
 MISSING_A, MISSING_B = "missing_in_a", "missing_in_b"
 
@@ -30,7 +30,10 @@ def diff_tables(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str])
     Columns beyond ``keys`` and ``fields`` are ignored, whatever their names.
     """
     a, b = (x.select(*keys, *fields) for x in (a, b))
-    only_a, only_b = a.exceptAll(b), b.exceptAll(a)
+    n = "_n" + "_" * max(len(c) for c in (*keys, *fields))  # no column has this name
+    # EXCEPT ALL both ways in one aggregation: what a row occurs more often on one side is that side's residue
+    counted = a.withColumn(n, F.lit(1)).unionByName(b.withColumn(n, F.lit(-1))).groupBy(*keys, *fields).agg(F.sum(n).alias(n))
+    only_a, only_b = counted.where(F.col(n) > 0), counted.where(F.col(n) < 0)
     ka, kb = [f"a_{i}" for i in range(len(keys))], [f"b_{i}" for i in range(len(keys))]
 
     def residue(df: DataFrame, side: str, names: list[str]) -> DataFrame:
@@ -56,7 +59,7 @@ def compare_extractions(compare: DataFrame, blocks: DataFrame) -> DataFrame:
     keys = ["compare_id", "doc_id", "block_id"]
     pairs = compare.where("ir_a_key IS NOT NULL AND ir_b_key IS NOT NULL").select("compare_id", "ir_a_key", "ir_b_key").distinct()
     named = broadcast_if_small(pairs.select(F.explode(F.array("ir_a_key", "ir_b_key")).alias("ir_key")).distinct())
-    current = latest_state(blocks.join(named, "ir_key", "left_semi"), ["ir_key", "doc_id", "block_id"], ["extracted_at", "ir_row_id"], fields)
+    current = materialize(latest_state(blocks.join(named, "ir_key", "left_semi"), ["ir_key", "doc_id", "block_id"], ["extracted_at", "ir_row_id"], fields), "current-blocks")
     pairs = broadcast_if_small(pairs)
 
     def side(key: str) -> DataFrame:

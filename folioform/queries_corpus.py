@@ -690,4 +690,11 @@ def stream_dedup(s, d):
     """The first event of each user and type, as a stream sees it in one batch ordered by nothing: its keys only are defined."""
     e = windows.table_stream(s, f"{d}/events.parquet")
     kept = windows.drain(windows.dedup_stream(e.select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "36500 days").select("user_id", "event_type"), "append")
-    return kept.join(rd(s, d, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts")), ["user_id", "event_type"])
\ No newline at end of file
+    return kept.join(rd(s, d, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts")), ["user_id", "event_type"])
+
+
+@q()
+def stream_token_bucket(s, d):
+    """Events let through per user, three at once and one an hour: keyed state of a stream; not to be said in SQL, tested against plain Python."""
+    out = windows.token_bucket(windows.table_stream(s, f"{d}/events.parquet"), "user_id", "ts", 3.0, 1 / 3600, None)
+    return windows.drain(out, "append").groupBy("key").agg(F.count("*").alias("n_events"), F.count(F.when(F.col("allowed"), 1)).alias("n_allowed"))

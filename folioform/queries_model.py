@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioform.functions import refs, text, xmltools
 from folioform.operators import align, canon, catalogue, search, shred, standoff, tokens, validate
-from folioform.plans import cache, selfcheck, sqltool
+from folioform.plans import cache, convert, selfcheck, sqltool
 from folioform.queries_data import _P3_BLOCKS, _P3_SPANS
 from folioform.session import materialize, shared_dir
 from folioform.session import read_table as rd
@@ -488,3 +488,14 @@ def word_counts(s, d):
     """The reader's words counted per verse."""
     return tokens.word_counts(rd(s, d, "verses"), ["verse_uid"], "text").groupBy("verse_uid").agg(F.count("*").alias("n_words"), F.sum("n").alias("n"))
 
+
+@q("SELECT target, loss_class, lost, (SELECT count(DISTINCT module_id) FROM verses WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '') AS n_files FROM (VALUES ('osis', 'L0', ''), ('rtf', 'L2', 'write rtf'), ('txt', 'L3', 'write txt')) t(target, loss_class, lost)")
+def derived_exports(s, d):
+    """Stored files converted to three formats, with the loss of reading and writing together."""
+    base, out = f"{shared_dir(s)}/export-{uuid.uuid4().hex}", None
+    registry.save(_files(s, d), f"{base}/in")
+    for to in ("osis", "rtf", "txt"):
+        r = convert.derived_export(s, f"{base}/in", to, f"{base}/{to}", "json")
+        part = r.groupBy("target", "loss_class", F.array_join("lost", ", ").alias("lost")).agg(F.count("*").alias("n_files"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -6,12 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; a row of the sides concerned is under 1 kB, so this is at most some 200 MB.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of values a side may have to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def build_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,16 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables materialize() has written; call it once their results are stored. Returns how many were deleted."""
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables materialize() has written from the ``since``-th on; call it once their results are stored. Returns how many were deleted."""
     n, jvm = 0, spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it results are made and stored; at its end the tables written within it are deleted, and no others."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -65,9 +77,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: beyond ``rows`` rows the side is left to a shuffle join with adaptive skew handling."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(name: str, kind: str):
+    """Bytes of a column's value, 16 for each item of an array."""
+    c = F.col(f"`{name}`")
+    return F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind.startswith("array") else F.lit(16), F.lit(0)).cast("bigint")
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting rows and the bytes of their values: beyond ``rows`` or ``size`` the side is left to a
+    shuffle join with adaptive skew handling. The side is read for it, so a costly one is materialised before."""
+    width = sum((_bytes(n, k) for n, k in df.dtypes), F.lit(0))
+    n, b = df.select(width.alias("_w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and b <= size else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

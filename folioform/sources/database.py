@@ -82,6 +82,12 @@ def read_esword(name: str, data: bytes) -> Iterator[Verse]:
     found = tables(con)
     if t := _pick(found, "Bible"):
         yield from _verses(con, t, "Book", "Chapter", "Verse", "Scripture", lambda b: book_by_number(int(b or 0)))
+    yield from _comments(con, found)
+    if t := _pick(found, "Dictionary"):
+        yield from _entries(con, t, found[t])
+
+
+def _comments(con, found: dict[str, list[str]]) -> Iterator[Verse]:
     if t := _pick(found, "Commentary", "commentaries", "VerseCommentary"):
         cols = {c.lower(): c for c in found[t]}
         get = [cols.get(x, None) for x in ("book", "chapterbegin", "versebegin", "verseend", "comments")]
@@ -89,8 +95,6 @@ def read_esword(name: str, data: bytes) -> Iterator[Verse]:
             for b, c, v, e, x in con.execute("SELECT " + ", ".join(f'"{g}"' for g in get) + f' FROM "{t}" ORDER BY 1, 2, 3'):
                 if plain := _text(x):
                     yield Verse(book_by_number(int(b or 0)), int(c or 0), int(v or 0), plain, int(e or 0))
-    if t := _pick(found, "Dictionary"):
-        yield from _entries(con, t, found[t])
 
 
 def _entries(con, table: str, cols: list[str]) -> Iterator[Verse]:
@@ -110,6 +114,26 @@ def write_esword(verses: list[Verse]) -> bytes:
     return con.serialize()
 
 
+def write_side_tables(verses: list[Verse], entries: list[tuple[str, str]], mysword: bool = False) -> bytes:
+    """A commentary (a comment per verse, up to its ``verse_end``) and a dictionary, in the tables of either program."""
+    con = sqlite3.connect(":memory:")
+    comments, words = ("commentaries", "dictionary (word TEXT, data TEXT)") if mysword else ("Commentary", "Dictionary (Topic TEXT, Definition TEXT)")
+    con.executescript(f"CREATE TABLE {comments} (Book INT, ChapterBegin INT, ChapterEnd INT, VerseBegin INT, VerseEnd INT, Comments TEXT); CREATE TABLE {words};")
+    con.executemany(f"INSERT INTO {comments} VALUES (?, ?, ?, ?, ?, ?)", [(NUMBER_OF_BOOK[v.doc], v.chapter, v.chapter, v.verse, v.verse_end, _stored(v.text)) for v in verses if v.doc in NUMBER_OF_BOOK])
+    con.executemany(f"INSERT INTO {words.partition(' ')[0]} VALUES (?, ?)", [(k, _stored(t)) for k, t in entries])
+    con.commit()
+    return con.serialize()
+
+
+def write_probe(verses: list[Verse], table: str = "AccVerses") -> bytes:
+    """A database with one table of texts, as Accordance and Logos modules are probed for; places are not kept."""
+    con = sqlite3.connect(":memory:")
+    con.execute(f'CREATE TABLE "{table}" (id INTEGER, body TEXT)')
+    con.executemany(f'INSERT INTO "{table}" VALUES (?, ?)', [(i, _stored(v.text)) for i, v in enumerate(verses, 1)])
+    con.commit()
+    return con.serialize()
+
+
 def read_mysword(name: str, data: bytes) -> Iterator[Verse]:
     """As e-Sword, the scripture table being Books or Bible; markup is HTML."""
     con = open_bytes(data)
@@ -118,8 +142,7 @@ def read_mysword(name: str, data: bytes) -> Iterator[Verse]:
         cols = {c.lower(): c for c in found[t]}
         if {"book", "chapter", "verse", "scripture"} <= set(cols):
             yield from _verses(con, t, cols["book"], cols["chapter"], cols["verse"], cols["scripture"], lambda b: book_by_number(int(b or 0)))
-    if t := _pick(found, "commentary", "commentaries"):
-        yield from (v for v in read_esword(name, data) if v)
+    yield from _comments(con, found)
     if t := _pick(found, "dictionary"):
         yield from _entries(con, t, found[t])
 

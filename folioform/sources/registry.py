@@ -91,8 +91,8 @@ FORMATS = [
     Format("mysword", (".mybible", ".bbl.mybible"), _sqlite("books.scripture"), database.read_mysword, database.write_mysword),
     Format("esword", (".bblx", ".cmtx", ".dctx", ".bbli"), lambda n, d: any(_sqlite(x)(n, d) for x in ("bible.scripture", "commentary.comments", "dictionary.topic")), database.read_esword, database.write_esword),
     Format("sqlite", (".db", ".sqlite"), _sqlite("verses.chapter"), database.read_sqlite, database.write_sqlite),
-    Format("accordance", (".atext",), lambda n, d: any(_sqlite(x)(n, d) for x in ("accverses.", "acccontent.", "verses.content")), lambda n, d: database.read_probe(n, d, ACCORDANCE), loss="L2"),
-    Format("logos", (".lbxlls", ".logos4"), lambda n, d: database.looks_sqlite(d), lambda n, d: database.read_probe(n, d), loss="L2"),
+    Format("accordance", (".atext",), lambda n, d: any(_sqlite(x)(n, d) for x in ("accverses.", "acccontent.", "verses.content")), lambda n, d: database.read_probe(n, d, ACCORDANCE), database.write_probe, "L2"),
+    Format("logos", (".lbxlls", ".logos4"), lambda n, d: database.looks_sqlite(d), lambda n, d: database.read_probe(n, d), lambda vs: database.write_probe(vs, "Segments"), "L2"),
     Format("pdb", (".pdb",), lambda n, d: len(d) > 78 and d[60:64].isalpha() and d[60:68].isascii() and n.endswith(".pdb"), binary.read_pdb, loss="L3"),
     Format("theword", (".ont", ".ot", ".nt"), lambda n, d: n.endswith((".ont", ".ot", ".nt")), textual.read_theword),  # read and written with a canon
     Format("rtf", (".rtf",), lambda n, d: d.startswith(b"{\\rtf"), textual.read_rtf, textual.write_rtf, "L2"),

@@ -28,7 +28,9 @@ def xml_text(t: str) -> str:
 
 
 def lines_of(data: bytes) -> list[str]:
-    return data.decode("utf-8-sig", "replace").splitlines()
+    """Lines end in CR, LF or both; other separators (U+0085, U+2028) are part of the text."""
+    lines = re.split("\r\n|\n|\r", data.decode("utf-8-sig", "replace"))
+    return lines[:-1] if lines[-1] == "" else lines
 
 
 def local(tag) -> str:
@@ -160,7 +162,7 @@ def _word_rows(data: bytes, key: re.Pattern, word: int) -> Iterator[Verse]:
     """Word-per-line tables: the first column starts with book, chapter and verse; words of a verse are joined in order."""
     now, words = None, []
     for line in [*lines_of(data), ""]:
-        cols = re.split(r"\t|\s{1,}", line.strip()) if line.strip() else []
+        cols = re.split(r"[ \t]+", line.strip(SPACE)) if line.strip(SPACE) else []
         m = key.match(cols[0]) if cols else None
         at = (int(m[1]), int(m[2]), int(m[3])) if m else None
         if at != now and now and words:
@@ -187,14 +189,14 @@ def read_oshb(name: str, data: bytes) -> Iterator[Verse]:
     """``Book.c.v`` and the rest of the line; lines of one verse are joined."""
     now, parts = None, []
     for line in [*lines_of(data), ""]:
-        m = re.match(r"([1-4]?[A-Z]\w*)\.(\d+)\.(\d+)\S*\s+(.+)$", line)
+        m = re.match(r"([1-4]?[A-Z]\w*)\.(\d+)\.(\d+)[^ \t]*[ \t]+(.+)$", line, re.S)
         at = (m[1], int(m[2]), int(m[3])) if m else None
         if at != now and now:
             yield Verse(*now, " ".join(parts))
             parts = []
         now = at
         if m:
-            parts.append(m[4].strip())
+            parts.append(m[4].strip(SPACE))
 
 
 def _nt_number(book: str) -> int:
@@ -204,23 +206,23 @@ def _nt_number(book: str) -> int:
 
 def write_morphgnt(verses: list[Verse]) -> bytes:
     """One word a line; part of speech and parsing are unknown, the word stands for its normal form and lemma. New Testament only."""
-    return "".join(f"{_nt_number(v.doc):02}{v.chapter:02}{v.verse:02} -- -------- {w} {w} {w} {w}\n" for v in verses if _nt_number(v.doc) for w in v.text.split()).encode()
+    return "".join(f"{_nt_number(v.doc):02}{v.chapter:02}{v.verse:02} -- -------- {w} {w} {w} {w}\n" for v in verses if _nt_number(v.doc) for w in clean(v.text).split(" ")).encode()
 
 
 def write_sblgnt(verses: list[Verse]) -> bytes:
-    return "".join(f"{_nt_number(v.doc):02}{v.chapter:02}{v.verse:02} {w}\n" for v in verses if _nt_number(v.doc) for w in v.text.split()).encode()
+    return "".join(f"{_nt_number(v.doc):02}{v.chapter:02}{v.verse:02} {w}\n" for v in verses if _nt_number(v.doc) for w in clean(v.text).split(" ")).encode()
 
 
 def write_oshb(verses: list[Verse]) -> bytes:
-    return "".join(f"{v.doc}.{v.chapter}.{v.verse} {w}\n" for v in verses for w in v.text.split()).encode()
+    return "".join(f"{v.doc}.{v.chapter}.{v.verse} {w}\n" for v in verses for w in clean(v.text).split(" ")).encode()
 
 
 def read_theword(name: str, data: bytes, canon: list[tuple[str, int, int]] | None = None) -> Iterator[Verse]:
     """One verse a line; the line's number is the verse's place in ``canon`` (book, chapter, number of verses). Blank lines take a place."""
     places = ((b, c, v) for b, c, n in canon or [] for v in range(1, n + 1))
     for line, (b, c, v) in zip(lines_of(data), places):
-        if line.strip():
-            yield Verse(b, c, v, line.strip())
+        if line.strip(SPACE):
+            yield Verse(b, c, v, line.strip(SPACE))
 
 
 def write_theword(verses: list[Verse], canon: list[tuple[str, int, int]]) -> bytes:
@@ -478,7 +480,7 @@ def read_flex(name: str, data: bytes) -> Iterator[Verse]:
     """Interlinear text: the txt and punct items of a phrase's words, joined."""
     root = _tree(data)
     for i, ph in enumerate((e for e in root.iter() if local(e.tag) == "phrase") if root is not None else (), 1):
-        words = [(x.text or "").strip() for w in ph.iter() if local(w.tag) == "word" for x in w if local(x.tag) == "item" and x.get("type") in ("txt", "punct")]
+        words = [(x.text or "").strip(SPACE) for w in ph.iter() if local(w.tag) == "word" for x in w if local(x.tag) == "item" and x.get("type") in ("txt", "punct")]
         if text := " ".join(w for w in words if w):
             yield Verse(name, 1, i, text)
 
@@ -489,7 +491,7 @@ def write_flex(verses: list[Verse]) -> bytes:
     """Interlinear text: a phrase per verse, an item per word. Places are not kept."""
     phrases = []
     for v in verses:
-        words = "".join(f'<word><item type="txt" lang="x">{xml_text(w)}</item></word>' for w in v.text.split())
+        words = "".join(f'<word><item type="txt" lang="x">{xml_text(w)}</item></word>' for w in clean(v.text).split(" "))
         phrases.append(f'<phrase><item type="segnum" lang="en">{v.chapter}:{v.verse}</item><words>{words}</words></phrase>')
     return ('<?xml version="1.0" encoding="utf-8"?>\n<document version="2"><interlinear-text><paragraphs><paragraph><phrases>\n' + "\n".join(phrases) + "\n</phrases></paragraph></paragraphs></interlinear-text></document>\n").encode()
 

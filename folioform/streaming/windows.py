@@ -19,6 +19,22 @@ def read_transcripts(spark: SparkSession, path: str, stream: bool = False) -> Da
     return (spark.readStream if stream else spark.read).schema(TRANSCRIPT).json(path)
 
 
+def write_transcripts(df: DataFrame, path: str) -> None:
+    """Transcript events as JSON lines, members without a value left out; files are appended, so a run's events can come in parts."""
+    df.select(*[F.col(c.split()[0]) for c in _members(TRANSCRIPT)]).write.mode("append").json(path)
+
+
+def _members(schema: str) -> list[str]:
+    """The members of a schema string; those of nested types stay together."""
+    out, depth, last = [], 0, 0
+    for i, c in enumerate(schema + ","):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append(schema[last:i].strip())
+            last = i + 1
+    return out
+
+
 def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
     """Parquet events of a folder as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -83,11 +99,11 @@ def allow(times: list[float], capacity: float, per_second: float, tokens: float,
     return out, tokens, last
 
 
-def token_bucket(df: DataFrame, key: str, ts: str, capacity: float = 10.0, per_second: float = 1.0, idle: str = "5 minutes") -> DataFrame:
-    """(key, ts, allowed) of a stream: keyed state that refills; a key idle for ``idle`` is forgotten."""
+def token_bucket(df: DataFrame, key: str, ts: str, capacity: float = 10.0, per_second: float = 1.0, idle: str | None = "5 minutes") -> DataFrame:
+    """(key, ts, allowed) of a stream: keyed state that refills; a key idle for ``idle`` is forgotten (None: never, for streams that end)."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    forget = int(pd.Timedelta(idle).total_seconds() * 1000)
+    forget = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -97,11 +113,12 @@ def token_bucket(df: DataFrame, key: str, ts: str, capacity: float = 10.0, per_s
         tokens, last = state.get if state.exists else (capacity, None)
         ok, tokens, last = allow([t.timestamp() for t in rows["_ts"]], capacity, per_second, tokens, last)
         state.update((float(tokens), float(last)))
-        state.setTimeoutDuration(forget)
+        if forget:
+            state.setTimeoutDuration(forget)
         yield pd.DataFrame({"key": [str(k[0])] * len(rows), "ts": rows["_ts"], "allowed": ok})
 
     timed = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("_ts"))
-    return timed.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def job_states(df: DataFrame, key: str, order: list[str], status: str) -> DataFrame:

@@ -10,7 +10,7 @@ from folioform.sources.model import Verse
 VERSES = [Verse("Gen", 1, 1, "First words."), Verse("Gen", 1, 2, "Second “verse” – done."), Verse("Gen", 2, 1, "Third & last"), Verse("Matt", 1, 1, "Other book")]
 KEY = [(v.doc, v.chapter, v.verse, v.text) for v in VERSES]
 #: Formats that do not keep places, or only those of the New Testament.
-PARTIAL = {"rtf", "gobible", "flex", "morphgnt", "sblgnt"}
+PARTIAL = {"rtf", "gobible", "flex", "morphgnt", "sblgnt", "accordance", "logos"}
 
 
 def key(vs):
@@ -143,7 +143,7 @@ def test_registry_in_spark(spark, tmp_path):
     blocks = registry.read_blocks(fs)
     counts = {r["corpus_id"]: r["count"] for r in blocks.groupBy("corpus_id").count().collect()}
     assert set(counts.values()) == {1, 3, 4} and len(counts) == sum(bool(f.write) for f in registry.FORMATS)
-    assert {c for c, n in counts.items() if n < 4} == {"x_morphgnt", "x_sblgnt", "x_gobible"}
+    assert {c for c, n in counts.items() if n < 4} == {"x_morphgnt", "x_sblgnt", "x_gobible", "x_accordance", "x_logos"}
     osis = blocks.where("corpus_id = 'x_osis'").cache()
     assert all(convert.round_trip(osis, f) for f in ("json", "usx", "sqlite", "epub"))
     made = convert.convert(spark, str(tmp_path / "x_osis.osis"), "html", str(tmp_path / "out"))

@@ -72,3 +72,18 @@ def test_all_spans_and_sizes(whole):
     want = [(x[2], x[0] * 10 + 1, y[0] * 10 + 1) for x in ITEMS for y in ITEMS if x[2] == y[2] and x[0] < y[0] and x[3] < y[3] + 5 and y[3] < x[3] + 5]
     assert whole("span_overlap") == want and len(want) == 2
     assert dict(whole("human_sizes")) == {1: "1 B", 2: "1.0 KB", 3: "1.5 KB", 4: "1.0 MB", 5: "5.0 GB", 6: None}
+
+
+def test_token_bucket_of_a_whole_table(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    from folioform.streaming.windows import allow
+
+    rng = random.Random(4)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(40_000)), i % 3) for i in range(120)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.key: (r.n_events, r.n_allowed) for r in queries_corpus.QUERIES["stream_token_bucket"](spark, str(tmp_path)).collect()}
+    for u in range(3):
+        times = sorted(t.replace(tzinfo=dt.timezone.utc).timestamp() for _, t, x in rows if x == u)
+        assert got[str(u)] == (40, sum(allow(times, 3.0, 1 / 3600, 3.0, None)[0]))
