@@ -33,7 +33,7 @@ RESIDUE = [
     "checking your browser before opening _ scripts required", "checking your browser before accessing _", "this reader needs scripts allow them for _", "<noscript> turn on scripts to read _ </noscript>", "<noscript> _ </noscript>", "turn on scripts to read _", "enable cookies and scripts to continue", "ενεργοποιήστε το javascript", "יש להפעיל javascript",
     # filler
     "lorem ipsum", "texto de relleno <n>", "dummy verse <n> for layout only", "dummy text for layout only", "test test <n> test", "blindtext für _ bitte ersetzen", "blindtext bitte ersetzen", "texte provisoire pour _ à remplacer", "texte provisoire à remplacer", "asdf asdf asdf", "tbd text to follow",
-    "text to follow", "xxxx xxxx xxxx", "coming soon", "<placeholder>", "qwerty qwerty qwerty", "sample text goes here", "your text here", "insert text here", "placeholder text", "foo bar baz", "bla bla bla", "texto provisório substituir", "текст заглушка", "заглушка для _",
+    "xxxx xxxx xxxx", "coming soon", "<placeholder>", "qwerty qwerty qwerty", "sample text goes here", "your text here", "insert text here", "placeholder text", "foo bar baz", "bla bla bla", "texto provisório substituir", "текст заглушка", "заглушка для _",
     "placeholder for _ text", "this is placeholder text", "this is dummy text", "dummy text", "sample text", "filler text", "texte factice", "texte de remplissage", "platzhaltertext", "fülltext", "texto de ejemplo", "texto de exemplo", "texto de prueba", "testo segnaposto", "тестовый текст", "текст по умолчанию", "replace this text", "to be determined", "content goes here", "the quick brown fox jumps over the lazy dog",
     "under construction", "page under construction", "work in progress", "do not publish", "draft only _ replace",
     # templates

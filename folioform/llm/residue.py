@@ -21,6 +21,8 @@ from folioform.llm.exemplars import CONTENT, LOREM, RESIDUE
 from folioform.llm.printform import print_form
 
 COVERAGE = 0.62
+#: An exemplar of up to SHORT words must stand there as it is: of few words some are soon met in any order.
+SHORT, SHORT_COVERAGE = 3, 0.9
 #: Tokens a filler window has, and the fewest it may have in a shorter text.
 FILLER_WINDOW, FILLER_LEAST = 8, 4
 #: Weight a filler window must have, in weights of a token found nowhere: common words alone are no filler.
@@ -41,7 +43,7 @@ SHAPES = [
     ("<tag>", r"<(?:html|head|title|body|h1|center|div|p)>"),
     ("</tag>", r"</(?:html|head|title|body|h1|center|div|p)>"),
 ]
-_MARK = re.compile(r"[{}$#%@_\[<&(]")
+_MARK = re.compile(r"[{}$#%@_\[<&(*]")
 _SHAPE = re.compile("|".join(f"({p})" for _, p in SHAPES), re.I)
 _SLOT_CASED = re.compile(r"\$[A-Z][A-Z_]{1,60}\$|__[A-Z][A-Z_]{0,60}__")
 _WORD = re.compile(r"\x00\d\x00|[^\W_]+")
@@ -127,6 +129,8 @@ class ResidueIndex:
             for s in at:
                 window = grams[s : min(n, s + span)] + grams[n + s : n + min(n, s + span) - 1]
                 got = sum(self.weight[g] for g in set(window) if g in fs)
+                if kind == "residue" and length <= SHORT and got < SHORT_COVERAGE * total:
+                    continue
                 yield kind, got / total, s, min(n, s + span)
 
     def _filler(self, toks: list[str], fs: set[str]) -> Iterator[tuple[str, float, int, int]]:
