@@ -81,7 +81,7 @@ def commentary_rollup(s, d):
 # ---- numbering systems ----------------------------------------------------------------------------------------------------
 
 
-@q("SELECT module_id, book, arg_min(id, (chapter, verse, verse_uid)) AS id, arg_min(verse_uid, (chapter, verse, verse_uid)) AS verse_uid FROM verses WHERE chapter IS NOT NULL AND verse IS NOT NULL GROUP BY module_id, book")
+@q("SELECT module_id, book, id, verse_uid FROM (SELECT *, row_number() OVER (PARTITION BY module_id, book ORDER BY chapter, verse, verse_uid) AS k FROM verses WHERE chapter IS NOT NULL AND verse IS NOT NULL) WHERE k = 1")
 def merge_refs(s, d):
     v = rd(s, d, "verses").where("chapter IS NOT NULL AND verse IS NOT NULL").withColumn("o", F.struct("chapter", "verse", "verse_uid"))
     return canon.merge_refs(v, ["module_id", "book"], "o", ["id", "verse_uid"])
