@@ -2,8 +2,9 @@
 
 Words (or word shingles) are weighted by rarity; a ProbMinHash signature lets every element arrive by a Poisson process of
 its weight whose points fall on random registers, and stops as soon as no later point can win one. Two records agree in a
-register with the probability (weighted) Jaccard of their sets. Registers are banded; records that share a band are
-verified on their sets. Exact copies form one class first, so a text repeated in a third of all rows is signed once.
+register with the probability (weighted) Jaccard of their sets. Registers are banded; records that share a band, and whose
+sketches allow them to be similar, are verified on their sets. Exact copies form one class first, so a text repeated in a
+third of all rows is signed once.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioform.llm.printform import print_words
@@ -29,8 +31,12 @@ BANDS, ROWS = 32, 5
 #: A word found in at least 1 / RARE of the records weighs less than a rare one; there are at most RARE x words per record such words.
 RARE = 30
 #: Classes of one band that a task pairs by itself.
-LARGEST_BAND = 2000
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+LARGEST_BAND = 10_000
+#: Bytes of entries a task gets if bands are even, and entries it holds before it passes on its large bands.
+PART_BYTES, HELD = 16_000_000, 4_000_000
+#: The size code of sketches that stands for this many elements or more.
+MANY = 63
+_GOLD, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -148,86 +154,201 @@ def common_weights(sets: DataFrame) -> tuple[dict[int, float], float]:
     return {r.w & 0xFFFFFFFF: weight_of(r.n, total) for r in counts.collect()}, math.log(RARE) ** 1.5 + 0.02
 
 
-def band_entries(classes: DataFrame, common: dict[int, float], rare: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(band, cls): one row per class and band."""
+class Layout(NamedTuple):
+    """How an entry fits into two 64-bit words: 40 bits of its band's key and 24 of the sketch; the rest of the sketch and the class's number.
+
+    A sketch is a code of the set's size (6 bits; MANY: that many elements or more) and a map of up to 58 bits, in which every
+    element flips one. Two maps differ in at most as many bits as the sets in elements, so close() never rejects a similar pair.
+    """
+
+    id_bits: int
+    threshold: Fraction
+
+    @property
+    def map_bits(self) -> int:
+        return min(64, 88 - self.id_bits) - 6
+
+    def sketches(self, elements: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+        """Sketches of flattened sets: ``elements`` (uint32, distinct in a set) and the row of each."""
+        at = ((_mix(elements.astype(np.uint64) + _GOLD) >> np.uint64(32)) * np.uint64(self.map_bits)) >> np.uint64(32)
+        bits = np.zeros(n_rows, np.uint64)
+        np.bitwise_xor.at(bits, row, np.uint64(1) << at)
+        return (bits << np.uint64(6)) | np.minimum(np.bincount(row, minlength=n_rows), MANY).astype(np.uint64)
+
+    def pack(self, key: np.ndarray, number: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = (key & ~_LOW) | (sketch & _LOW)
+        return a, number if self.id_bits == 64 else ((sketch >> np.uint64(24)) << np.uint64(self.id_bits)) | number
+
+    def unpack(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, number, sketch)"""
+        if self.id_bits == 64:
+            return a & ~_LOW, b, a & _LOW
+        return a & ~_LOW, b & np.uint64((1 << self.id_bits) - 1), ((b >> np.uint64(self.id_bits)) << np.uint64(24)) | (a & _LOW)
+
+    def most(self) -> np.ndarray:
+        """[code, code]: how many elements sets of these sizes may differ in, -1 where the sizes alone differ by more."""
+        n = np.arange(MANY + 1)
+        both, by_size = n[:, None] + n[None, :], np.abs(n[:, None] - n[None, :])
+        most = (self.threshold.denominator - self.threshold.numerator) * both // (self.threshold.denominator + self.threshold.numerator)
+        most[by_size > most] = -1
+        most[MANY, :] = most[:, MANY] = 64
+        return most.astype(np.int8)
+
+    def close(self, a: str, b: str) -> Column:
+        """The rule of most() over columns of sketches."""
+        code = [F.col(x).bitwiseAND(F.lit(MANY)) for x in (a, b)]
+        differ = F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 6))
+        t = self.threshold
+        return (code[0] == MANY) | (code[1] == MANY) | (F.greatest(differ.cast("bigint"), F.abs(code[0] - code[1])) * (t.denominator + t.numerator) <= (code[0] + code[1]) * (t.denominator - t.numerator))
+
+
+def _parted(a: np.ndarray, b: np.ndarray, key: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, data): the entries of each part, the first words before the second ones. A band is in one part."""
+    part = ((_mix(key) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    part, a, b = part[order], a[order], b[order]
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    ends = np.append(edges[1:], len(part))
+    blobs = [a[i:j].tobytes() + b[i:j].tobytes() for i, j in zip(edges, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "data"])
+
+
+def band_entries(classes: DataFrame, common: dict[int, float], rare: float, layout: Layout, parts: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(part, data): one entry per class and band, packed; ``classes``: id (a number of at most ``layout.id_bits``), words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(common, rare, bands, rows)
+        signer, held, n = Signer(common, rare, bands, rows), [], 0
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 b = whole.slice(start, 2000)
                 lists = b.column(1)
                 lens = np.diff(lists.offsets.to_numpy())
-                cls = b.column(0).to_numpy(zero_copy_only=False)
+                number = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 elements = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
                 row = np.repeat(np.arange(len(lens)), lens)
-                keys = signer.band_keys(signer.sign(elements, row, len(lens)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls, bands))], ["band", "cls"])
-
-    return classes.select("cls", "words").mapInArrow(run, "band bigint, cls bigint")
-
+                keys = signer.band_keys(signer.sign(elements, row, len(lens))).view(np.uint64).ravel()
+                held.append(layout.pack(keys, np.repeat(number, bands), np.repeat(layout.sketches(elements, row, len(lens)), bands)))
+                n += len(keys)
+                if n >= 500_000:
+                    a, b = (np.concatenate(x) for x in zip(*held))
+                    yield _parted(a, b, a & ~_LOW, parts)
+                    held, n = [], 0
+        if held:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            yield _parted(a, b, a & ~_LOW, parts)
+
+    return classes.select("id", "words").mapInArrow(run, "part int, data binary")
+
+
+def candidate_pairs(entries: DataFrame, largest: int = LARGEST_BAND, layout: Layout | None = None, parts: int = 8, hold: int = HELD) -> DataFrame:
+    """Distinct (cls_a, cls_b), cls_a < cls_b, of classes that share a band and whose sketches, if there is a layout, allow them to be similar.
+
+    ``entries``: (band, cls), or packed ones, with their layout. They are shuffled once; a task pairs the bands of one part
+    and writes only pairs that pass, as chance pairs grow with the square of the input. A band of more than ``largest``
+    classes is passed on as it is and joined with itself in a second step that Spark splits.
+    """
 
-def candidate_pairs(entries: DataFrame, largest: int = LARGEST_BAND) -> DataFrame:
-    """Distinct (cls_a, cls_b), cls_a < cls_b, of classes that share a band.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b = (x.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            if len(a):
+                yield _parted(a, b, a, parts)
 
-    Entries are shuffled once and read in the order of their bands; a task holds the classes of one band at a time. A band
-    of more than ``largest`` classes is passed on as it is and joined with itself in a second step that Spark splits.
-    """
+    most = layout.most() if layout else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a: np.ndarray, b: np.ndarray, band: np.ndarray | None) -> pa.RecordBatch:
-            bands = pa.nulls(len(a), pa.int64()) if band is None else pa.array(band)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), bands], ["cls_a", "cls_b", "band"])
-
-        carry_k, carry_c, heavy = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
-        def pairs(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bands = pa.nulls(len(a), pa.int64()) if band is None else pa.array(band.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), bands], ["cls_a", "cls_b", "band"])
+
+        held, found, size, limit, heavy = [], [], 0, hold, np.zeros(0, np.uint64)
+
+        def sort() -> Iterator[pa.RecordBatch]:
+            """Put what is held in the order of bands; large bands are passed on, with sketches, and so is what comes of them later."""
+            nonlocal held, heavy, size
+            a, b = (np.concatenate(x) for x in zip(*held))
+            key, c, sketch = layout.unpack(a, b) if layout else (a, b, np.full(len(a), MANY, np.uint64))
+            order = np.argsort(key)
+            key, c, sketch = key[order], c[order], sketch[order]
+            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.append(edges, len(key)))
+            large = (sizes > largest) | np.isin(key[edges], heavy)
+            heavy = np.union1d(heavy, key[edges[large]])
+            big = np.repeat(large, sizes)
+            passed = np.flatnonzero(big)
+            for i in range(0, len(passed), 100_000):
+                at = passed[i : i + 100_000]
+                yield out(c[at], sketch[at], key[at])
+            key, c, sketch = key[~big], c[~big], sketch[~big]
+            held, size = [layout.pack(key, c, sketch) if layout else (key, c)], len(key)
+            found[:] = key, c, sketch
+
+        def pairs(key: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Pairs of whole bands: shifted copies of the sorted arrays meet while their bands are equal."""
-            for d in range(1, len(k)):
-                same = np.flatnonzero(k[d:] == k[:-d])
-                if not len(same):
-                    return
-                a, b = c[same], c[same + d]
-                yield out(np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], None)
+            code, bits = (sketch & np.uint64(MANY)).astype(np.int64), sketch >> np.uint64(6)
+            live, met, n = np.arange(len(key)), [], 0
+            for d in range(1, len(key)):
+                live = live[live < len(key) - d]
+                live = live[key[live + d] == key[live]]
+                if not len(live):
+                    break
+                for i in range(0, len(live), 200_000):
+                    x = live[i : i + 200_000]
+                    y = x + d
+                    if layout:
+                        near = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int8) <= most[code[x], code[y]]
+                        x, y = x[near], y[near]
+                    a, b = c[x].view(np.int64), c[y].view(np.int64)
+                    met.append((np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]))
+                    n += len(x)
+                    if n > 100_000:
+                        yield out(*(np.concatenate(z) for z in zip(*met)), None)
+                        met, n = [], 0
+            if met:
+                yield out(*(np.concatenate(z) for z in zip(*met)), None)
 
         for batch in batches:
-            k = np.concatenate((carry_k, batch.column(0).to_numpy(zero_copy_only=False)))
-            c = np.concatenate((carry_c, batch.column(1).to_numpy(zero_copy_only=False)))
-            last = np.searchsorted(k, k[-1], "left")
-            if heavy is not None and k[0] == heavy and last:  # the rest of a large band
-                end = np.searchsorted(k, heavy, "right")
-                yield out(c[:end], c[:end], k[:end])
-                k, c, last, heavy = k[end:], c[end:], last - end, None
-            edges = np.flatnonzero(np.concatenate(([True], k[1:last] != k[: last - 1]))) if last else np.zeros(0, np.int64)
-            sizes = np.diff(np.append(edges, last)) if last else np.zeros(0, np.int64)
-            big = np.repeat(sizes > largest, sizes)
-            if big.any():
-                yield out(c[:last][big], c[:last][big], k[:last][big])
-            yield from pairs(k[:last][~big], c[:last][~big])
-            carry_k, carry_c = k[last:], c[last:]
-            if len(carry_k) > largest:  # a large band is passed on as it comes
-                yield out(carry_c, carry_c, carry_k)
-                heavy, carry_k, carry_c = carry_k[0], carry_k[:0], carry_c[:0]
-        if heavy is not None and len(carry_k) and carry_k[0] == heavy:
-            yield out(carry_c, carry_c, carry_k)
-        elif len(carry_k):
-            yield from pairs(carry_k, carry_c)
-
-    placed = entries.repartition("band").sortWithinPartitions("band", "cls")
+            for blob in batch.column(0):
+                both = np.frombuffer(blob.as_buffer(), np.uint64).reshape(2, -1)
+                held.append((both[0], both[1]))
+                size += both.shape[1]
+            if size > limit:
+                yield from sort()
+                limit = max(hold, 2 * size)
+        if held:
+            yield from sort()
+            yield from pairs(*found)
+
+    if "band" in entries.columns:
+        entries = entries.select("band", "cls").mapInArrow(pack, "part int, data binary")
+    placed = entries.repartitionById(parts, F.col("part")).select("data")
     found = materialize(placed.mapInArrow(run, "cls_a bigint, cls_b bigint, band bigint"), "neardup-candidates")
     heavy = found.where("band IS NOT NULL")
-    a, b = heavy.select("band", "cls_a"), heavy.select("band", "cls_b")
-    return found.where("band IS NULL").select("cls_a", "cls_b").unionByName(a.join(b, "band").where("cls_a < cls_b").select("cls_a", "cls_b")).distinct()
+    a, b = (heavy.select("band", F.col("cls_a").alias(f"cls_{x}"), F.col("cls_b").alias(f"sketch_{x}")) for x in "ab")
+    joined = a.join(b, "band").where(F.col("cls_a") < F.col("cls_b"))
+    if layout:
+        joined = joined.where(layout.close("sketch_a", "sketch_b"))
+    return found.where("band IS NULL").select("cls_a", "cls_b").unionByName(joined.select("cls_a", "cls_b")).distinct()
 
 
-def similar_classes(classes: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (cls_a, cls_b), cls_a < cls_b, of classes whose sets reach ``threshold``, compared as the fraction it is written as."""
-    candidates = candidate_pairs(entries)
-    wa, wb = (classes.select(F.col("cls").alias(f"cls_{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
+def similar_classes(classes: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs (cls_a, cls_b), cls_a < cls_b, of classes whose sets reach ``threshold``, compared as the fraction it is written as. ``candidates`` are pairs of ids."""
+    wa, wb = (classes.select(F.col("id").alias(f"cls_{x}"), F.col("cls").alias(f"c{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
     both = candidates.join(wa, "cls_a").join(wb, "cls_b")
     common = F.size(F.array_intersect("wa", "wb"))
     t = Fraction(str(threshold))
-    return both.where(common.cast("bigint") * t.denominator >= (F.size("wa") + F.size("wb") - common).cast("bigint") * t.numerator).select("cls_a", "cls_b")
+    similar = both.where(common.cast("bigint") * t.denominator >= (F.size("wa") + F.size("wb") - common).cast("bigint") * t.numerator)
+    return similar.select(F.least("ca", "cb").alias("cls_a"), F.greatest("ca", "cb").alias("cls_b"))
+
+
+def numbered_classes(sets: DataFrame) -> tuple[DataFrame, int]:
+    """((cls, id, words) of each class, bits of the largest id). An id is the least position ``at`` of the class's records, its partition
+    and row put together without the bits that neither needs; so it stays the same however often it is computed."""
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    most = sets.agg(F.max(part), F.max(row)).first()
+    part_bits, row_bits = ((n or 0).bit_length() for n in most)
+    number = F.shiftleft(part, row_bits).bitwiseOR(row)
+    return sets.groupBy("cls").agg(F.min(number).alias("id"), F.first("words").alias("words")), part_bits + row_bits
 
 
 def near_duplicates(df: DataFrame, row_id: str, text: str, threshold: float = 0.8, min_words: int = 5, shingle: int = 5, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -236,11 +357,15 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, threshold: float = 0.
     Nulls, empty and short texts have no class. Ties do not occur: the threshold is compared exactly. Repeated rows (one
     id twice) are one member. An empty table gives two empty results. Other columns are ignored, whatever their names.
     """
-    sets = materialize(word_sets(df, row_id, text, min_words, shingle), "neardup-sets")
+    sets = materialize(word_sets(df, row_id, text, min_words, shingle).withColumn("at", F.monotonically_increasing_id()), "neardup-sets")
     sets = apart(sets)
     common, rare = common_weights(sets)
-    classes = sets.select("cls", "words").dropDuplicates(["cls"])
-    pairs = similar_classes(classes, band_entries(classes, common, rare, bands, rows), threshold)
+    classes, id_bits = numbered_classes(sets)
+    classes = materialize(classes, "neardup-classes")
+    layout = Layout(max(24, id_bits), Fraction(str(threshold)))
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * bands * 16 / PART_BYTES))
+    entries = band_entries(classes, common, rare, layout, parts, bands, rows)
+    pairs = similar_classes(classes, candidate_pairs(entries, layout=layout, parts=parts), threshold)
     return sets.select("uid", "cls").distinct(), pairs
 
 
